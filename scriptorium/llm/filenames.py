@@ -60,8 +60,21 @@ def normal(name: str, looks=None) -> str:
     return " ".join(([zh] if zh else []) + sorted(lean))
 
 
-def _h(text: str) -> int:
-    n = xxhash.xxh64_intdigest(text)
+class _Hashes(dict):
+    def __missing__(self, text: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        h = self[text] = xxhash.xxh64_intdigest(text)
+        return h
+
+
+_HASH = _Hashes()
+_FULL = (1 << 64) - 1
+
+
+def _key(n: int, salt: int) -> int:
+    n = ((n + salt) * 0x9E3779B97F4A7C15) & _FULL
+    n ^= n >> 32
     return n - (1 << 64) if n >> 63 else n
 
 
@@ -70,26 +83,29 @@ def _slips(word: str) -> bool:
 
 
 def keys(form: str) -> Iterator[int]:
-    """The keys of a normal form; the first is that of the whole form."""
-    yield _h("=" + form)
+    """The keys of a normal form; the first is that of the whole form. A key is the sum of
+    the hashes of the words left (of the neighbours left, for Chinese characters)."""
+    yield _key(_HASH[form], 0)
     words = form.split(" ")
-    zh = words[0] if words and _ZH.match(words[0]) else ""
+    zh = words[0] if _ZH.match(words[0]) else ""
     if zh:
-        rest = " ".join(words[1:])
         if len(zh) > 5:
-            yield _h("z" + zh + "|" + rest)
+            pair = [_HASH[zh[k - 1] + zh[k]] for k in range(len(zh))]
+            whole = sum(pair) + _HASH[" ".join(words[1:])]
+            yield _key(whole, 3)
             for k in range(len(zh)):
-                cut = zh[k + 1 :] + zh[:k]
-                yield _h("z" + min(cut[j:] + cut[:j] for j in range(len(cut))) + "|" + rest)
+                after = (k + 1) % len(zh)
+                yield _key(whole - pair[k] - pair[after] + _HASH[zh[k - 1] + zh[after]], 3)
         return
-    long = [k for k, w in enumerate(words) if _slips(w)]
     if len(words) < 3:
         return
+    whole = sum(map(_HASH.__getitem__, words))
+    long = [_HASH[w] for w in words if _slips(w)]
     for a in range(len(long)):
-        yield _h("1" + " ".join(w for k, w in enumerate(words) if k != long[a]))
+        yield _key(whole - long[a], 1)
         if len(words) > 4:
             for b in range(a + 1, len(long)):
-                yield _h("2" + " ".join(w for k, w in enumerate(words) if k not in (long[a], long[b])))
+                yield _key(whole - long[a] - long[b], 2)
 
 
 def one_slip(a: str, b: str) -> bool:

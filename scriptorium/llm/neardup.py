@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, LongType, StringType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, IntegerType, LongType, StringType
 
 from scriptorium.llm import filenames
 from scriptorium.llm.components import connected_components
@@ -89,17 +89,19 @@ def _bands(least: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _bits(least: np.ndarray) -> bytes:
-    return np.packbits(((least * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint8)).tobytes()
+def _bits(least: np.ndarray) -> tuple[bytes, bytes]:
+    """A bit of each minhash, and another."""
+    mixed = least * np.uint32(0x9E3779B1)
+    return tuple(np.packbits((mixed >> np.uint32(k)).astype(np.uint8) & 1).tobytes() for k in (31, 27))
 
 
-_SKETCHES = pa.schema([("id", pa.int64()), ("copy_of", pa.binary()), ("fp", pa.binary()), ("bands", pa.list_(pa.int64()))])
+_SKETCHES = pa.schema([("id", pa.int64()), ("copy_of", pa.binary()), ("fp", pa.binary()), ("more", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
 
 def _sketches(size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, copies, fps, bands = [], [], [], []
+            ids, copies, fps, more, bands = [], [], [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = _runs(w := words(text), size)
                 if not len(found):
@@ -107,11 +109,13 @@ def _sketches(size: int) -> Callable:
                 least = sketch(found)
                 ids.append(i)
                 copies.append(xxhash.xxh128_digest("\n".join(w)))
-                fps.append(_bits(least))
+                fp, other = _bits(least)
+                fps.append(fp)
+                more.append(other)
                 bands.append(_bands(least))
             flat = np.concatenate(bands) if bands else np.empty(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(copies, pa.binary()), pa.array(fps, pa.binary()), lists], schema=_SKETCHES)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(copies, pa.binary()), pa.array(fps, pa.binary()), pa.array(more, pa.binary()), lists], schema=_SKETCHES)
 
     return run
 
@@ -177,13 +181,21 @@ def _reduce(radius: int) -> Callable:
     return run
 
 
-def candidate_pairs(rows: DataFrame, radius: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def candidate_pairs(rows: DataFrame, radius: int, block_rows: int = BLOCK_ROWS, expected: int = 0) -> DataFrame:
     """Distinct ``(a, b)``, a < b, of ids that share a key and whose fingerprints are within
-    ``radius``. ``rows``: (key long, id long, fp binary of 256 bits)."""
+    ``radius``. ``rows``: (key long, id long, fp binary of 256 bits), some ``expected`` of them."""
     spark = rows.sparkSession
-    hot = cut(rows.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > block_rows))
+    # keys are first counted in coarse classes, which combine on the map side to few rows; only
+    # in classes that are large enough to hold a large block are keys counted one by one
+    coarse = F.pmod("key", F.lit(max(1 << 16, expected // 64)))
+    large = cut(rows.groupBy(coarse.alias("_k")).agg(F.count("*").alias("_n")).where(F.col("_n") > block_rows).select("_k"))
+    few = large.count()
+    hot = rows.where(F.lit(False)).select("key", F.lit(0).cast("long").alias("_n"))
+    if few:
+        some = rows.withColumn("_k", coarse).join(F.broadcast(large) if few <= BROADCAST_ROWS else large, "_k", "left_semi")
+        hot = cut(some.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > block_rows))
     plain = rows.withColumn("side", F.lit(2))
-    if not hot.isEmpty():
+    if few and not hot.isEmpty():
         few = hot.count() <= BROADCAST_ROWS
         hint = F.broadcast if few else (lambda x: x)
         plain = plain.join(hint(hot.select("key")), "key", "left_anti")
@@ -212,19 +224,34 @@ def near_texts(
     Blocks are bands of 5 minhashes, 50 of them: pairs of similarity 0.65, 0.7 and 0.8
     are missed with probability 2e-3, 1e-4 and below 1e-8.
     """
-    if radius is None:  # four standard deviations above the mean distance at the threshold
-        p = (1 - least) / 2
-        radius = int(np.ceil(BITS * p + 4 * np.sqrt(BITS * p * (1 - p))))
+    def above(p: float) -> int:  # four standard deviations above the mean distance at the threshold
+        return int(np.ceil(BITS * p + 4 * np.sqrt(BITS * p * (1 - p))))
+
+    if radius is None:
+        radius = above((1 - least) / 2)
     docs = texts.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    made = cut(docs.mapInArrow(_sketches(size), "id long, copy_of binary, fp binary, bands array<long>"))
+    made = cut(docs.mapInArrow(_sketches(size), "id long, copy_of binary, fp binary, more binary, bands array<long>"))
     reps = made.groupBy("copy_of").agg(F.min("id").alias("rep"))
     members = made.select("copy_of", "id").distinct().join(reps, "copy_of").select("rep", "id")
     keyed = made.join(reps.select(F.col("rep").alias("id"), "copy_of"), ["id", "copy_of"], "left_semi").dropDuplicates(["id", "copy_of"])
     rows = keyed.select("id", "fp", F.explode("bands").alias("key"))
-    pairs = cut(candidate_pairs(rows.select("key", "id", "fp"), radius))
+    pairs = cut(candidate_pairs(rows.select("key", "id", "fp"), radius, expected=made.count() * BANDS))
+    # two bits of each minhash tell unequal minhashes apart in three of four cases
+    bits = keyed.select("id", "fp", "more")
+    for c in ("a", "b"):
+        pairs = pairs.join(bits.select(F.col("id").alias(c), F.col("fp").alias(f"{c}1"), F.col("more").alias(f"{c}2")), c)
+    pairs = cut(pairs.where(_unequal("a1", "a2", "b1", "b2") <= above((1 - least) * 0.75)).select("a", "b"))
     return verify_texts(pairs, docs, size, least, at_least), members
 
 
+@pandas_udf(IntegerType())
+def _unequal(a1: pd.Series, a2: pd.Series, b1: pd.Series, b2: pd.Series) -> pd.Series:
+    if not len(a1):
+        return pd.Series([], dtype="int32")
+    a1, a2, b1, b2 = (np.frombuffer(b"".join(x), np.uint64).reshape(len(x), -1) for x in (a1, a2, b1, b2))
+    return pd.Series(np.bitwise_count((a1 ^ b1) | (a2 ^ b2)).sum(axis=1).astype(np.int32))
+
+
 def verify_texts(pairs: DataFrame, docs: DataFrame, size: int, least: float, at_least: bool) -> DataFrame:
     """The pairs whose texts have enough runs in common. Only texts of some pair are moved."""
     ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
@@ -260,10 +287,9 @@ def all_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
 @pandas_udf(BinaryType())
 def _bigram_bits(forms: pd.Series) -> pd.Series:
     def one(form: str) -> bytes:
+        at = {filenames._HASH[word[k - 1] + word[k]] % BITS for word in form.split(" ") for k in range(len(word))}
         bits = np.zeros(BITS, np.uint8)
-        for word in form.split(" "):
-            for k in range(len(word)):
-                bits[xxhash.xxh32_intdigest(word[k : k + 2] if k + 1 < len(word) else word[k] + word[0]) % BITS] = 1
+        bits[list(at)] = 1
         return np.packbits(bits).tobytes()
 
     return forms.map(one)
@@ -294,8 +320,9 @@ def name_forms(uploads: DataFrame, key: str, name: str) -> DataFrame:
 
 def name_links(forms: DataFrame) -> DataFrame:
     """(a, b): pairs of distinct forms' smallest ids whose names differ by slips. ``forms``: (rep, form)."""
-    rows = forms.select(F.explode(name_keys("form")).alias("key"), F.col("rep").alias("id"), _bigram_bits("form").alias("fp"))
-    pairs = candidate_pairs(rows, radius=24)
+    made = cut(forms.select(name_keys("form").alias("keys"), F.col("rep").alias("id"), _bigram_bits("form").alias("fp")))
+    rows = made.select(F.explode("keys").alias("key"), "id", "fp")
+    pairs = cut(candidate_pairs(rows, radius=24, expected=made.count() * 16))
     named = pairs.join(forms.select(F.col("rep").alias("a"), F.col("form").alias("fa")), "a").join(
         forms.select(F.col("rep").alias("b"), F.col("form").alias("fb")), "b")
     return named.where(same_name("fa", "fb")).select("a", "b")
