@@ -164,7 +164,7 @@ class Leaks:
             for first, last, _ in stretches:
                 held[first : last + 1] = True
             n = int(held.sum())
-            if n >= self.cover * self.sizes[s]:
+            if n >= self.cover * self.sizes[s] - 1e-9:
                 out.append((self.ids[s], n, n / self.sizes[s]))
         return out
 

@@ -29,17 +29,22 @@ from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, In
 
 from scriptorium.llm import filenames
 from scriptorium.llm.components import connected_components
-from scriptorium.llm.lookalike import learn
+from scriptorium.llm.lookalike import Looks
 from scriptorium.llm.wordrun import words
 from scriptorium.session import BROADCAST_ROWS, cut
 
 BITS = 256
 BANDS, ROWS = 50, 5
 BLOCK_ROWS = 2_000
+#: Neighbouring letters two slips can change, in two words: three go and three come each.
+NAME_RADIUS = 12
+#: Rows of blocks one task takes on average: 48 bytes each.
+PART_ROWS = 500_000
 PIVOTS = 4
 _RNG = np.random.default_rng(20240601)
 _A = (_RNG.integers(0, 2**32, BITS, dtype=np.uint64) | 1).astype(np.uint32)
 _B = _RNG.integers(0, 2**32, BITS, dtype=np.uint64).astype(np.uint32)
+_SPACE = np.empty((BITS, 512), np.uint32)
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -56,7 +61,7 @@ _HASH = _Hashes()
 
 def runs(text: str, size: int = 3) -> np.ndarray:
     """Hashes of the distinct runs of ``size`` consecutive words, ascending."""
-    return _runs(words(text), size)
+    return np.unique(_runs(words(text), size))
 
 
 def _runs(found: list[str], size: int) -> np.ndarray:
@@ -68,15 +73,19 @@ def _runs(found: list[str], size: int) -> np.ndarray:
     for k in range(size):
         mixed = (mixed ^ (h[k : k + n] * _M[k % 3])) * _M[(k + 1) % 3]
         mixed ^= mixed >> np.uint64(29)
-    return np.unique(mixed)
+    return mixed
 
 
 def sketch(found: np.ndarray) -> np.ndarray:
     """256 minhashes of a set of run hashes."""
     x = (found >> np.uint64(32)).astype(np.uint32)
     least = np.full(BITS, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(x), 2048):
-        np.minimum(least, (_A[:, None] * x[None, at : at + 2048] + _B[:, None]).min(axis=1), out=least)
+    for at in range(0, len(x), 512):  # blocks that stay in the processor's cache
+        part = x[at : at + 512]
+        mixed = _SPACE[:, : len(part)]
+        np.multiply(_A[:, None], part, out=mixed)
+        np.add(mixed, _B[:, None], out=mixed)
+        np.minimum(least, mixed.min(axis=1), out=least)
     return least
 
 
@@ -121,15 +130,22 @@ def _sketches(size: int) -> Callable:
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int16)
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int16)  # signed: differences are taken
 
 
 def _block_pairs(key: np.ndarray, ids: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of ids within ``radius`` in each run of equal keys (rows are sorted by key).
-    side: 0 and 1 in a group of two different chunks, where only pairs across count; else 2."""
+    side: 0 and 1 in a group of two different chunks, where only pairs across count; else 2.
+
+    Rows of a block are ordered by the distance to its first pivot, so that a row meets only
+    rows within ``radius`` of it on that coordinate; the other coordinates are tested next."""
     n = len(key)
     new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     lengths = np.diff(np.r_[new, n])
+    order = np.lexsort((_distance(fp, fp[np.repeat(new, lengths)]), key))
+    key, ids, side, fp = key[order], ids[order], side[order], fp[order]
+    new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    lengths = np.diff(np.r_[new, n])
     start, length = np.repeat(new, lengths), np.repeat(lengths, lengths)
     many = np.flatnonzero(length > 1)
     table = np.zeros((PIVOTS, n), np.int16)
@@ -139,8 +155,9 @@ def _block_pairs(key: np.ndarray, ids: np.ndarray, side: np.ndarray, fp: np.ndar
     one, two, open_, d = [], [], many, 1
     while len(open_):
         open_ = open_[open_ + d < start[open_] + length[open_]]
+        open_ = open_[table[0, open_ + d] - table[0, open_] <= radius]
         i = open_
-        for k in range(PIVOTS):
+        for k in range(1, PIVOTS):
             i = i[np.abs(table[k, i] - table[k, i + d]) <= radius]
         i = i[(side[i] != side[i + d]) | (side[i] == 2)]
         i = i[_distance(fp[i], fp[i + d]) <= radius]
@@ -152,31 +169,31 @@ def _block_pairs(key: np.ndarray, ids: np.ndarray, side: np.ndarray, fp: np.ndar
     return np.minimum(a, b)[keep], np.maximum(a, b)[keep]
 
 
+def _fixed(column: pa.ChunkedArray) -> np.ndarray:
+    """Fingerprints of one length as rows of words, without a copy for each."""
+    flat = column.combine_chunks()
+    if isinstance(flat, pa.ChunkedArray):
+        flat = flat.chunk(0)
+    words_ = np.frombuffer(flat.buffers()[2], np.uint64, offset=0)
+    first = int(np.frombuffer(flat.buffers()[1], np.int32)[flat.offset]) // 8
+    return words_[first : first + len(flat) * (BITS // 64)].reshape(-1, BITS // 64)
+
+
 def _reduce(radius: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            fp = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint64).reshape(-1, BITS // 64)
-            a, b = _block_pairs(*(table.column(c).to_numpy() for c in ("key", "id", "side")), fp, radius)
-            for at in range(0, len(a), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(a[at : at + 100_000]), pa.array(b[at : at + 100_000])], ["a", "b"])
-
-        rows = 0
-        for batch in batches:  # whole blocks at a time: the last, open block is held back
-            held.append(batch)
-            rows += batch.num_rows
-            if rows < 100_000:
-                continue
-            table = pa.Table.from_batches(held)
-            keys = table.column("key").to_numpy()
-            last = int(np.searchsorted(keys, keys[-1]))
-            if last:
-                yield from out(table.slice(0, last))
-            rest = table.slice(last).combine_chunks()
-            held, rows = rest.to_batches(), rest.num_rows
-        if rows:
-            yield from out(pa.Table.from_batches(held))
+        """Whole blocks are in one partition, of some ``PART_ROWS`` rows."""
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        del held
+        key = table.column("key").to_numpy()
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        ids, side, fp = table.column("id").to_numpy()[order], table.column("side").to_numpy()[order], _fixed(table.column("fp"))[order]
+        a, b = _block_pairs(key, ids, side, fp, radius)
+        for at in range(0, len(a), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(a[at : at + 100_000]), pa.array(b[at : at + 100_000])], ["a", "b"])
 
     return run
 
@@ -206,9 +223,8 @@ def candidate_pairs(rows: DataFrame, radius: int, block_rows: int = BLOCK_ROWS,
         side = F.when(F.col("_c") == F.col("_o"), 2).when(F.col("_c") < F.col("_o"), 0).otherwise(1)
         plain = plain.select("key", "id", "fp", "side").unionByName(
             cut_up.select(group.alias("key"), "id", "fp", side.alias("side")))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = plain.select("key", "id", "fp", "side").repartition(parts, "key").sortWithinPartitions("key")
-    return sorted_.mapInArrow(_reduce(radius), "a long, b long").distinct()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), expected // PART_ROWS)
+    return plain.select("key", "id", "fp", "side").repartition(parts, "key").mapInArrow(_reduce(radius), "a long, b long").distinct()
 
 
 def near_texts(
@@ -231,9 +247,9 @@ def near_texts(
         radius = above((1 - least) / 2)
     docs = texts.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     made = cut(docs.mapInArrow(_sketches(size), "id long, copy_of binary, fp binary, more binary, bands array<long>"))
-    reps = made.groupBy("copy_of").agg(F.min("id").alias("rep"))
-    members = made.select("copy_of", "id").distinct().join(reps, "copy_of").select("rep", "id")
-    keyed = made.join(reps.select(F.col("rep").alias("id"), "copy_of"), ["id", "copy_of"], "left_semi").dropDuplicates(["id", "copy_of"])
+    first = made.groupBy("copy_of").agg(F.min_by(F.struct("id", "fp", "more", "bands"), "id").alias("_f"))
+    keyed = cut(first.select("copy_of", "_f.*"))
+    members = made.select("copy_of", "id").distinct().join(keyed.select("copy_of", F.col("id").alias("rep")), "copy_of").select("rep", "id")
     rows = keyed.select("id", "fp", F.explode("bands").alias("key"))
     pairs = cut(candidate_pairs(rows.select("key", "id", "fp"), radius, expected=made.count() * BANDS))
     # two bits of each minhash tell unequal minhashes apart in three of four cases
@@ -258,18 +274,26 @@ def verify_texts(pairs: DataFrame, docs: DataFrame, size: int, least: float, at_
     hint = F.broadcast if ids.count() <= BROADCAST_ROWS else (lambda x: x)
     some = docs.join(hint(ids), "id", "left_semi").dropDuplicates(["id"])
 
+    @pandas_udf(BinaryType())
+    def runs_of(texts: pd.Series) -> pd.Series:
+        # 32 bits of each run's hash: one pair in some 25,000 is off by one run
+        return texts.map(lambda x: np.unique((runs(x, size) >> np.uint64(32)).astype(np.uint32)).tobytes())
+
     @pandas_udf(DoubleType())
     def share(a: pd.Series, b: pd.Series) -> pd.Series:
         out = []
         for x, y in zip(a, b):
-            p, q = runs(x, size), runs(y, size)
+            p, q = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
             both = len(np.intersect1d(p, q, assume_unique=True))
             out.append(both / (len(p) + len(q) - both))
         return pd.Series(out, dtype=float)
 
-    joined = pairs.join(some.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(
-        some.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    found = joined.select("a", "b", share("ta", "tb").alias("similarity"))
+    some = cut(some.select("id", runs_of("text").alias("runs")))  # each text is read once, whatever its pairs
+    if pairs.count() <= BROADCAST_ROWS:
+        pairs = F.broadcast(pairs)
+    joined = pairs.join(some.select(F.col("id").alias("a"), F.col("runs").alias("ra")), "a").join(
+        some.select(F.col("id").alias("b"), F.col("runs").alias("rb")), "b")
+    found = joined.select("a", "b", share("ra", "rb").alias("similarity"))
     return found.where(F.col("similarity") >= least if at_least else F.col("similarity") > least)
 
 
@@ -308,7 +332,7 @@ def same_name(a: pd.Series, b: pd.Series) -> pd.Series:
 def name_forms(uploads: DataFrame, key: str, name: str) -> DataFrame:
     """(id, form): the normal form of every named row; rows without a name or a form are left out."""
     named = uploads.where(F.col(key).isNotNull() & F.col(name).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(name).alias("name")).distinct()
-    shared = named.sparkSession.sparkContext.broadcast(learn(named.select(F.col("name").alias("value"))))
+    shared = named.sparkSession.sparkContext.broadcast(Looks.universal())
 
     @pandas_udf(StringType())
     def form(names: pd.Series) -> pd.Series:
@@ -322,7 +346,7 @@ def name_links(forms: DataFrame) -> DataFrame:
     """(a, b): pairs of distinct forms' smallest ids whose names differ by slips. ``forms``: (rep, form)."""
     made = cut(forms.select(name_keys("form").alias("keys"), F.col("rep").alias("id"), _bigram_bits("form").alias("fp")))
     rows = made.select(F.explode("keys").alias("key"), "id", "fp")
-    pairs = cut(candidate_pairs(rows, radius=24, expected=made.count() * 16))
+    pairs = cut(candidate_pairs(rows, radius=NAME_RADIUS, expected=made.count() * 16))
     named = pairs.join(forms.select(F.col("rep").alias("a"), F.col("form").alias("fa")), "a").join(
         forms.select(F.col("rep").alias("b"), F.col("form").alias("fb")), "b")
     return named.where(same_name("fa", "fb")).select("a", "b")
