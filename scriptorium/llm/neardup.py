@@ -38,6 +38,7 @@ BANDS, ROWS = 50, 5
 BLOCK_ROWS = 2_000
 #: Neighbouring letters two slips can change, in two words: three go and three come each.
 NAME_RADIUS = 12
+NAME_BITS = 128
 #: Rows of blocks one task takes on average: 48 bytes each.
 PART_ROWS = 500_000
 PIVOTS = 4
@@ -174,9 +175,8 @@ def _fixed(column: pa.ChunkedArray) -> np.ndarray:
     flat = column.combine_chunks()
     if isinstance(flat, pa.ChunkedArray):
         flat = flat.chunk(0)
-    words_ = np.frombuffer(flat.buffers()[2], np.uint64, offset=0)
-    first = int(np.frombuffer(flat.buffers()[1], np.int32)[flat.offset]) // 8
-    return words_[first : first + len(flat) * (BITS // 64)].reshape(-1, BITS // 64)
+    ends = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset : flat.offset + len(flat) + 1]
+    return np.frombuffer(flat.buffers()[2], np.uint64)[ends[0] // 8 : ends[-1] // 8].reshape(len(flat), -1)
 
 
 def _reduce(radius: int) -> Callable:
@@ -200,7 +200,7 @@ def _reduce(radius: int) -> Callable:
 
 def candidate_pairs(rows: DataFrame, radius: int, block_rows: int = BLOCK_ROWS, expected: int = 0) -> DataFrame:
     """Distinct ``(a, b)``, a < b, of ids that share a key and whose fingerprints are within
-    ``radius``. ``rows``: (key long, id long, fp binary of 256 bits), some ``expected`` of them."""
+    ``radius``. ``rows``: (key long, id long, fp binary, as long in all rows, in words of 64 bits), some ``expected`` of them."""
     spark = rows.sparkSession
     # keys are first counted in coarse classes, which combine on the map side to few rows; only
     # in classes that are large enough to hold a large block are keys counted one by one
@@ -247,16 +247,17 @@ def near_texts(
         radius = above((1 - least) / 2)
     docs = texts.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     made = cut(docs.mapInArrow(_sketches(size), "id long, copy_of binary, fp binary, more binary, bands array<long>"))
-    first = made.groupBy("copy_of").agg(F.min_by(F.struct("id", "fp", "more", "bands"), "id").alias("_f"))
-    keyed = cut(first.select("copy_of", "_f.*"))
-    members = made.select("copy_of", "id").distinct().join(keyed.select("copy_of", F.col("id").alias("rep")), "copy_of").select("rep", "id")
+    reps = made.groupBy("copy_of").agg(F.min("id").alias("rep"))
+    members = cut(made.select("copy_of", "id").distinct().join(reps, "copy_of").select("rep", "id"))
+    copies = members.where("rep <> id").select("id").distinct()
+    keyed = made.join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, "id", "left_anti")
     rows = keyed.select("id", "fp", F.explode("bands").alias("key"))
     pairs = cut(candidate_pairs(rows.select("key", "id", "fp"), radius, expected=made.count() * BANDS))
     # two bits of each minhash tell unequal minhashes apart in three of four cases
     bits = keyed.select("id", "fp", "more")
     for c in ("a", "b"):
         pairs = pairs.join(bits.select(F.col("id").alias(c), F.col("fp").alias(f"{c}1"), F.col("more").alias(f"{c}2")), c)
-    pairs = cut(pairs.where(_unequal("a1", "a2", "b1", "b2") <= above((1 - least) * 0.75)).select("a", "b"))
+    pairs = cut(pairs.where(_unequal("a1", "a2", "b1", "b2") <= above((1 - least) * 0.75)).select("a", "b").distinct())
     return verify_texts(pairs, docs, size, least, at_least), members
 
 
@@ -311,8 +312,8 @@ def all_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
 @pandas_udf(BinaryType())
 def _bigram_bits(forms: pd.Series) -> pd.Series:
     def one(form: str) -> bytes:
-        at = {filenames._HASH[word[k - 1] + word[k]] % BITS for word in form.split(" ") for k in range(len(word))}
-        bits = np.zeros(BITS, np.uint8)
+        at = {filenames._HASH[word[k - 1] + word[k]] % NAME_BITS for word in form.split(" ") for k in range(len(word))}
+        bits = np.zeros(NAME_BITS, np.uint8)
         bits[list(at)] = 1
         return np.packbits(bits).tobytes()
 
@@ -339,7 +340,8 @@ def name_forms(uploads: DataFrame, key: str, name: str) -> DataFrame:
         table = shared.value
         return names.map(lambda x: filenames.normal(x, table))
 
-    return named.select("id", form("name").alias("form")).where("form <> ''")
+    # as if not deterministic: else the filter, and the function with it, would also run below the distinct
+    return named.select("id", form.asNondeterministic()("name").alias("form")).where("form <> ''")
 
 
 def name_links(forms: DataFrame) -> DataFrame:
