@@ -225,8 +225,10 @@ def map_to_list(
         def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             matcher = Matcher(shared.value)
             for batch in batches:
+                if not len(batch):
+                    continue
                 found = [matcher.find(x) for x in batch["form"]]
-                yield pd.DataFrame({"value": batch["value"], "cost": [c for c, _ in found],
+                yield pd.DataFrame({"value": batch["value"].astype(object), "cost": [c for c, _ in found],
                                     "ids": [sorted(ids) for _, ids in found]})
 
         part = typed.mapInPandas(search, "value string, cost int, ids array<long>")

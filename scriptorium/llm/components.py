@@ -156,4 +156,4 @@ def matching_edges(edges: DataFrame, nodes: DataFrame, relation: str = "semantic
     ids = nodes.where("id is not null").select("id").distinct()
     return found.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(
         ids.withColumnRenamed("id", "b"), "b", "left_semi"
-    )
+    ).select("a", "b")

@@ -52,7 +52,8 @@ def fingerprints(uploads: DataFrame, key: str = "upload_id", sha: str = "sha256"
     rows = uploads.where(F.col(key).isNotNull()).select(
         F.col(key).cast("long").alias("id"), hash_key(sha).alias("h"), F.col(name).alias("n")).distinct()
     hashed = rows.where("h is not null").select("id", F.xxhash64(F.lit("sha"), "h").alias("fp"), F.lit(None).cast("string").alias("form"), F.lit(True).alias("exact"))
-    named = rows.where("n is not null").select("id", form("n").alias("form")).where("form is not null")
+    # as if not deterministic: else the filter, and the function with it, would also run below the distinct
+    named = rows.where("n is not null").select("id", form.asNondeterministic()("n").alias("form")).where("form is not null")
     keyed = named.select("id", "form", F.posexplode(name_keys("form")).alias("k", "fp"))
     return hashed.unionByName(keyed.select("id", "fp", "form", (F.col("k") == 0).alias("exact"))).distinct()
 
@@ -153,7 +154,8 @@ def check_batches(uploads: DataFrame, path: str | None = None, batch: str = "bat
     numbered = uploads.withColumn("_b", F.coalesce(F.col(batch).cast("long"), F.lit(0)))
     of = numbered.select(F.col("upload_id").cast("long").alias("id"), "_b").where("id is not null").groupBy("id").agg(F.min("_b").alias("_b"))
     fingerprints(uploads).join(of, "id").write.partitionBy("_b").parquet(prepared)
-    ready = spark.read.parquet(prepared)
-    for b in sorted(r["_b"] for r in of.select("_b").distinct().collect()):  # one row a batch
+    numbers = sorted(r["_b"] for r in of.select("_b").distinct().collect())  # one row a batch
+    ready = spark.read.schema("id long, fp long, form string, exact boolean, _b long").parquet(prepared)
+    for b in numbers:
         store.absorb(ready.where(F.col("_b") == b).drop("_b"))
     return store

@@ -141,7 +141,8 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if text is not None and not _PLAIN.match(text):
                 seen.update(unicodedata.normalize("NFD", text))
     seen = Counter({ch: n for ch, n in seen.items() if not _PLAIN.match(ch)})
-    yield pd.DataFrame({"ch": list(seen), "n": list(seen.values())}, columns=["ch", "n"])
+    if seen:
+        yield pd.DataFrame({"ch": list(seen), "n": list(seen.values())}, dtype=object)
 
 
 def learn(values: DataFrame, column: str = "value") -> Looks:

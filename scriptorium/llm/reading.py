@@ -259,6 +259,6 @@ def reading_levels(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LAB
         for batch in batches:
             if len(batch):
                 g = shared.value.trees.predict(np.stack(batch["x"].to_numpy()))
-                yield pd.DataFrame({"doc_id": batch["doc_id"], "language": batch["language"], "grade": g, "band": names[shared.value.band(g)]})
+                yield pd.DataFrame({"doc_id": batch["doc_id"], "language": batch["language"].astype(object), "grade": g, "band": names[shared.value.band(g)]})
 
     return z.mapInPandas(grade, "doc_id long, language string, grade double, band string"), grader
