@@ -1,6 +1,755 @@
-"""All queries of the engine and, where SQL can express them, their SQL."""
+"""All queries of the engine over the test tables and, where SQL can express them, their SQL.
+
+A query takes (spark, folder of tables) and covers its whole tables.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scriptorium.functions import pages, paths
+from scriptorium.operators import analytics, backfill, compiling, concepts, exports, graph, ingest, logs, retrieval, structure, verify
+from scriptorium.session import cut, table
+from scriptorium.streaming import jobs
+
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---- parts of SQL that several queries share
+
+# the graph: first delivery of each node, last edge of each pair
+NODES = """n as (select id, label, file_type, source_file from (
+    select *, row_number() over (partition by id order by coalesce(label, '') = '', label nulls first, file_type nulls first, source_file nulls first) as k
+    from nodes where id is not null and id <> '') where k = 1)"""
+EDGES = """e as (select source, target, relation, confidence, confidence_score, seq from (
+    select *, row_number() over (partition by source, target order by seq desc, coalesce(relation, '') desc) as k
+    from edges where source in (select id from n) and target in (select id from n)) where k = 1)"""
+DEG = """deg as (select n.id, count(x.id) as degree from n left join (select source as id from e union all select target from e) x using (id) group by n.id)"""
+GRAPH = f"{NODES}, {EDGES}, {DEG}"
+LINKS = """links as (select source as a, target as b from e where source <> target union select target, source from e where source <> target
+    union select id, id from n), l0 as (select id, id as label from n)"""
+
+
+def _rounds(n: int) -> str:
+    out = ""
+    for k in range(1, n + 1):
+        out += f""", v{k} as (select a as id, label, count(*) as c from links join l{k - 1} on l{k - 1}.id = b group by a, label),
+l{k} as (select id, label from (select *, row_number() over (partition by id order by c desc, label) as k from v{k}) where k = 1)"""
+    return out
+
+
+MEMBERS = LINKS + _rounds(2) + """, sz as (select label, row_number() over (order by count(*) desc, min(id)) - 1 as community from l2 group by label),
+m as (select id, community from l2 join sz using (label))"""
+
+
+def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return graph.build(table(spark, d, "nodes"), table(spark, d, "edges").distinct())
+
+
+def _members(n: DataFrame, e: DataFrame) -> DataFrame:
+    """Two rounds of label propagation: what SQL can follow."""
+    return analytics.number(analytics.label_rounds(n, e, 2))
+
+
+def _whole(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    n, e = _graph(spark, d)
+    n, e = cut(n), cut(e)
+    return n, e, cut(_members(n, e))
+
+
+# ---- sources and scans
+
+ENDING = r"lower(regexp_extract(regexp_extract(original_filename, '([^/\\]*)$', 1), '[^.].*(\.[^.]+)$', 1))"
+FILE_CLASS = f"""case {' '.join(f"when {ENDING} in ({', '.join(repr(x) for x in v)}) then '{k}'" for k, v in paths.ENDINGS.items())} end"""
+
+
+@query(f"select upload_id, {FILE_CLASS} as file_type, case when original_filename is null then 'unsupported' when regexp_matches(original_filename, '(?i)(credential|secret|passwd|password|token|private_key)') then 'sensitive' when {FILE_CLASS} is null then 'unsupported' else 'taken' end as status from (select distinct upload_id, original_filename from source_map)")
+def scan_classify(spark, d):
+    """Class and status of every upload by its path."""
+    files = table(spark, d, "source_map").select("upload_id", F.col("original_filename").alias("path")).distinct()
+    return ingest.classify(files).select("upload_id", "file_type", "status")
+
+
+@query(f"""select {FILE_CLASS} as file_type, count(*) as files from (select distinct upload_id, original_filename from source_map) group by 1""")
+def scan_file_types(spark, d):
+    """Files of each class."""
+    files = table(spark, d, "source_map").select("upload_id", "original_filename").distinct()
+    return files.groupBy(paths.file_class("original_filename").alias("file_type")).agg(F.count("*").alias("files"))
+
+
+@query("select doc_id, sha256(text) as sha256, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) as words from documents where text is not null")
+def scan_hash_words(spark, d):
+    """Content hash and word count of every document."""
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("sha256"), pages.words_of("text").alias("words"))
+
+
+@query("select doc_id, " + " + ".join(f"cast(regexp_matches(substr(text, 1, 3000), '{p}') as int)" for p in paths.PAPER_SIGNALS) + " as signals from documents where text is not null")
+def scan_paper_signals(spark, d):
+    """Signs of an academic paper at the start of every document."""
+    return table(spark, d, "documents").where("text is not null").select("doc_id", paths.paper_signals("text").alias("signals"))
+
+
+@query("""with a as (select original_filename as path, max(uploaded_at) as t from source_map where original_filename is not null group by 1),
+b as (select original_filename as path, max(uploaded_at) as t from source_map where original_filename is not null and batch_id = 0 group by 1)
+select path, case when a.path is null then 'deleted' when b.path is null or b.t is null or a.t > b.t then 'new' else 'unchanged' end as change from a full join b using (path)""")
+def scan_incremental(spark, d):
+    """Files that are new against the manifest of the first batch."""
+    rows = table(spark, d, "source_map").where("original_filename is not null").withColumnRenamed("original_filename", "path")
+    now = rows.groupBy("path").agg(F.max("uploaded_at").alias("modified"))
+    before = rows.where("batch_id = 0").groupBy("path").agg(F.max("uploaded_at").alias("modified"))
+    return ingest.changes(now, before)
+
+
+# ---- structure
+
+LINES = r"""ls as (select doc_id, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) as line from documents where text is not null),
+s as (select *, regexp_replace(raw, '^\s+|\s+$', '', 'g') as s from ls)"""
+
+
+@query(f"""with {LINES} select doc_id, line, length(regexp_extract(s, '^(#+)', 1)) as level,
+regexp_replace(substr(s, length(regexp_extract(s, '^(#+)', 1)) + 1), '^\\s+|\\s+$', '', 'g') as title from s where s like '#%'
+and length(regexp_extract(s, '^(#+)', 1)) between 1 and 6 and regexp_replace(substr(s, length(regexp_extract(s, '^(#+)', 1)) + 1), '^\\s+|\\s+$', '', 'g') <> ''""")
+def structure_headings(spark, d):
+    return structure.headings(table(spark, d, "documents"))
+
+
+@query(f"""with {LINES}, p as (select *, s like '|%' as pipe, lead(s) over (partition by doc_id order by line) as nxt from s),
+i as (select *, sum(cast(not pipe as int)) over (partition by doc_id order by line) as island from p),
+h as (select doc_id, island, min(case when nxt like '|%' and contains(nxt, '---') then line end) as line, max(line) as last from i where pipe group by 1, 2)
+select h.doc_id, h.line, list_filter(list_transform(string_split(i.s, '|'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') as columns, last - h.line - 1 as rows
+from h join i on i.doc_id = h.doc_id and i.line = h.line where h.line is not null""")
+def structure_tables(spark, d):
+    return structure.tables(table(spark, d, "documents"))
+
+
+@query(f"""with {LINES}, k as (select *, case when regexp_matches(s, '^[-*]\\s+\\S') then 'unordered' when regexp_matches(s, '^\\d+\\.\\s+\\S') then 'ordered' else 'other' end as type from s where s <> ''),
+i as (select *, row_number() over (partition by doc_id order by line) - row_number() over (partition by doc_id, type order by line) as island from k)
+select doc_id, type, min(line) as line, count(*) as items, cast(max(case when type = 'unordered' then length(regexp_extract(raw, '^(\\s*)', 1)) // 2 + 1 else 1 end) as int) as depth
+from i where type <> 'other' group by doc_id, type, island""")
+def structure_lists(spark, d):
+    return structure.lists(table(spark, d, "documents"))
+
+
+@query(f"""with {LINES}, v as (select doc_id, line, unnest(list_concat({', '.join(f"regexp_extract_all(raw, '{p}', 0)" for p in structure.METRICS)})) as v from s)
+select doc_id, regexp_replace(v, '^\\s+|\\s+$', '', 'g') as value, min(line) as line from v group by 1, 2""")
+def structure_metrics(spark, d):
+    return structure.metrics(table(spark, d, "documents"))
+
+
+@query(r"""with t as (""" + " union all ".join(
+    f"select doc_id, {c} as channel, unnest(x) as term, generate_subscripts(x, 1) - 1 as pos from (select doc_id, regexp_extract_all(text, '{p}', 0) as x from documents)"
+    for c, p in enumerate(structure.TERM_PATTERNS)) + rf"""), g as (select doc_id, term, count(*) as n, min(channel * 1000000 + pos) as f from t
+where not (channel = 0 and regexp_full_match(term, '[{structure.TERM_STOP}]+')) and not (channel = 2 and term in {structure.NO_TERMS}) group by 1, 2)
+select doc_id, term, n from (select *, row_number() over (partition by doc_id order by n desc, f) as r from g) where r <= 30 and n >= 2""")
+def structure_key_terms(spark, d):
+    return structure.key_terms(table(spark, d, "documents"))
+
+
+@query()
+def structure_nested(spark, d):
+    """Everything of a document in one row."""
+    return structure.structure(table(spark, d, "documents"))
+
+
+# ---- ingest
+
+STEM = r"regexp_replace(regexp_extract(original_filename, '([^/\\]*)$', 1), '(.)\.[^.]*$', '\1')"
+STEM_OF = lambda c: rf"regexp_replace(regexp_extract({c}, '([^/\\]*)$', 1), '(.)\.[^.]*$', '\1')"
+
+
+@query(rf"""with s as (select distinct upload_id, sha256, original_filename, generated_pages, batch_id from source_map), known as (select sha256, max(coalesce(len(generated_pages) > 0, false)) as done from s where batch_id = 0 and sha256 is not null group by 1),
+stems as (select {STEM} as stem, min(sha256) as lo, max(sha256) as hi from s where batch_id = 0 and sha256 is not null and original_filename is not null group by 1),
+c as (select sha256, max(length(content_md)) as chars from structure group by 1),
+f as (select s.upload_id, s.sha256, s.original_filename, {STEM} as stem, c.chars from s left join c using (sha256) where batch_id > 0),
+r as (select f.*, k.done, lo, hi, row_number() over (partition by f.sha256 order by original_filename nulls first, upload_id) > 1 as same,
+lag(f.sha256) over (partition by f.stem order by original_filename nulls first, upload_id) as earlier from f left join known k using (sha256) left join stems using (stem)),
+o as (select *, case when earlier is not null and earlier <> sha256 then earlier when lo <> sha256 then lo when hi <> sha256 then hi end as other from r),
+p as (select *, case when sha256 is null or original_filename is null then 'failed' when coalesce(done, false) or same then 'skipped' when coalesce(chars, 0) < 50 then 'failed' when other is not null then 'updated' else 'new' end as status from o)
+select upload_id, sha256, stem, status, case when status = 'updated' then other end as replaces from p""")
+def ingest_classify(spark, d):
+    """Uploads after the first batch against the first."""
+    s = table(spark, d, "source_map").select("upload_id", "sha256", "original_filename", "generated_pages", "batch_id").distinct()
+    chars = table(spark, d, "structure").groupBy("sha256").agg(F.max(F.length("content_md")).alias("chars"))
+    return ingest.ingest(s.where("batch_id > 0").join(chars, "sha256", "left"), s.where("batch_id = 0"))
+
+
+@query("select sha256, original_filename, upload_id from (select *, row_number() over (partition by sha256 order by upload_id desc) as k from (select distinct sha256, original_filename, upload_id from source_map)) where k = 1")
+def ingest_upsert(spark, d):
+    """The latest row of each hash."""
+    s = table(spark, d, "source_map").select("sha256", "original_filename", "upload_id", "batch_id").distinct()
+    return ingest.upsert(s.where("batch_id = 0").drop("batch_id"), s.where("batch_id > 0").drop("batch_id"), "sha256", "upload_id")
+
+
+@query(f"select {STEM} as stem, list_sort(list(distinct sha256)) as shas from source_map where sha256 is not null and {STEM} <> '' group by 1")
+def ingest_stem_index(spark, d):
+    return ingest.stem_index(table(spark, d, "source_map"))
+
+
+@query("select distinct upload_id, original_filename from source_map where contains(lower(original_filename), 'handbook')")
+def ingest_find(spark, d):
+    return ingest.find_records(table(spark, d, "source_map"), "Handbook").select("upload_id", "original_filename").distinct()
+
+
+@query(f"""with q as (select distinct original_filename as path, lower({STEM}) as stem from source_map where batch_id = 1 and lower({STEM}) <> '')
+select distinct path, s.original_filename from q join (select distinct original_filename from source_map where batch_id = 0) s on contains(lower(s.original_filename), q.stem)""")
+def ingest_conflicts(spark, d):
+    """Files of one batch whose stem a known name contains."""
+    s = table(spark, d, "source_map")
+    return ingest.conflicts(s.where("batch_id = 1").select(F.col("original_filename").alias("path")), s.where("batch_id = 0"))
+
+
+@query(r"select doc_id, sha256(regexp_replace(text, '(?s)\A---.*?\n---', '') || coalesce(stem, '')) as cache_key from documents where text is not null")
+def ingest_cache_keys(spark, d):
+    return table(spark, d, "documents").where("text is not null").select("doc_id", ingest.cache_key("text", "stem").alias("cache_key"))
+
+
+@query("""with s as (select distinct upload_id, sha256, raw_path, original_filename from source_map),
+h as (select sha256, max(length(trim(coalesce(content_md, '')))) as c from structure where sha256 is not null group by 1), j as (select s.*, c from s left join h using (sha256))
+select x.check, upload_id as ref from (select 'hash missing' as check, upload_id from j where sha256 is null
+union all select 'hash malformed', upload_id from j where not regexp_matches(sha256, '^[0-9a-f]{64}$') union all select 'raw path missing', upload_id from j where raw_path is null or trim(raw_path) = ''
+union all select 'file name missing', upload_id from j where original_filename is null union all select 'content missing', upload_id from j where c is null
+union all select 'content too short', upload_id from j where c < 50) x""")
+def ingest_verify(spark, d):
+    return ingest.verify_ingest(table(spark, d, "source_map"), table(spark, d, "structure"))
+
+
+@query("""select article, sha256, raw_path from (select *, row_number() over (partition by article order by sha256 is null, sha256, raw_path nulls first) as k from (select distinct unnest(generated_pages) as article, sha256, raw_path from source_map)) where k = 1""")
+def ingest_trace(spark, d):
+    """The upload each made page comes from."""
+    s = table(spark, d, "source_map")
+    return retrieval.trace(s, s.select(F.explode("generated_pages").alias("article")))
+
+
+@query("""select sha256, 'articles/' || a as article, null::varchar as title from (select 1) t, (select '' as sha256, '' as a) where false""")
+def ingest_removal_none(spark, d):
+    """A removal plan for a hash that is not known is empty."""
+    s = table(spark, d, "source_map")
+    return ingest.removal_plan(s, table(spark, d, "nodes").select(F.col("source_file").alias("path"), F.col("label").alias("title")), "0" * 64)
+
+
+# ---- compile phase
+
+@query("""select sha256[1:8] || '_compile_wiki' as task_id, sha256, f.raw_path as raw_path, 'pending' as status, f.uploaded_at as enqueued_at from (
+select sha256, max(coalesce(len(generated_pages) > 0, false)) as done, arg_min(struct_pack(raw_path := raw_path, uploaded_at := uploaded_at), upload_id) as f from source_map where sha256 is not null group by 1) where not done""")
+def compile_tasks(spark, d):
+    return compiling.tasks(table(spark, d, "source_map"))
+
+
+@query("""select task_id, cast(ceil(row_number() over (order by task_id) / 20) as int) as chunk from (select distinct task_id from concepts_index where task_id is not null)""")
+def compile_chunks(spark, d):
+    return compiling.prepare(table(spark, d, "concepts_index").where("task_id is not null").select("task_id").distinct())
+
+
+FM = r"""b as (select doc_id, text, regexp_extract(text, '(?s)\A---\n(.*?)\n---(?:\n|\z)', 1) as block from documents where text is not null),
+f as (select doc_id, text, regexp_extract(block, '(?m)^title:\s*(.*)$', 1) as t, regexp_extract(block, '(?m)^concepts:\s*\[(.*)\]$', 1) as c, regexp_extract(block, '(?m)^confidence:\s*(.*)$', 1) as conf, block from b)"""
+
+
+@query(rf"""with {FM} select doc_id, list_filter(list_transform(string_split(c, ','), lambda x: trim(x)), lambda x: x <> '') as concepts, try_cast(nullif(conf, '') as double) as confidence,
+case when block <> '' and t <> '' then trim(trim(t), '"') else regexp_extract(text, '(?m)^#[ ]+(.+?)\s*$', 1) end as title from f""")
+def compile_frontmatter(spark, d):
+    return compiling.articles(table(spark, d, "documents")).select("doc_id", "concepts", "confidence", "title")
+
+
+@query()
+def compile_article_issues(spark, d):
+    return compiling.article_issues(compiling.articles(table(spark, d, "documents")))
+
+
+@query(f"""with p as (select distinct page_id, path, name, aliases, concept_kind, summary, confidence from concept_pages)
+select page_id, issue from (select page_id, 'name missing' as issue from p where coalesce(trim(name, ' '), '') = '' union select page_id, 'summary missing' from p where coalesce(trim(summary, ' '), '') = ''
+union select page_id, 'aliases missing' from p where aliases is null or len(aliases) = 0 union select page_id, 'kind unknown' from p where concept_kind is null or concept_kind not in {compiling.CONCEPT_KINDS}
+union select page_id, 'path outside concepts' from p where not coalesce(path like 'concepts/%', false) union select page_id, 'confidence out of range' from p where not isnan(confidence) and (confidence < 0 or confidence > 1))""")
+def compile_concept_issues(spark, d):
+    return compiling.concept_issues(table(spark, d, "concept_pages"))
+
+
+@query(rf"""with {FM}, x as (select doc_id, try_cast(nullif(conf, '') as double) as confidence, list_filter(list_transform(string_split(c, ','), lambda x: trim(x)), lambda x: x <> '') as cs from f),
+y as (select doc_id, confidence, unnest(case when len(cs) = 0 then [null] else cs end) as c from x), k as (select distinct name from concepts_index),
+g as (select doc_id, max(confidence) as conf, count(c) filter (c not in (select name from k where name is not null)) as new_concepts from y group by 1)
+select doc_id, new_concepts, case when new_concepts > 0 or coalesce(conf < 0.7, true) then 'review' else 'auto' end as risk from g""")
+def compile_risk(spark, d):
+    return compiling.risk(compiling.articles(table(spark, d, "documents")), table(spark, d, "concepts_index"))
+
+
+@query()
+def compile_pages(spark, d):
+    """The page of every concept that articles name."""
+    return compiling.compiled_pages(compiling.articles(table(spark, d, "documents")), concepts.reduce_index(table(spark, d, "concepts_index")))
+
+
+@query("select source, count(*) as documents, sum(cast(floor(length(text) / 2.5) as bigint)) as tokens from documents where text is not null group by 1")
+def compile_costs(spark, d):
+    rows = table(spark, d, "documents").where("text is not null")
+    return rows.groupBy("source").agg(F.count("*").alias("documents"), F.sum(compiling.tokens_of("text")).alias("tokens"))
+
+
+# ---- concept index
+
+REDUCED = """r as (select distinct seq, name, path, aliases, summary, article_count from concepts_index where name is not null),
+al as (select name, list_sort(list(distinct a)) as aliases from (select name, unnest(aliases) as a from r) where trim(a, ' ') <> '' group by 1),
+red as (select name, arg_max(path, seq) as path, arg_max(summary, seq) filter (trim(summary, ' ') <> '') as summary, sum(coalesce(article_count, 0)) as article_count from r group by 1),
+idx as (select name, path, coalesce(al.aliases, []) as aliases, summary, article_count from red left join al using (name))"""
+# both sides leave out the reading of lists inside summaries of more than one kind of bracket
+ANNOUNCED = r"list_filter(list_transform(regexp_split_to_array(regexp_extract(coalesce(summary, ''), '(?i)[（(]\s*(?:别名|aka|also\s+known\s+as|a\.k\.a\.?)\s*[:：]\s*([^)）]+)[)）]', 1), '[,，、;；]'), lambda x: trim(x)), lambda x: x <> '')"
+CANON = f"""w as (select name, unnest({ANNOUNCED}) as a from idx),
+ex as (select lower(name) as key, name from idx union all select lower(a), name from (select name, unnest(aliases) as a from idx) where a <> ''),
+canon as (select coalesce(x.key, y.key) as key, coalesce(x.name, y.name) as name from (select key, max(name) as name from ex group by 1) x
+full join (select lower(a) as key, min(name) as name from w group by 1) y using (key))"""
+
+
+@query(f"with {REDUCED} select * from idx")
+def concepts_reduce(spark, d):
+    return concepts.reduce_index(table(spark, d, "concepts_index"))
+
+
+@query(f"with {REDUCED} select name, case when len(aliases) = 0 then {ANNOUNCED} else aliases end as aliases from idx")
+def concepts_backfill_aliases(spark, d):
+    return concepts.backfill_aliases(concepts.reduce_index(table(spark, d, "concepts_index"))).select("name", "aliases")
+
+
+@query(f"with {REDUCED}, {CANON} select key, name from canon")
+def concepts_canonical_map(spark, d):
+    return concepts.canonical_map(concepts.reduce_index(table(spark, d, "concepts_index")))
+
+
+@query(f"""with {REDUCED}, names as (select distinct name, lower(n) as n from (select name, unnest(list_append(aliases, name)) as n from idx) where n <> ''),
+terms as (select distinct struct_id, lower(t) as t from (select struct_id, unnest(key_terms) as t from structure) where t <> ''),
+g as (select struct_id, name, count(distinct t) as score from terms join names on contains(n, t) or contains(t, n) group by 1, 2)
+select struct_id, name, score from (select *, row_number() over (partition by struct_id order by score desc, name) as r from g) where r <= 5""")
+def concepts_match(spark, d):
+    """Concepts related to the key terms of each text."""
+    terms = table(spark, d, "structure").select("struct_id", F.explode("key_terms").alias("term"))
+    return concepts.match_terms(terms, concepts.reduce_index(table(spark, d, "concepts_index")), "struct_id")
+
+
+# ---- graph assembly
+
+@query(f"with {NODES} select * from n")
+def graph_nodes(spark, d):
+    return graph.merge_nodes(table(spark, d, "nodes")).drop("attrs")
+
+
+@query(f"with {NODES}, {EDGES} select source, target, relation, confidence, confidence_score, seq from e")
+def graph_edges(spark, d):
+    return _graph(spark, d)[1].select("source", "target", "relation", "confidence", "confidence_score", "seq")
+
+
+HEALED = """h0 as (select id, label, replace(source_file, '\\', '/') as src, source_file as sf, file_type as ft from n),
+h as (select id, label, case when src like 'concepts/%' then 'concept' when src like 'articles/%' then 'document' else ft end as file_type,
+case when src like 'concepts/%' or src like 'articles/%' then src when sf = '' then sf when ft = 'concept' then 'concepts/' || src when ft = 'document' then 'articles/' || src else sf end as source_file from h0)"""
+CONSOLIDATED = HEALED + r""", kh as (select source_file, arg_min(struct_pack(id := id, label := label, ft := file_type), (case when coalesce(label, '') = '' then '1' else '0' end) || id) as x from h where source_file <> '' group by 1),
+kept as (select x.id as id, coalesce(nullif(x.label, ''), regexp_replace(regexp_extract(source_file, '([^/\\]*)$', 1), '(.)\.[^.]*$', '\1')) as label, x.ft as file_type, source_file from kh
+union all select id, coalesce(nullif(label, ''), id), file_type, source_file from h where source_file is null or source_file = ''),
+red1 as (select h.id, kept.id as to_ from h join kept using (source_file) where h.source_file <> '' and h.id <> kept.id)"""
+
+
+@query(f"with {NODES}, {CONSOLIDATED} select * from kept")
+def graph_consolidate(spark, d):
+    return graph.consolidate(table(spark, d, "nodes"))[0].drop("attrs")
+
+
+REWIRED = """rw as (select coalesce(a.to_, source) as source, coalesce(b.to_, target) as target, relation, confidence, seq from (select distinct source, target, relation, confidence, seq from edges) ed
+left join red1 a on a.id = source left join red1 b on b.id = target where source <> '' and target <> ''),
+rewired as (select source, target, relation, arg_min(confidence, seq) as confidence, min(seq) as seq from rw where source <> target group by 1, 2, 3)"""
+
+
+@query(f"with {NODES}, {CONSOLIDATED}, {REWIRED} select source, target, relation, seq from rewired")
+def graph_rewired_edges(spark, d):
+    """Edges after nodes of one file became one."""
+    moved = graph.consolidate(table(spark, d, "nodes"))[1]
+    e = table(spark, d, "edges").select("source", "target", "relation", "confidence", "seq").distinct()
+    return graph.redirect_edges(e, moved).select("source", "target", "relation", "seq")
+
+
+@query(f"""with {NODES}, {REDUCED}, {CANON}, mp as (select n.*, c.name as cname from n join canon c on n.file_type = 'concept' and c.key = lower(trim(n.label))),
+hd as (select cname, arg_min(id, (case when trim(label) <> cname then '1' else '0' end) || id) as id, list(distinct id) as ids from mp group by 1)
+select id, cname as label, list_sort(list_filter(ids, lambda x: x <> id)) as aliases_ids from hd""")
+def graph_merge_aliases(spark, d):
+    """Concept nodes that mean one name, and the ids that melted into them."""
+    names = concepts.canonical_map(concepts.reduce_index(table(spark, d, "concepts_index")))
+    merged, _ = graph.merge_aliases(graph.merge_nodes(table(spark, d, "nodes")), names)
+    listed = names.select(F.col("name").alias("label")).distinct()
+    return merged.where("file_type = 'concept'").join(listed, "label", "left_semi").select("id", "label", "aliases_ids")
+
+
+@query(f"with {NODES} select id, label from n where file_type = 'concept' and coalesce(source_file, '') = '' and id not in (select source from edges where source is not null union select target from edges where target is not null) and coalesce(label, '') not in (select name from concept_pages where name is not null) and label is not null union all select id, label from n where file_type = 'concept' and coalesce(source_file, '') = '' and id not in (select source from edges where source is not null union select target from edges where target is not null) and label is null")
+def graph_orphans(spark, d):
+    stems = table(spark, d, "concept_pages").select(F.col("name").alias("stem"))
+    return graph.orphans(graph.merge_nodes(table(spark, d, "nodes")), table(spark, d, "edges"), stems)
+
+
+@query(f"""with {NODES}, {REDUCED}, {CANON}, st as (select distinct regexp_replace(regexp_extract(path, '([^/\\\\]*)$', 1), '(.)\\.[^.]*$', '\\1') as stem from concepts_index where path is not null),
+ba as (select name as canonical_name, stem as duplicate from st join canon on key = lower(stem) where name <> stem),
+sm as (select distinct case when length(a.label) <= length(b.label) then a.label else b.label end as canonical_name, case when length(a.label) <= length(b.label) then b.label else a.label end as duplicate
+from edges e join n a on a.id = e.source join n b on b.id = e.target where relation = 'semantically_similar_to' and confidence_score >= 0.85 and not isnan(confidence_score)
+and a.label in (select stem from st) and b.label in (select stem from st) and a.label <> b.label and a.label <> '' and b.label <> '')
+select *, 'aliases' as source from ba union all select *, 'graph_semantic' from (select * from sm except select * from ba)""")
+def graph_duplicates(spark, d):
+    index = concepts.reduce_index(table(spark, d, "concepts_index"))
+    stems = table(spark, d, "concepts_index").where("path is not null").select(paths.stem_of("path").alias("stem"))
+    return graph.duplicates(stems, concepts.canonical_map(index), graph.merge_nodes(table(spark, d, "nodes")), table(spark, d, "edges"))
+
+
+_ONE = "select distinct id, label, file_type, source_file from nodes"
+_EDGE = "select distinct seq, source, target, relation, confidence, confidence_score from edges"
+
+
+@query(f"""with nn as ({_ONE}), ee as ({_EDGE}), ids as (select distinct id from nodes where id is not null)
+select issue, ref from (select 'node id missing' as issue, coalesce(id, '') as ref from nn where id is null or id = ''
+union all select 'node label missing', coalesce(id, '') from nn where coalesce(label, '') = ''
+union all select 'node label is an id', coalesce(id, '') from nn where label <> '' and (label = id or regexp_matches(label, '{graph.ID_LIKE}'))
+union all select 'node type missing', coalesce(id, '') from nn where file_type is null union all select 'node type unknown', coalesce(id, '') from nn where file_type not in {graph.NODE_TYPES}
+union all select 'node id repeated', id from nn where id is not null group by id having count(*) > 1
+union all select 'edge end missing', cast(seq as varchar) from ee where coalesce(source, '') = '' or coalesce(target, '') = ''
+union all select 'edge is a loop', cast(seq as varchar) from ee where source = target
+union all select 'edge end unknown', cast(seq as varchar) from ee where (source is not null and source not in (select id from ids)) or (target is not null and target not in (select id from ids))
+union all select 'edge score missing', cast(seq as varchar) from ee where confidence_score is null
+union all select 'edge score not a number', cast(seq as varchar) from ee where isnan(confidence_score)
+union all select 'edge score out of range', cast(seq as varchar) from ee where not isnan(confidence_score) and (confidence_score < 0 or confidence_score > 1)
+union all select 'edge relation unknown', cast(seq as varchar) from ee where relation not in {graph.RELATIONS}
+union all select 'edge confidence unknown', cast(seq as varchar) from ee where confidence is null or confidence not in {graph.CONFIDENCES})""")
+def graph_issues(spark, d):
+    return graph.issues(table(spark, d, "nodes"), table(spark, d, "edges"))
+
+
+@query(f"""with nn as (select distinct id, label, file_type from nodes), ee as ({_EDGE}) select 'nodes' as part, coalesce(file_type, '(none)') as kind, count(*) as n from nn group by 2
+union all select 'edges', coalesce(confidence, '(none)'), count(*) from ee group by 2""")
+def graph_status(spark, d):
+    """How many nodes and edges of each kind."""
+    n = table(spark, d, "nodes").select("id", "label", "file_type").distinct().groupBy(F.coalesce("file_type", F.lit("(none)")).alias("kind")).agg(F.count("*").alias("n"))
+    e = table(spark, d, "edges").select("seq", "source", "target", "relation", "confidence", "confidence_score").distinct()
+    e = e.groupBy(F.coalesce("confidence", F.lit("(none)")).alias("kind")).agg(F.count("*").alias("n"))
+    return n.select(F.lit("nodes").alias("part"), "kind", "n").unionByName(e.select(F.lit("edges").alias("part"), "kind", "n"))
+
+
+@query("""with ks as (select 'edge' as kind, source || '|' || target || '|' || coalesce(relation, '') as key, seq % 2 as half from edges where source is not null and target is not null)
+select 'new' as change, kind, key from (select kind, key from ks where half = 1 except select kind, key from ks where half = 0)
+union all select 'removed', kind, key from (select kind, key from ks where half = 0 except select kind, key from ks where half = 1)""")
+def graph_diff(spark, d):
+    """Edges of odd and even arrival compared as two graphs."""
+    n, e = table(spark, d, "nodes"), table(spark, d, "edges")
+    return graph.diff(n, e.where(F.col("seq") % 2 == 0), n, e.where(F.col("seq") % 2 == 1))
+
+
+HYPER = "hy as (select 'h:' || source as id, list_sort(list(distinct target)) as members from edges where relation = 'includes_module' and source is not null and target is not null group by source having count(distinct target) >= 3)"
+
+
+@query(f"with {HYPER} select id, members, len(members) as member_count from hy")
+def graph_hyperedges(spark, d):
+    return graph.hyperedges(table(spark, d, "edges"))
+
+
+@query(f"""with {NODES}, {CONSOLIDATED}, {HYPER}, x as (select id, unnest(members) as m, generate_subscripts(members, 1) as pos from hy), y as (select x.id, coalesce(to_, m) as m, min(pos) as pos from x left join red1 on red1.id = m group by 1, 2)
+select id, list(m order by pos) as members, count(*) as member_count from y group by 1 having count(*) >= 2""")
+def graph_hyper_members(spark, d):
+    """Hyperedges after nodes of one file became one."""
+    return graph.redirect_members(graph.hyperedges(table(spark, d, "edges")), graph.consolidate(table(spark, d, "nodes"))[1])
+
+
+# ---- analytics
+
+@query(f"with {GRAPH} select * from deg")
+def graph_degrees(spark, d):
+    return analytics.degrees(*_graph(spark, d))
+
+
+@query(f"with {GRAPH} select id, coalesce(label, id) as label, degree from n join deg using (id) order by degree desc, id limit 10")
+def graph_god_nodes(spark, d):
+    return analytics.god_nodes(*_graph(spark, d))
+
+
+@query(f"with {GRAPH} select id, coalesce(label, id) as label, degree from n join deg using (id) where file_type <> 'document' or file_type is null order by degree desc, id limit 10")
+def graph_god_concepts(spark, d):
+    """The most linked nodes that are no documents."""
+    return analytics.god_nodes(*_graph(spark, d), without_types=("document",))
+
+
+@query(f"with {GRAPH}, {MEMBERS} select id, community from m")
+def graph_members(spark, d):
+    """Communities by two rounds of label propagation."""
+    return _members(*_graph(spark, d))
+
+
+@query()
+def graph_communities(spark, d):
+    """Communities by the whole rule: four rounds, large ones split."""
+    n, e = _graph(spark, d)
+    return analytics.communities(cut(n), cut(e))
+
+
+@query(f"""with {GRAPH}, {MEMBERS}, sizes as (select community, count(*) as members from m group by 1), ins as (select a.community, count(*) as c from e join m a on a.id = source join m b on b.id = target where a.community = b.community and source <> target group by 1)
+select community, members, case when members < 2 then 1.0 else round(coalesce(c, 0) / (members * (members - 1) / 2), 2) end as cohesion from sizes left join ins using (community)""")
+def graph_cohesion(spark, d):
+    n, e, m = _whole(spark, d)
+    return analytics.cohesion(m, e)
+
+
+@query(f"""with {GRAPH}, {MEMBERS}, o as (select source as id, a.community, count(distinct b.community) as connected from e join m a on a.id = source join m b on b.id = target where a.community <> b.community group by 1, 2),
+r as (select *, row_number() over (partition by community order by connected desc, id) as k from o) select community, id, coalesce(label, id) as label, degree, connected from r join n using (id) join deg using (id) where k <= 3""")
+def graph_bridges(spark, d):
+    return analytics.bridges(*_whole(spark, d))
+
+
+FACTS = """fx as (select e.*, coalesce(a.label, a.id) as lu, coalesce(b.label, b.id) as lv, a.file_type as tu, b.file_type as tv, a.source_file as fu, b.source_file as fv, da.degree as du, db.degree as dv, ma.community as cu, mb.community as cv
+from e join n a on a.id = source join n b on b.id = target join deg da on da.id = source join deg db on db.id = target join m ma on ma.id = source join m mb on mb.id = target)"""
+_TRUST = "case confidence when 'AMBIGUOUS' then 3 when 'INFERRED' then 2 else 1 end"
+_HUB = "case when (du <= 2 and dv >= 5) or (dv <= 2 and du >= 5) then 1 else 0 end"
+
+
+def _surprise(base: str) -> str:
+    return f"cast((case when relation = 'semantically_similar_to' then floor(({base}) * 1.5) else {base} end) as int) + {_HUB}"
+
+
+_BASE = f"{_TRUST} + case when tu <> tv then 2 else 0 end + case when cu <> cv then 1 else 0 end"
+
+
+@query(f"""with {GRAPH}, {MEMBERS}, {FACTS}, sc as (select *, {_surprise(_BASE)} as score from fx)
+select source, target, lu as source_label, lv as target_label, relation, coalesce(confidence, 'EXTRACTED') as confidence, score from sc where score > 1 order by score desc, seq, source, target limit 5""")
+def graph_surprising(spark, d):
+    return analytics.surprising(*_whole(spark, d))
+
+
+def _cat(c: str) -> str:
+    x = f"lower(regexp_extract({c}, '\\.([^./]+)$', 1))"
+    return f"case when {x} = 'pdf' then 'paper' when {x} in ('png','jpg','jpeg','gif','webp','svg') then 'image' when {x} in ('md','txt','rst','') then 'doc' else 'code' end"
+
+
+_BASE2 = f"{_TRUST} + case when {_cat('fu')} <> {_cat('fv')} then 2 else 0 end + case when split_part(fu, '/', 1) <> split_part(fv, '/', 1) then 2 else 0 end + case when cu <> cv then 1 else 0 end"
+
+
+@query(f"""with {GRAPH}, {MEMBERS}, {FACTS}, sc as (select *, {_surprise(_BASE2)} as score from fx where fu <> '' and fv <> '' and fu <> fv and coalesce(relation not in {analytics.STRUCTURAL}, true))
+select source, target, relation, score from sc order by score desc, seq, source, target limit 5""")
+def graph_cross_file(spark, d):
+    return analytics.cross_file(*_whole(spark, d))
+
+
+@query(f"""with {GRAPH}, {MEMBERS}, {FACTS}, z as (select *, case confidence when 'AMBIGUOUS' then 0 when 'INFERRED' then 1 when 'EXTRACTED' then 2 else 3 end as rk from fx where cu <> cv),
+k as (select *, row_number() over (partition by least(cu, cv), greatest(cu, cv) order by rk, seq, source, target) as p from z)
+select least(cu, cv) as community_a, greatest(cu, cv) as community_b, source, target, relation, confidence from k where p = 1 order by rk, seq, 1, 2 limit 5""")
+def graph_cross_community(spark, d):
+    n, e, m = _whole(spark, d)
+    return analytics.cross_community(e, m)
+
+
+@query(f"""with {GRAPH}, {MEMBERS} select 'isolated' as gap, id as ref, cast(degree as double) as n from deg where degree <= 1
+union all select 'thin community', cast(community as varchar), cast(count(*) as double) from m group by community having count(*) < 3
+union all select 'ambiguous percent', '', round(sum(cast(confidence = 'AMBIGUOUS' as int)) * 100 / greatest(count(*), 1), 1) from e""")
+def graph_gaps(spark, d):
+    return analytics.gaps(*_whole(spark, d))
+
+
+@query()
+def graph_questions(spark, d):
+    return analytics.questions(*_whole(spark, d))
+
+
+@query(f"""with {GRAPH}, {MEMBERS}, p as (select m.community, n.label, row_number() over (partition by m.community order by case when file_type = 'concept' then 0 else 1 end, degree desc, n.id) as r from m join n using (id) join deg using (id) where label <> ''),
+f as (select community, label, row_number() over (partition by label order by community) as k from p where r = 1)
+select c.community, coalesce(case when k > 1 then label || ' (#' || c.community || ')' else label end, '社区' || c.community) as name from (select distinct community from m) c left join f using (community)""")
+def graph_community_names(spark, d):
+    return analytics.name_communities(*_whole(spark, d))
+
+
+@query()
+def graph_betweenness(spark, d):
+    n, e = _graph(spark, d)
+    return analytics.betweenness(cut(n), cut(e), sources=8, depth=4)
+
+
+# ---- retrieval
+
+# SQL has no compatibility decomposition; of it, only full-width letters occur in labels
+WIDE = ''.join(map(chr, range(0xFF01, 0xFF5F)))
+PLAIN = ''.join(map(chr, range(0x21, 0x7F))).replace("'", "''")
+TERMS = ("payroll", "metering", "采购")
+_SCORE = " + ".join(f"case when contains(l, '{t}') then 1.0 when contains(s, '{t}') then 0.5 else 0.0 end" for t in TERMS)
+SCORED = f"scored as (select id, coalesce(label, id) as label, cast({_SCORE} as double) as score from (select id, label, lower(strip_accents(translate(coalesce(label, ''), '{WIDE}', '{PLAIN}'))) as l, lower(coalesce(source_file, '')) as s from n))"
+STARTS = "starts as (select id from scored where score > 0 order by score desc, id limit 3)"
+BFS = """bl as (select source as a, target as b from e union select target, source from e), v0 as (select id, 0 as depth from starts),
+s1 as (select distinct a as source, b as target, 1 as depth from v0 join bl on a = id where b not in (select id from v0)), v1 as (select * from v0 union all select distinct target, 1 from s1),
+s2 as (select distinct a, b, 2 from v1 join bl on a = id where v1.depth = 1 and b not in (select id from v1)), v2 as (select * from v1 union all select distinct b, 2 from s2)"""
+BFS_ALL = f"{GRAPH}, {SCORED}, {STARTS}, {BFS}"
+
+
+@query(f"with {NODES}, {SCORED} select * from scored where score > 0")
+def retrieve_scores(spark, d):
+    """All nodes a question hits, with their score."""
+    return retrieval.score_nodes(graph.merge_nodes(table(spark, d, "nodes")), list(TERMS))
+
+
+@query("""select distinct id from nodes where contains(lower(attrs['region']), 'west') and contains(lower(file_type), 'doc')""")
+def retrieve_filtered(spark, d):
+    """Nodes that pass a filter on their attributes."""
+    chosen = retrieval.parse_filters(["--filter", "region=west", "--filter=file_type=doc"])
+    return table(spark, d, "nodes").where(retrieval.matches(chosen)).select("id").distinct()
+
+
+def _visited(spark, d):
+    n, e = _graph(spark, d)
+    n, e = cut(n), cut(e)
+    starts = cut(retrieval.score_nodes(n, list(TERMS)).limit(3))
+    return n, e, starts, *retrieval.bfs(e, starts, 2)
+
+
+@query(f"with {BFS_ALL} select * from v2")
+def retrieve_bfs(spark, d):
+    """Nodes within two steps of the best three, and how far they are."""
+    return _visited(spark, d)[3]
+
+
+@query(f"with {BFS_ALL} select * from s1 union all select * from s2")
+def retrieve_bfs_steps(spark, d):
+    return _visited(spark, d)[4]
+
+
+INNER = "inn as (select v.id, count(e.source) as inner_ from (select distinct id from v2) v left join (select source, target from e where target in (select id from v2)) e on e.source = v.id group by 1)"
+
+
+@query(f"""with {BFS_ALL}, {INNER}, c as (select source_file, inner_ + case when inn.id in (select id from starts) then 10000 else 0 end as score, case when source_file like 'concepts/%' then 1 when source_file like 'articles/%' then 0 end as kind from inn join n using (id)),
+r as (select *, row_number() over (partition by kind order by score desc, source_file) as k from c where kind is not null), q as (select count(*) filter (kind = 1 and k <= 6) as nc, count(*) filter (kind = 0 and k <= 6) as na from r),
+t as (select case when nc > least(3, nc) then least(nc, least(3, nc) + (6 - least(3, nc) - least(3, na))) else least(3, nc) end as tc, case when nc > least(3, nc) then least(3, na) else least(na, least(3, na) + (6 - least(3, nc) - least(3, na))) end as ta from q)
+select row_number() over (order by kind, k) as ord, source_file, score from r, t where k <= case when kind = 1 then tc else ta end""")
+def retrieve_pages(spark, d):
+    n, e, starts, visited, _ = _visited(spark, d)
+    return retrieval.rank_pages(n, e, visited, starts)
+
+
+@query()
+def retrieve_text(spark, d):
+    n, e, _, visited, _ = _visited(spark, d)
+    return retrieval.render(n, e, visited)
+
+
+@query()
+def retrieve_dfs(spark, d):
+    n, e, starts, _, _ = _visited(spark, d)
+    return retrieval.dfs(e, [r["id"] for r in starts.collect()], 3)  # three rows
+
+
+# ---- reports and exports
+
+@query(f"""with {NODES}, {EDGES} select 'MERGE (n:' || coalesce(nullif(regexp_replace(file_type, '[^A-Za-z0-9_]', '', 'g'), ''), 'Entity') || ' {{id: ''' || replace(replace(id, '\\', '\\\\'), '''', '\\''') || ''', label: ''' || replace(replace(substr(regexp_replace(coalesce(label, id), '[\\x00-\\x1f\\x7f]', '', 'g'), 1, 256), '\\', '\\\\'), '''', '\\''') || '''}});' as line from n
+union all select 'MATCH (a {{id: ''' || replace(replace(source, '\\', '\\\\'), '''', '\\''') || '''}}), (b {{id: ''' || replace(replace(target, '\\', '\\\\'), '''', '\\''') || '''}}) MERGE (a)-[:' || coalesce(nullif(regexp_replace(upper(relation), '[^A-Z0-9_]', '_', 'g'), ''), 'RELATED_TO') || ']->(b);' from e""")
+def export_cypher(spark, d):
+    return exports.cypher(*_graph(spark, d))
+
+
+@query()
+def export_node_links(spark, d):
+    return exports.node_links(*_whole(spark, d))
+
+
+@query()
+def export_graphml(spark, d):
+    return exports.graphml(*_whole(spark, d))
+
+
+@query(f"""with {GRAPH}, {MEMBERS}, t as (select max(degree) as top from deg)
+select id, substr(regexp_replace(coalesce(label, id), '[\\x00-\\x1f\\x7f]', '', 'g'), 1, 256) as label, round(10 + 30 * degree / top, 1) as size, degree >= 0.15 * top as show, community from n join deg using (id) join m using (id), t""")
+def export_vis_nodes(spark, d):
+    return exports.vis_nodes(*_whole(spark, d))
+
+
+@query()
+def export_notes(spark, d):
+    return exports.notes(*_whole(spark, d))
+
+
+@query()
+def export_canvas(spark, d):
+    return exports.canvas(_whole(spark, d)[2])
+
+
+@query()
+def report_summary(spark, d):
+    return exports.summary_lines(*_whole(spark, d))
+
+
+@query()
+def report_community_pages(spark, d):
+    return exports.community_pages(*_whole(spark, d))
+
+
+# ---- backfill
+
+@query(rf"""with s as (select unnest(generated_pages) as p, sha256 from source_map), x as (select {STEM_OF('p')} as stem, sha256, '0' as k from s union all select {STEM}, sha256, '1' from source_map)
+select stem, arg_min(sha256, k || sha256) as sha256 from x where stem <> '' and sha256 is not null group by 1""")
+def backfill_sha(spark, d):
+    return backfill.sha_lookup(table(spark, d, "source_map"))
+
+
+@query(f"""with {NODES}, {EDGES} select source as id, list_sort(list(distinct label)) as concepts from e join n on n.id = target where relation in {backfill.CONCEPT_RELATIONS} and file_type = 'concept' and label <> '' group by 1""")
+def backfill_concepts(spark, d):
+    return backfill.concepts_of(*_graph(spark, d))
+
+
+@query(r"""select doc_id, regexp_extract(text, '(?m)^#\s+(.+?)\s*$', 1) as title, length(text) as chars from documents where text is not null and not regexp_matches(text, '\A---[ \t]*\n')""")
+def backfill_needed(spark, d):
+    return backfill.needs_backfill(table(spark, d, "documents"))
+
+
+@query()
+def backfill_articles(spark, d):
+    return backfill.article_fields(table(spark, d, "documents"), table(spark, d, "source_map"))
+
+
+@query(r"""select doc_id, list_sort(list_distinct(regexp_extract_all(text, '\[\[([^\]|\n]+)(?:\|[^\]\n]*)?\]\]', 1))) as links from documents where text is not null""")
+def backfill_wikilinks(spark, d):
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.array_sort(pages.wikilinks("text")).alias("links"))
+
+
+# ---- logs and verifiers
+
+@query("select event_type, time_bucket(interval 1 day, ts) as start, count(*) as calls, round(sum(value), 4) as total from events where ts is not null group by 1, 2")
+def logs_daily(spark, d):
+    """Events of each type by day."""
+    rows = logs.costs(table(spark, d, "events"), at="ts", op="event_type", amount="value")
+    return rows.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("select event_id, event_type, ts from events order by ts desc, event_id desc limit 20")
+def logs_tail(spark, d):
+    """The last twenty events."""
+    return logs.tail(table(spark, d, "events"), 20, "ts", "event_id").select("event_id", "event_type", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query("""select user_id, start, "end", n from (select user_id, min(ts) as start, max(ts) + interval 30 minutes as "end", count(*) as n from (
+select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as s from (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) <= interval 30 minutes then 0 else 1 end as new from events where ts is not null)) group by user_id, s)""")
+def logs_sessions(spark, d):
+    """Sessions of each user: events no more than half an hour apart."""
+    rows = jobs.sessions(table(spark, d, "events").where("ts is not null"), "user_id", "ts")
+    return rows.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@query("select event_id, user_id, event_type, lag(event_type) over (partition by user_id order by ts, event_type, event_id) as before_kind from events")
+def logs_previous(spark, d):
+    """What each user did before."""
+    by = ["ts", "event_type", "event_id"]
+    rows = table(spark, d, "events").withColumn("order", F.struct(*by))
+    return logs.previous(rows, "user_id", "order", "event_type").select("event_id", "user_id", "event_type", "before_kind")
+
+
+@query(f"""with {NODES}, {EDGES} select 'relation not allowed' as "check", coalesce(relation, '(none)') as ref from e where relation is null or relation not in {graph.RELATIONS} group by 2
+union all select 'label holds markup', id from n where regexp_matches(label, '[*`\\[\\]#]') union all select 'label too long for a file', id from n where length(label) > 120""")
+def verify_graph(spark, d):
+    """What is wrong with the built graph."""
+    return verify.verify_graph(*_whole(spark, d))
+
+
+@query(f"""with {REDUCED} select 'page missing' as "check", name as ref from idx where path is null or path not in (select path from concept_pages where path is not null)
+union all select 'summary missing', name from idx where summary is null or trim(summary, ' ') = '' union all select 'count negative', name from idx where article_count < 0""")
+def verify_index(spark, d):
+    """What is wrong with the concept index."""
+    return verify.verify_index(concepts.reduce_index(table(spark, d, "concepts_index")), table(spark, d, "concept_pages"))
