@@ -88,6 +88,10 @@ def glob_regex(pattern: str) -> str:
     return "(?s)^(?:" + out + ")$"
 
 
+def _like(pattern: str):
+    return lambda x: x.rlike(pattern)
+
+
 def is_ignored(path: Column | str, patterns: list[str]) -> Column:
     """Whether an ignore pattern matches the path, its name, a part of it or a prefix of it."""
     c = F.col(path) if isinstance(path, str) else path
@@ -98,7 +102,7 @@ def is_ignored(path: Column | str, patterns: list[str]) -> Column:
         rx = glob_regex(p)
         parts = F.split(c, "/")
         prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-        out = out | c.rlike(rx) | F.exists(parts, lambda x, rx=rx: x.rlike(rx)) | F.exists(prefixes, lambda x, rx=rx: x.rlike(rx))
+        out = out | c.rlike(rx) | F.exists(parts, _like(rx)) | F.exists(prefixes, _like(rx))
     return out
 
 

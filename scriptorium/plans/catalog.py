@@ -373,8 +373,8 @@ def graph_rewired_edges(spark, d):
     return graph.redirect_edges(e, moved).select("source", "target", "relation", "seq")
 
 
-@query(f"""with {NODES}, {REDUCED}, {CANON}, mp as (select n.*, c.name as cname from n join canon c on n.file_type = 'concept' and c.key = lower(trim(n.label))),
-hd as (select cname, arg_min(id, (case when trim(label) <> cname then '1' else '0' end) || id) as id, list(distinct id) as ids from mp group by 1)
+@query(f"""with {NODES}, {REDUCED}, {CANON}, mp as (select n.*, c.name as cname from n join canon c on n.file_type = 'concept' and c.key = lower(trim(n.label, ' '))),
+hd as (select cname, arg_min(id, (case when trim(label, ' ') <> cname then '1' else '0' end) || id) as id, list(distinct id) as ids from mp group by 1)
 select id, cname as label, list_sort(list_filter(ids, lambda x: x <> id)) as aliases_ids from hd""")
 def graph_merge_aliases(spark, d):
     """Concept nodes that mean one name, and the ids that melted into them."""

@@ -36,8 +36,8 @@ class Warehouse:
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(rows, corrupt): lines that parse, and those that do not."""
-    rows = spark.read.schema(schema + ", _corrupt_record string").option("mode", "PERMISSIVE").json(path)
-    rows = rows.select("*")
+    parsed = F.from_json("value", schema + ", _corrupt_record string", {"mode": "PERMISSIVE"})
+    rows = spark.read.text(path).where("trim(value) <> ''").select(parsed.alias("r")).select("r.*")
     return rows.where("_corrupt_record is null").drop("_corrupt_record"), rows.where("_corrupt_record is not null").select("_corrupt_record")
 
 

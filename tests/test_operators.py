@@ -17,7 +17,7 @@ def col(spark, expr, value):
     return spark.createDataFrame([(value,)], "x string").select(expr("x")).first()[0]
 
 
-TEXT = "# One\n###Two\n####### Seven\n#\n|a|b|\n|---|---|\n|1|2|\n|3|4|\nx\n|not|\n- a\n  - b\n\n- c\n1. x\n2. y\nAI AI 95% and 95% 30人 检索门户 检索门户 Search Portal Search Portal\n"
+TEXT = "# One\n###Two\n####### Seven\n#\n|a|b|\n|---|---|\n|1|2|\n|3|4|\nx\n|not|\n- a\n  - b\n\n- c\n1. x\n2. y\nAI AI 95% and 95% 30人 检索门户 检索门户 Search Portal, Search Portal\n"
 
 
 def test_structure(spark, rows):
@@ -79,10 +79,10 @@ def test_cache_and_changes(spark, rows):
 
 def test_concept_index(spark, rows):
     part = spark.createDataFrame(
-        [(1, "A", "p1", ["x", None, " "], "s1", 1), (2, "A", "p2", None, " ", None), (2, "A", "p2", None, " ", None), (3, None, "p", [], "s", 1), (4, "B", None, [], "B (aka q, A)", 2)],
+        [(1, "A", "p1", ["x", None, " "], "s1", 1), (2, "A", "p2", None, " ", None), (2, "A", "p2", None, " ", None), (3, None, "p", [], "s", 1), (4, "B", None, [], "B (aka: q, A)", 2)],
         "seq long, name string, path string, aliases array<string>, summary string, article_count long")
     index = concepts.reduce_index(part)
-    assert rows(index) == [("A", "p2", ["x"], "s1", 1), ("B", None, [], "B (aka q, A)", 2)]
+    assert rows(index) == [("A", "p2", ["x"], "s1", 1), ("B", None, [], "B (aka: q, A)", 2)]
     assert rows(concepts.canonical_map(index)) == [("a", "A"), ("b", "B"), ("q", "B"), ("x", "A")]
     terms = spark.createDataFrame([(1, "xyz"), (1, "q"), (2, None), (3, "a")], "doc_id long, term string")
     assert rows(concepts.match_terms(terms, index)) == [(1, "A", 1), (3, "A", 1)]
