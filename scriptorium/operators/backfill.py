@@ -35,7 +35,7 @@ def needs_backfill(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def summary_paragraph(text: str):
     """The first paragraph that is no heading, 300 characters of it; empty if there is none."""
-    parts = F.filter(F.transform(F.split(text, r"\n\s*\n"), F.trim), lambda p: (p != "") & ~p.startswith("#") & ~p.startswith("<!--") & ~p.startswith("---"))
+    parts = F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda x: F.trim(x)), lambda p: (p != "") & ~p.startswith("#") & ~p.startswith("<!--") & ~p.startswith("---"))
     return F.substring(F.coalesce(F.get(parts, F.lit(0)), F.lit("")), 1, 300)
 
 

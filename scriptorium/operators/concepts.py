@@ -26,7 +26,7 @@ def reduce_index(partials: DataFrame) -> DataFrame:
 
 def summary_aliases(summary: Column | str) -> Column:
     """Aliases announced in a summary, in order; none gives an empty array."""
-    found = F.transform(F.split(F.regexp_extract(F.coalesce(summary, F.lit("")), ALIASES, 1), "[,，、;；]"), F.trim)
+    found = F.transform(F.split(F.regexp_extract(F.coalesce(summary, F.lit("")), ALIASES, 1), "[,，、;；]"), lambda x: F.trim(x))
     return F.filter(found, lambda x: x != "")
 
 
