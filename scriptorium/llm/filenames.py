@@ -79,7 +79,7 @@ def _key(n: int, salt: int) -> int:
 
 
 def _slips(word: str) -> bool:
-    return len(word) > 3 and not word[0].isdigit()
+    return len(word) > 2 and not word[0].isdigit() and bool(word.strip("ivx"))  # a number states a part
 
 
 def keys(form: str) -> Iterator[int]:

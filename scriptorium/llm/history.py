@@ -27,7 +27,7 @@ from scriptorium.llm import filenames
 from scriptorium.llm.components import connected_components
 from scriptorium.llm.lookalike import Looks
 from scriptorium.llm.neardup import name_keys, same_name
-from scriptorium.session import scratch
+from scriptorium.session import BROADCAST_ROWS, scratch
 
 HASHES = 5
 
@@ -119,8 +119,9 @@ class FingerprintStore:
         rows = self.spark.read.parquet(self._rows(self.turn))
         self._screen(rows).write.parquet(self._filter(self.turn))
         hits = self.spark.read.parquet(self._filter(self.turn)).where("fp is not null").select("fp")
-        if self.turn:
-            known = self.spark.read.parquet(*[self._rows(k) for k in range(self.turn)]).join(hits, "fp", "left_semi")
+        if self.turn:  # what may be known is few: then the store is read, but not moved
+            hint = F.broadcast if hits.count() <= BROADCAST_ROWS else (lambda x: x)
+            known = self.spark.read.parquet(*[self._rows(k) for k in range(self.turn)]).join(hint(hits), "fp", "left_semi")
         else:
             known = rows.limit(0)
         pool = known.unionByName(rows)

@@ -80,12 +80,14 @@ class Looks:
                 if m and m != best:
                     self.table[m] = best
         self._automaton()
+        del self.parent, self.fixed
 
     @classmethod
     def universal(cls) -> Looks:
         """The table of all code points, without counts: the same in every session, for
         normal forms that are kept in a store."""
-        return cls(dict.fromkeys(map(chr, range(0x20000)), 0))
+        seeded = (ch for ch in map(chr, (*range(0x20000), *range(0xE0000, 0xE0200))) if next(_seeds(ch), None))
+        return cls(dict.fromkeys(seeded, 0))
 
     def _automaton(self) -> None:
         self.automaton = ahocorasick.Automaton()
