@@ -21,6 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm.lookalike import learn, rewriter
+from scriptorium.session import cut
+
+VALUES_A_TASK = 5_000
 
 # fixed values: words around a name that do not change what it names
 ADDED = frozenset(
@@ -35,30 +38,33 @@ _ZH = re.compile(r"[一-鿿]")
 _VOWELS = str.maketrans("", "", "aeiou")
 
 
-def levenshtein(a: str, b: str) -> int:
-    """Myers' bit-parallel distance."""
-    if len(a) < len(b):
-        a, b = b, a
+def _masks(pattern: str) -> dict[str, int]:
+    """Where each character stands in a pattern, as bits."""
+    masks: dict[str, int] = {}
+    for i, ch in enumerate(pattern):
+        masks[ch] = masks.get(ch, 0) | 1 << i
+    return masks
+
+
+def levenshtein(a: str, b: str, masks: dict[str, int] | None = None) -> int:
+    """Myers' bit-parallel distance; ``masks`` of ``b``, where many are measured against it."""
     if not b:
         return len(a)
-    peq: dict[str, int] = {}
-    for i, ch in enumerate(b):
-        peq[ch] = peq.get(ch, 0) | 1 << i
+    get = (_masks(b) if masks is None else masks).get
     full, last = (1 << len(b)) - 1, 1 << (len(b) - 1)
     pv, mv, score = full, 0, len(b)
     for ch in a:
-        eq = peq.get(ch, 0)
+        eq = get(ch, 0)
         xv = eq | mv
         xh = (((eq & pv) + pv) ^ pv) | eq
-        ph = mv | ~(xh | pv)
+        ph = mv | (full & ~(xh | pv))
         mh = pv & xh
         if ph & last:
             score += 1
         elif mh & last:
             score -= 1
         ph = ph << 1 | 1
-        mh <<= 1
-        pv = (mh | ~(xv | ph)) & full
+        pv = (mh << 1 | ~(xv | ph)) & full
         mv = ph & xv & full
     return score
 
@@ -86,9 +92,12 @@ class BKTree:
 
     def near(self, text: str, within: int) -> list[tuple[int, set]]:
         found, open_ = [], [self.root] if self.root else []
+        masks, size = _masks(text), len(text)
         while open_:
             node = open_.pop()
-            d = levenshtein(text, node[0])
+            if not node[2] and not -within <= len(node[0]) - size <= within:
+                continue  # a leaf too short or too long
+            d = levenshtein(node[0], text, masks)
             if d <= within:
                 found.append((d, node[1]))
             open_ += [child for k, child in node[2].items() if d - within <= k <= d + within]
@@ -180,11 +189,14 @@ class Matcher:
         return 99, set()
 
     def _near(self, forms: set[str], within: int) -> tuple[int, set[int]]:
-        near = [x for form in forms for x in self.tree.near(form, within)]
-        if not near:
-            return 99, set()
-        least = min(d for d, _ in near)
-        return least, set().union(*(ids for d, ids in near if d == least))
+        for most in sorted({1, 2, within}):  # a small ball prunes more, and most values are near
+            if most > within:
+                break
+            near = [x for form in forms for x in self.tree.near(form, most)]
+            if near:
+                least = min(d for d, _ in near)
+                return least, set().union(*(ids for d, ids in near if d == least))
+        return 99, set()
 
 
 def _short(typed: str, full: str) -> bool:
@@ -212,7 +224,10 @@ def map_to_list(
     spark = values.sparkSession
     typed = values.where(F.col(value).isNotNull()).select(F.col(value).alias("value")).distinct()
     looks = rewriter(learn(typed.unionByName(terms.select(F.col(term).alias("value")))), spark)
-    typed = typed.withColumn("form", looks("value"))
+    # one search costs a millisecond and a value a few bytes: partitions are counted in rows
+    typed = cut(typed.withColumn("form", looks("value")))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-typed.count() // VALUES_A_TASK))
+    typed = typed.repartition(parts)
     listed = terms.where(F.col(term).isNotNull() & F.col(term_id).isNotNull()).select(
         F.col(term_id).cast("long").alias("id"), looks(F.col(term)).alias("form")).distinct()
     shards = max(1, -(-listed.count() // shard_terms))
