@@ -13,7 +13,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
+from scriptorium.session import cut
+
 # fixed values: letters and signs of one shape, the first of each line stands for it
 SHAPES = (
     "aаɑα", "bЬ", "cсϲ", "dԁ", "eеҽ", "gɡց", "hһհ", "iіı", "jјϳ", "lӏ", "nո", "oоοօ", "pрρ", "qԛ", "sѕ", "uսυ",
@@ -178,7 +180,9 @@ def same_look(values: DataFrame, group: list[str], key: str = "key", value: str
     """
     looks = learn(values, value)
     rows = values.where(F.col(value).isNotNull() & F.col(key).isNotNull()).select(*group, F.col(key).alias("_k"), F.col(value).alias("_v"))
-    rows = rows.withColumn("_c", rewriter(looks, values.sparkSession)("_v")).where("trim(_c) <> ''").distinct()
+    # as if not deterministic: else the filter, and the rewriting with it, would also run below the distinct
+    form = rewriter(looks, values.sparkSession).asNondeterministic()
+    rows = cut(rows.distinct().withColumn("_c", form("_v")).where("trim(_c) <> ''"))
     by = [*group, "_c"]
     strings = rows.select(*by, "_v").distinct()
     many = strings.groupBy(*by).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
