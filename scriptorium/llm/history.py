@@ -30,6 +30,10 @@ from scriptorium.llm.neardup import name_keys, same_name
 from scriptorium.session import BROADCAST_ROWS, scratch
 
 HASHES = 5
+# the tables of a store
+ROWS = "fp long, form string, exact boolean, id long"
+FILTERS = "part int, bits binary, fp long"
+LINKS = "a long, b long"
 
 
 def hash_key(column: str = "sha256"):
@@ -75,6 +79,9 @@ class FingerprintStore:
         self.spark, self.path, self.parts, self.part_bits = spark, path, parts, part_bits
         self.turn, self.links = 0, None
 
+    def _read(self, schema: str, *paths: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*paths)  # a given schema saves a job a table
+
     def _rows(self, turn: int) -> str:
         return f"{self.path}/rows/{turn}"
 
@@ -101,7 +108,7 @@ class FingerprintStore:
                                  "fp": pd.array([None] + hits, dtype="Int64")})
 
         if self.turn:
-            old = self.spark.read.parquet(self._filter(self.turn - 1)).where("bits is not null").select("part", "bits")
+            old = self._read(FILTERS, self._filter(self.turn - 1)).where("bits is not null").select("part", "bits")
         else:
             old = self.spark.createDataFrame([], "part int, bits binary")
         return asked.groupBy("part").cogroup(old.groupBy("part")).applyInPandas(test, "part int, bits binary, fp long")
@@ -116,12 +123,12 @@ class FingerprintStore:
         """
         # one row a fingerprint and form; the map side combines, copies melt into their first
         batch.groupBy("fp", "form", "exact").agg(F.min("id").alias("id")).write.parquet(self._rows(self.turn))
-        rows = self.spark.read.parquet(self._rows(self.turn))
+        rows = self._read(ROWS, self._rows(self.turn))
         self._screen(rows).write.parquet(self._filter(self.turn))
-        hits = self.spark.read.parquet(self._filter(self.turn)).where("fp is not null").select("fp")
+        hits = self._read(FILTERS, self._filter(self.turn)).where("fp is not null").select("fp")
         if self.turn:  # what may be known is few: then the store is read, but not moved
             hint = F.broadcast if hits.count() <= BROADCAST_ROWS else (lambda x: x)
-            known = self.spark.read.parquet(*[self._rows(k) for k in range(self.turn)]).join(hint(hits), "fp", "left_semi")
+            known = self._read(ROWS, *[self._rows(k) for k in range(self.turn)]).join(hint(hits), "fp", "left_semi")
         else:
             known = rows.limit(0)
         pool = known.unionByName(rows)
@@ -135,13 +142,13 @@ class FingerprintStore:
         out = f"{self.path}/links/{self.turn}"
         same.unionByName(near).distinct().write.parquet(out)
         self.turn += 1
-        return self.spark.read.parquet(out)
+        return self._read(LINKS, out)
 
     def repeats(self) -> DataFrame:
         """(first_id, id): every upload with an earlier one of the same document."""
         if not self.turn:
             return self.spark.createDataFrame([], "first_id long, id long")
-        links = self.spark.read.parquet(*[f"{self.path}/links/{k}" for k in range(self.turn)])
+        links = self._read(LINKS, *[f"{self.path}/links/{k}" for k in range(self.turn)])
         groups = connected_components(links).select("group_id", F.col("node").cast("long").alias("id"))
         first = groups.groupBy("group_id").agg(F.min("id").alias("first_id"))
         return groups.join(first, "group_id").where("id <> first_id").select("first_id", "id")
