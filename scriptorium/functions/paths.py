@@ -112,3 +112,31 @@ def safe_url(url: Column | str) -> Column:
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?(\[[^\]]*\]|[^/:?#]*)", 1))
     local = host.rlike(r"^(localhost|127\.|10\.|0\.|169\.254\.|192\.168\.|172\.(1[6-9]|2\d|3[01])\.|\[::1?\]|\[f[cde])") | host.isin("metadata.google.internal", "metadata")
     return scheme.isin("http", "https") & (host != "") & ~local
+
+
+# fixed values: endings of code
+CODE = tuple(
+    ".py .ts .js .jsx .tsx .mjs .ejs .go .rs .java .cpp .cc .cxx .c .h .hpp .rb .swift .kt .kts .cs .scala .php .lua .toc .zig .ps1 .ex .exs "
+    ".m .mm .jl .vue .svelte .dart .v .sv".split()
+)
+ASSETS = (".xcassets", ".imageset")
+
+
+def content_class(path: Column | str, text: Column) -> Column:
+    """code, paper, image, document or video: a text with three signs of a paper is one, a pdf
+    among an application's assets is none."""
+    c = F.col(path) if isinstance(path, str) else path
+    end = ending_of(c)
+    asset = F.exists(F.split(c, r"[/\\]"), lambda p: p.endswith(ASSETS[0]) | p.endswith(ASSETS[1]))
+    plain = end.isin(list(ENDINGS["document"]))
+    return (
+        F.when(end.isin(list(CODE)), "code").when(end.isin(list(ENDINGS["paper"])), F.when(~asset, "paper")).when(end.isin(list(ENDINGS["image"])), "image")
+        .when(plain & (F.coalesce(paper_signals(text), F.lit(0)) >= 3), "paper").when(plain | end.isin(".docx", ".xlsx"), "document")
+        .when(end.isin(list(ENDINGS["video"])), "video")
+    )
+
+
+def sidecar(path: Column | str) -> Column:
+    """The name of the markdown beside a converted file: its stem and eight digits of its path's hash."""
+    c = F.col(path) if isinstance(path, str) else path
+    return F.concat(stem_of(c), F.lit("_"), F.substring(F.sha2(c, 256), 1, 8), F.lit(".md"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.functions.pages import title_of
+from scriptorium.functions.pages import title_of, wikilinks
 from scriptorium.functions.paths import stem_of
 
 # fixed values: relations by which an article names its concepts
@@ -43,3 +43,23 @@ def article_fields(docs: DataFrame, sources: DataFrame) -> DataFrame:
     """(doc_id, title, source_sha256, summary, created): what a legacy article gets."""
     rows = docs.where("text is not null").select("doc_id", "stem", title_of("text").alias("title"), summary_paragraph("text").alias("summary"), F.to_date("created_at").alias("created"))
     return rows.join(sha_lookup(sources), "stem", "left").select("doc_id", "title", F.substring("sha256", 1, 16).alias("source_sha256"), "summary", "created")
+
+
+def related_count(text: str, heading: str = "Related articles"):
+    """How many bullets stand under a heading, up to the next one."""
+    block = F.regexp_extract(text, r"(?ms)^#+\s*" + heading + r"\s*$(.*?)(?=^#|\z)", 1)
+    return F.size(F.regexp_extract_all(block, F.lit(r"(?m)^[ \t]*[-*]\s+\S"), F.lit(0)))
+
+
+def concept_fields(pages: DataFrame, docs: DataFrame) -> DataFrame:
+    """(page_id, name, summary, articles): what a legacy concept page gets; how many texts link to it."""
+    links = docs.where("text is not null").select("doc_id", F.explode(wikilinks("text")).alias("name"))
+    counted = links.groupBy("name").agg(F.count("*").alias("articles"))
+    rows = pages.where("page_id is not null").select("page_id", "name", F.substring("summary", 1, 300).alias("summary")).distinct()
+    return rows.join(counted, "name", "left").na.fill(0, ["articles"]).select("page_id", "name", "summary", "articles")
+
+
+def done(docs: DataFrame) -> DataFrame:
+    """(state, n): pages that have frontmatter and pages that need it."""
+    front = F.col("text").rlike(r"\A---[ \t]*\n")
+    return docs.where("text is not null").groupBy(F.when(front, "skipped").otherwise("done").alias("state")).agg(F.count("*").alias("n"))

@@ -181,3 +181,47 @@ def bridge_lines(nodes: DataFrame, edges: DataFrame, members: DataFrame) -> Data
 def write_files(pages: DataFrame, folder: str) -> None:
     """(file, body) rows as JSON lines, in parallel; one row a file."""
     pages.select("file", "body").write.mode("overwrite").json(folder)
+
+
+def god_pages(nodes: DataFrame, edges: DataFrame, top: int = 10, each: int = 20) -> DataFrame:
+    """(file, body): the page of each of the most linked nodes: neighbours by relation, the
+    most linked first, ``each`` a relation."""
+    gods = god_nodes(nodes, edges, top)
+    d = degrees(nodes, edges)
+    ends = edges.select(F.col("source").alias("id"), F.col("target").alias("other"), "relation").union(edges.select("target", "source", "relation"))
+    near = ends.join(F.broadcast(gods.select("id")), "id", "left_semi").where("id <> other").distinct()  # top rows
+    near = near.join(nodes.select(F.col("id").alias("other"), F.coalesce("label", "id").alias("l")), "other").join(d.select(F.col("id").alias("other"), F.col("degree").alias("n")), "other")
+    rank = F.row_number().over(Window.partitionBy("id", "relation").orderBy(F.desc("n"), "other"))
+    near = near.withColumn("_r", rank).where(F.col("_r") <= each)
+    parts = near.groupBy("id", F.coalesce("relation", F.lit("")).alias("relation")).agg(F.array_sort(F.collect_list(F.struct("_r", "l"))).alias("x"))
+    text = F.concat(F.lit("## "), "relation", F.lit("\n\n"), F.array_join(F.transform("x", lambda x: F.concat(F.lit("- [["), x["l"], F.lit("]]"))), "\n"))
+    parts = parts.groupBy("id").agg(F.array_sort(F.collect_list(text)).alias("parts"))
+    page = gods.join(parts, "id", "left")
+    body = F.concat_ws("\n\n", F.concat(F.lit("# "), "label"), F.format_string("links: %d", "degree"), F.array_join(F.coalesce("parts", F.array().cast("array<string>")), "\n\n"))
+    return page.select(F.concat(file_name("label"), F.lit(".md")).alias("file"), body.alias("body"))
+
+
+def index_lines(nodes: DataFrame, edges: DataFrame, members: DataFrame) -> DataFrame:
+    """(ord, sub, line) of the index page: communities by size, then the most linked nodes."""
+    sizes = members.groupBy("community").agg(F.count("*").alias("n")).join(name_communities(nodes, edges, members), "community")
+    a = sizes.select(F.lit(1).alias("ord"), F.row_number().over(Window.orderBy(F.desc("n"), "community")).alias("sub"), F.format_string("- [[%s]] (%d)", "name", "n").alias("line"))
+    gods = god_nodes(nodes, edges)
+    return a.unionByName(gods.select(F.lit(2).alias("ord"), F.row_number().over(Window.orderBy(F.desc("degree"), "id")).alias("sub"), F.format_string("- [[%s]] (%d)", "label", "degree").alias("line")))
+
+
+def canvas_edges(edges: DataFrame, top: int = 200) -> DataFrame:
+    """(source, target, relation, weight): the heaviest edges of the canvas, ties by arrival."""
+    weight = F.coalesce(F.when(~F.isnan("confidence_score"), F.col("confidence_score")), F.lit(0.0))
+    return edges.select("source", "target", "relation", weight.alias("weight"), "seq").orderBy(F.desc("weight"), "seq", "source", "target").limit(top).drop("seq")
+
+
+def wiki_index(index: DataFrame) -> DataFrame:
+    """(ord, line) of the wiki's index: the number of concepts, then a link to each."""
+    n = index.agg(F.count("*").alias("n")).select(F.lit("").alias("ord"), F.format_string("concepts: %d", "n").alias("line"))
+    return n.unionByName(index.select(F.col("name").alias("ord"), F.concat(F.lit("- [["), "name", F.lit("]]")).alias("line")))
+
+
+def append_article(body: Column | str, title: Column | str) -> Column:
+    """A concept page with a link to one more article; unchanged where it names it already."""
+    b, t = F.col(body) if isinstance(body, str) else body, F.col(title) if isinstance(title, str) else title
+    return F.when(F.contains(b, t), b).otherwise(F.concat(b, F.lit("\n- [["), t, F.lit("]]")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scriptorium.functions.pages import body_of
+from scriptorium.functions.pages import body_of, wikilinks
 from scriptorium.functions.paths import file_class, in_noise, is_ignored, is_secret, name_of, stem_of
 
 MIN_CHARS = 50
@@ -147,3 +147,15 @@ def verify_ingest(sources: DataFrame, contents: DataFrame) -> DataFrame:
         F.when(F.col("_chars") < MIN_CHARS, "content too short"),
     ))
     return rows.select(F.explode(checks).alias("check"), F.col("upload_id").alias("ref"))
+
+
+def mentions(concept_pages: DataFrame, titles: DataFrame, text: str = "text") -> DataFrame:
+    """(path, title): pages that link to a title, by their exploded links, not by all pairs."""
+    links = concept_pages.select("path", F.explode(wikilinks(text)).alias("title"))
+    return links.join(titles.select("title").distinct(), "title", "left_semi").select("path", "title").distinct()
+
+
+def remove(sources: DataFrame, gone: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
+    """(left, trash): the sources without some hashes, and the removed rows stamped."""
+    keys = gone.select("sha256").where("sha256 is not null").distinct()
+    return sources.join(keys, "sha256", "left_anti"), sources.join(keys, "sha256", "left_semi").withColumn("removed_at", at)

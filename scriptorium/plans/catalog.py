@@ -202,12 +202,12 @@ def ingest_find(spark, d):
     return ingest.find_records(table(spark, d, "source_map"), "Handbook").select("upload_id", "original_filename").distinct()
 
 
-@query(f"""with q as (select distinct original_filename as path, lower({STEM}) as stem from source_map where batch_id = 1 and lower({STEM}) <> '')
+@query(f"""with q as (select distinct original_filename as path, lower({STEM}) as stem from source_map where batch_id > 0 and lower({STEM}) <> '')
 select distinct path, s.original_filename from q join (select distinct original_filename from source_map where batch_id = 0) s on contains(lower(s.original_filename), q.stem)""")
 def ingest_conflicts(spark, d):
-    """Files of one batch whose stem a known name contains."""
+    """Files after the first batch whose stem a name of the first contains."""
     s = table(spark, d, "source_map")
-    return ingest.conflicts(s.where("batch_id = 1").select(F.col("original_filename").alias("path")), s.where("batch_id = 0"))
+    return ingest.conflicts(s.where("batch_id > 0").select(F.col("original_filename").alias("path")), s.where("batch_id = 0"))
 
 
 @query(r"select doc_id, sha256(regexp_replace(text, '(?s)\A---.*?\n---', '') || coalesce(stem, '')) as cache_key from documents where text is not null")
@@ -262,7 +262,17 @@ def compile_frontmatter(spark, d):
     return compiling.articles(table(spark, d, "documents")).select("doc_id", "concepts", "confidence", "title")
 
 
-@query()
+_HAS = {k: f"regexp_matches(block, '(?m)^\\s*{k}\\s*:')" for k in (*compiling.ARTICLE_FIELDS, "aliases")}
+_VALUE = lambda k: f"trim(trim(regexp_extract(block, '(?m)^{k}:(.*)$', 1)), '\"')"
+
+
+@query(rf"""with {FM}, g as (select doc_id, block, len(list_filter(list_transform(string_split(c, ','), lambda x: trim(x)), lambda x: x <> '')) as cs,
+length(trim(regexp_replace(text, '(?s)\A---.*?\n---', ''), ' ')) as body from f)
+""" + " union all ".join(
+    [f"select doc_id, 'error' as level, '{k} missing' as issue from g where not {_HAS[k]}" for k in compiling.ARTICLE_FIELDS]
+    + [f"select doc_id, 'error', '{k} empty' from g where {_HAS[k]} and {_VALUE(k)} = ''" for k in ("title", "doc_type")]
+    + [f"select doc_id, 'error', 'tldr too short' from g where length({_VALUE('tldr')}) < 20", "select doc_id, 'error', 'fewer than three concepts' from g where cs < 3",
+       "select doc_id, 'error', 'body too short' from g where body < 500", f"select doc_id, 'warning', 'aliases missing' from g where not {_HAS['aliases']}"]))
 def compile_article_issues(spark, d):
     return compiling.article_issues(compiling.articles(table(spark, d, "documents")))
 
@@ -434,13 +444,18 @@ def graph_status(spark, d):
     return n.select(F.lit("nodes").alias("part"), "kind", "n").unionByName(e.select(F.lit("edges").alias("part"), "kind", "n"))
 
 
-@query("""with ks as (select 'edge' as kind, source || '|' || target || '|' || coalesce(relation, '') as key, seq % 2 as half from edges where source is not null and target is not null)
-select 'new' as change, kind, key from (select kind, key from ks where half = 1 except select kind, key from ks where half = 0)
-union all select 'removed', kind, key from (select kind, key from ks where half = 0 except select kind, key from ks where half = 1)""")
+_KEYS = "select 'edge' as kind, source || '|' || target || '|' || coalesce(relation, '') as key from"
+
+
+@query(f"""with {NODES}, {CONSOLIDATED}, {REWIRED}, o as (select 'node' as kind, id as key from nodes where id is not null union {_KEYS} edges where source is not null and target is not null),
+w as (select 'node' as kind, id as key from kept union {_KEYS} rewired)
+select 'new' as change, kind, key from (select * from w except select * from o) union all select 'removed', kind, key from (select * from o except select * from w)""")
 def graph_diff(spark, d):
-    """Edges of odd and even arrival compared as two graphs."""
+    """What joining the nodes of one file changes in the graph."""
     n, e = table(spark, d, "nodes"), table(spark, d, "edges")
-    return graph.diff(n, e.where(F.col("seq") % 2 == 0), n, e.where(F.col("seq") % 2 == 1))
+    kept, moved = graph.consolidate(n)
+    after = graph.redirect_edges(e.select("source", "target", "relation", "confidence", "seq").distinct(), moved)
+    return graph.diff(n, e, kept, after)
 
 
 HYPER = "hy as (select 'h:' || source as id, list_sort(list(distinct target)) as members from edges where relation = 'includes_module' and source is not null and target is not null group by source having count(distinct target) >= 3)"
@@ -651,7 +666,11 @@ def export_node_links(spark, d):
     return exports.node_links(*_whole(spark, d))
 
 
-@query()
+_X = lambda c: f"replace(replace(replace(replace(coalesce({c}, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+
+@query(f"""with {GRAPH}, {MEMBERS} select 1 as ord, '<node id="' || {_X('id')} || '"><data key="label">' || {_X('coalesce(label, id)')} || '</data><data key="community">' || coalesce(community, -1) || '</data></node>' as line from n left join m using (id)
+union all select 2, '<edge source="' || {_X('source')} || '" target="' || {_X('target')} || '"><data key="relation">' || {_X('relation')} || '</data></edge>' from e""")
 def export_graphml(spark, d):
     return exports.graphml(*_whole(spark, d))
 
@@ -700,7 +719,11 @@ def backfill_needed(spark, d):
     return backfill.needs_backfill(table(spark, d, "documents"))
 
 
-@query()
+@query(rf"""with s as (select unnest(generated_pages) as p, sha256 from source_map), x as (select {STEM_OF('p')} as stem, sha256, '0' as k from s union all select {STEM}, sha256, '1' from source_map),
+lk as (select stem, arg_min(sha256, k || sha256) as sha256 from x where stem <> '' and sha256 is not null group by 1)
+select doc_id, regexp_extract(text, '(?m)^#\s+(.+?)\s*$', 1) as title, sha256[1:16] as source_sha256,
+substr(coalesce(list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda p: trim(p, ' ')), lambda p: p <> '' and p not like '#%' and p not like '<!--%' and p not like '---%')[1], ''), 1, 300) as summary,
+cast(created_at at time zone 'UTC' as date) as created from documents left join lk using (stem) where text is not null""")
 def backfill_articles(spark, d):
     return backfill.article_fields(table(spark, d, "documents"), table(spark, d, "source_map"))
 
@@ -753,3 +776,72 @@ union all select 'summary missing', name from idx where summary is null or trim(
 def verify_index(spark, d):
     """What is wrong with the concept index."""
     return verify.verify_index(concepts.reduce_index(table(spark, d, "concepts_index")), table(spark, d, "concept_pages"))
+
+
+# ---- further reports, sidecars and backfills
+
+_CODE = ", ".join(repr(x) for x in paths.CODE)
+
+
+@query(f"""with x as (select doc_id, coalesce(stem, '') || '.md' as path, {' + '.join(f"cast(regexp_matches(substr(text, 1, 3000), '{p}') as int)" for p in paths.PAPER_SIGNALS)} as sig from documents where text is not null)
+select doc_id, case when sig >= 3 then 'paper' when path <> '.md' then 'document' end as kind from x""")
+def scan_content_class(spark, d):
+    """Class of every document by its name and content."""
+    rows = table(spark, d, "documents").where("text is not null").withColumn("path", F.concat(F.coalesce("stem", F.lit("")), F.lit(".md")))
+    return rows.select("doc_id", paths.content_class("path", F.col("text")).alias("kind"))
+
+
+@query(rf"select distinct original_filename, {STEM} || '_' || sha256(original_filename)[1:8] || '.md' as sidecar from source_map where original_filename is not null")
+def scan_sidecars(spark, d):
+    rows = table(spark, d, "source_map").where("original_filename is not null").select("original_filename").distinct()
+    return rows.select("original_filename", paths.sidecar("original_filename").alias("sidecar"))
+
+
+@query(r"""with l as (select 'doc_' || doc_id as path, unnest(list_distinct(regexp_extract_all(text, '\[\[([^\]|\n]+)(?:\|[^\]\n]*)?\]\]', 1))) as title from documents where text is not null)
+select distinct path, title from l where title in (select term from canonical_terms)""")
+def ingest_mentions(spark, d):
+    """Texts that link to an entry of the list."""
+    docs = table(spark, d, "documents").select(F.concat(F.lit("doc_"), "doc_id").alias("path"), "text")
+    return ingest.mentions(docs, table(spark, d, "canonical_terms").select(F.col("term").alias("title")))
+
+
+@query("select sha256, upload_id from (select distinct sha256, upload_id, batch_id from source_map) where sha256 is null or sha256 not in (select sha256 from source_map where batch_id = 1 and sha256 is not null)")
+def ingest_remove(spark, d):
+    """What is left when the hashes of one batch are removed."""
+    s = table(spark, d, "source_map").select("sha256", "upload_id", "batch_id").distinct()
+    return ingest.remove(s, s.where("batch_id = 1"), F.lit(None).cast("timestamp"))[0].select("sha256", "upload_id")
+
+
+@query()
+def report_god_pages(spark, d):
+    return exports.god_pages(*[cut(x) for x in _graph(spark, d)])
+
+
+@query(f"""with {GRAPH}, {MEMBERS}, p as (select m.community, n.label, row_number() over (partition by m.community order by case when file_type = 'concept' then 0 else 1 end, degree desc, n.id) as r from m join n using (id) join deg using (id) where label <> ''),
+f as (select community, label, row_number() over (partition by label order by community) as k from p where r = 1),
+nm as (select c.community, coalesce(case when k > 1 then label || ' (#' || c.community || ')' else label end, '社区' || c.community) as name, c.n from (select community, count(*) as n from m group by 1) c left join f using (community))
+select 1 as ord, row_number() over (order by n desc, community) as sub, '- [[' || name || ']] (' || n || ')' as line from nm
+union all select 2, row_number() over (order by degree desc, id), '- [[' || coalesce(label, id) || ']] (' || degree || ')' from (select * from n join deg using (id) order by degree desc, id limit 10)""")
+def report_index(spark, d):
+    return exports.index_lines(*_whole(spark, d))
+
+
+@query(f"with {GRAPH} select source, target, relation, case when isnan(confidence_score) then 0.0 else coalesce(confidence_score, 0.0) end as weight from e order by weight desc, seq, source, target limit 200")
+def export_canvas_edges(spark, d):
+    return exports.canvas_edges(_graph(spark, d)[1])
+
+
+@query(f"with {REDUCED} select '' as ord, 'concepts: ' || count(*) as line from idx union all select name, '- [[' || name || ']]' from idx")
+def report_wiki_index(spark, d):
+    return exports.wiki_index(concepts.reduce_index(table(spark, d, "concepts_index")))
+
+
+@query(r"""with l as (select name, count(*) as articles from (select doc_id, unnest(list_distinct(regexp_extract_all(text, '\[\[([^\]|\n]+)(?:\|[^\]\n]*)?\]\]', 1))) as name from documents where text is not null) group by 1)
+select page_id, p.name, summary, coalesce(articles, 0) as articles from (select distinct page_id, name, substr(summary, 1, 300) as summary from concept_pages where page_id is not null) p left join l using (name)""")
+def backfill_concept_fields(spark, d):
+    return backfill.concept_fields(table(spark, d, "concept_pages"), table(spark, d, "documents"))
+
+
+@query(r"select case when regexp_matches(text, '\A---[ \t]*\n') then 'skipped' else 'done' end as state, count(*) as n from documents where text is not null group by 1")
+def backfill_done(spark, d):
+    return backfill.done(table(spark, d, "documents"))

@@ -217,3 +217,36 @@ def test_streams(spark, rows, tmp_path):
     table = spark.createDataFrame(data, jobs.UPLOADS)
     assert sorted(r["n"] for r in jobs.windowed(table, "uploaded_at", "original_filename", "1 hour").collect()) == [1, 1, 3]
     assert sorted(r["n"] for r in jobs.sessions(table, "original_filename", "uploaded_at").collect()) == [1, 1, 3]
+
+
+def propagate(ids, pairs, rounds):
+    near = {i: {i} for i in ids}
+    for a, b in pairs:
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    label = {i: i for i in ids}
+    for _ in range(rounds):
+        votes = {i: [label[x] for x in near[i]] for i in ids}
+        label = {i: min(set(v), key=lambda x: (-v.count(x), x)) for i, v in votes.items()}
+    return label
+
+
+def test_communities_against_brute_force(spark):
+    import random
+
+    rng = random.Random(6)
+    ids = [f"n{k:02}" for k in range(60)]
+    pairs = [(a, b) for a in ids for b in ids if a < b and rng.random() < (0.35 if ids.index(a) // 20 == ids.index(b) // 20 else 0.01)]
+    n = spark.createDataFrame([(i,) for i in ids], "id string")
+    e = spark.createDataFrame(pairs, "source string, target string")
+    want = propagate(ids, pairs, 4)
+    big = {x for x in want.values() if list(want.values()).count(x) > max(10, int(0.25 * 60))}
+    for x in big:
+        inside = [i for i in ids if want[i] == x]
+        want |= propagate(inside, [(a, b) for a, b in pairs if a in inside and b in inside], 4)
+    got = {r["id"]: r["community"] for r in analytics.communities(n, e).collect()}
+    groups = lambda d: sorted(sorted(i for i in ids if d[i] == x) for x in set(d.values()))
+    assert groups(got) == groups(want) and big
+    sizes = [sum(c == k for c in got.values()) for k in range(len(set(got.values())))]
+    assert sizes == sorted(sizes, reverse=True)
