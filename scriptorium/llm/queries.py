@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm import canonical, components, history, leakage, lookalike, mixture, neardup, reading, survivors
-from scriptorium.session import cut, table
+from scriptorium.session import cut, skew_lookup, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -54,7 +54,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     typed = labels.unionByName(aliases.withColumn("item_no", F.col("item_no").cast("long"))).distinct()
     found = cut(canonical.map_to_list(typed, table(spark, d, "canonical_terms")))
     # the mapping has one row a distinct value, the typed rows may repeat one very often
-    return typed.join(found, "value").select("field_name", "row_key", "item_no", "term_id").distinct()
+    return skew_lookup(typed, found, "value").select("field_name", "row_key", "item_no", "term_id").distinct()
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -117,17 +117,14 @@ def ranked(votes: DataFrame) -> DataFrame:
 
 def voted(votes: DataFrame, half_life_days: float = 365.0, unlisted_rank: int = 99) -> DataFrame:
     """The same columns and ``weight`` by summed votes: (1 / trust rank) x 2^(-age / half life)
-    a page, age counted from the newest page of the field in the group; an unknown time
-    counts as two half lives. Ties go to the ordered vote."""
-    newest = votes.groupBy("group_id", "field_name").agg(F.max("compiled_at").alias("_newest"))
-    age = (F.unix_timestamp("_newest") - F.unix_timestamp("compiled_at")) / 86400.0
+    a page, age counted from the newest page of all; an unknown time counts as two half
+    lives. Which value wins does not depend on where age is counted from, but for unknown
+    times. Ties go to the ordered vote."""
+    newest = votes.agg(F.unix_timestamp(F.max("compiled_at"))).first()[0]  # one value
+    age = (F.lit(newest or 0) - F.unix_timestamp("compiled_at")) / 86400.0
     weight = F.pow(F.lit(2.0), -F.coalesce(age / half_life_days, F.lit(2.0))) / F.coalesce("trust_rank", F.lit(unlisted_rank))
-    per_value = (
-        votes.join(newest, ["group_id", "field_name"])
-        .groupBy("group_id", "field_name", "norm")
-        .agg(F.round(F.sum(weight), 9).alias("weight"), F.max_by(F.struct("page_id", "value"), _order()).alias("_w"),
-             F.max(_order()).alias("_o"))
-    )
+    per_value = votes.groupBy("group_id", "field_name", "norm").agg(
+        F.round(F.sum(weight), 9).alias("weight"), F.max_by(F.struct("page_id", "value"), _order()).alias("_w"), F.max(_order()).alias("_o"))
     best = per_value.groupBy("group_id", "field_name").agg(
         F.max_by(F.struct("norm", "_w", "weight"), F.struct("weight", "_o")).alias("_b"))
     return best.select("group_id", "field_name", F.col("_b.norm").alias("norm"), F.col("_b._w.value").alias("value"),
