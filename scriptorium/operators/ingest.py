@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions.pages import body_of, wikilinks
 from scriptorium.functions.paths import file_class, in_noise, is_ignored, is_secret, name_of, stem_of
+from scriptorium.session import skew_lag, skew_lookup
 
 MIN_CHARS = 50
 MAX_FILES, MAX_WORDS = 200, 2_000_000
@@ -62,10 +63,11 @@ def ingest(files: DataFrame, sources: DataFrame) -> DataFrame:
         F.min("sha256").alias("_lo"), F.max("sha256").alias("_hi"))
     rows = files.select("upload_id", "sha256", "original_filename", "chars", stem_of("original_filename").alias("stem"))
     rows = rows.join(known, "sha256", "left").join(stems, "stem", "left")
-    order = [F.col("original_filename"), F.col("upload_id")]
-    same = F.row_number().over(Window.partitionBy("sha256").orderBy(*order)) > 1
-    earlier = F.lag("sha256").over(Window.partitionBy("stem").orderBy(*order))
-    rows = rows.withColumn("_same", same).withColumn("_earlier", earlier)
+    # the first file of each hash by an aggregate, the file before of each stem by ranges: one
+    # hash or stem may hold any share of the files, and so may null
+    first = rows.where("sha256 is not null").groupBy("sha256").agg(F.min_by("upload_id", F.struct("original_filename", "upload_id")).alias("_first"))
+    rows = skew_lookup(rows, first, "sha256", "left").withColumn("_same", F.col("upload_id") != F.col("_first"))
+    rows = skew_lag(rows, "sha256", "stem", ["original_filename", "upload_id"], "_earlier")
     other = F.when(F.col("_earlier").isNotNull() & (F.col("_earlier") != F.col("sha256")), F.col("_earlier")).when(
         F.col("_lo") != F.col("sha256"), F.col("_lo")).when(F.col("_hi") != F.col("sha256"), F.col("_hi"))
     status = (

@@ -5,11 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, NumericType, StringType
 
-#: Rows of a lookup side that may be broadcast; checked by counting, never assumed.
+#: Rows and bytes of a side that may be broadcast; both are counted, never assumed.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,15 +48,49 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def is_small(df: DataFrame) -> bool:
+    """Whether a table may be broadcast: its rows and the bytes of its texts are counted."""
+    size = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (StringType, BinaryType)):
+            size = size + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif isinstance(f.dataType, NumericType):
+            size = size + 8
+        else:
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(f.name))), F.lit(0))
+    rows, bytes_ = df.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return rows <= BROADCAST_ROWS and bytes_ <= BROADCAST_BYTES
+
+
+def skew_lag(df: DataFrame, value: str, by: str, order: list[str], out: str) -> DataFrame:
+    """``df`` with ``out``: ``value`` of the row before in ``order`` among the rows of one ``by``.
+
+    Rows are sorted by range, so that a value of ``by`` that holds most rows is spread over
+    partitions; only the last row of each partition and ``by`` at its end is handed on, one
+    row a partition. ``order`` must be unique within ``by``; rows
+    whose ``by`` is null have nothing handed on.
+    """
+    placed = cut(df.orderBy(by, *order)).withColumn("_p", F.spark_partition_id())
+    inside = Window.partitionBy("_p", by).orderBy(*order)
+    rows = placed.withColumn(out, F.lag(value).over(inside)).withColumn("_f", F.row_number().over(inside) == 1)
+    ends = placed.groupBy("_p").agg(F.max_by(F.struct(F.col(by).alias("by"), F.col(value).alias("value")), F.struct(by, *order)).alias("_l"))
+    last = [(r["_p"], r["_l"]["by"], r["_l"]["value"]) for r in ends.orderBy("_p").collect()]  # one row a partition
+    carried = [(p, *last[k - 1][1:]) for k, (p, _, _) in enumerate(last) if k]
+    schema = f"_p int, {by} {df.schema[by].dataType.simpleString()}, _v {df.schema[value].dataType.simpleString()}"
+    before = df.sparkSession.createDataFrame(carried, schema).withColumn("_f", F.lit(True))
+    rows = rows.join(F.broadcast(before), ["_p", by, "_f"], "left")
+    return rows.withColumn(out, F.coalesce(out, "_v")).drop("_p", "_f", "_v")
+
+
 def skew_lookup(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """``left`` joined with ``right`` on ``key`` where ``right`` has at most one row a key
     and a few keys of ``left`` may hold most of its rows.
 
-    A small ``right`` (counted, at most ``BROADCAST_ROWS``) is broadcast. Else keys of
+    A ``right`` that is counted to be small is broadcast. Else keys of
     ``left`` with over 1/2000 of its rows are hot; there are at most 2000 of them, and
     their rows of ``right`` are broadcast, while all others are joined by shuffle.
     """
-    if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if is_small(right):
         return left.join(F.broadcast(right), key, how)
     total = left.count()
     hot = (
