@@ -30,6 +30,7 @@ from scriptorium.llm.neardup import name_keys, same_name
 from scriptorium.session import BROADCAST_ROWS, scratch
 
 HASHES = 5
+PART_ROWS = 150_000
 # the tables of a store
 ROWS = "fp long, form string, exact boolean, id long"
 FILTERS = "part int, bits binary, fp long"
@@ -71,12 +72,14 @@ def _bits(fps: np.ndarray, size: int) -> np.ndarray:
 
 
 class FingerprintStore:
-    """The store at ``path``. ``parts`` filters of ``part_bits`` bits (256 KB each, good for
-    some 200,000 fingerprints at one false alarm in a hundred); a false alarm costs a
-    lookup and changes no result, so an overfull filter is slow but not wrong."""
-
-    def __init__(self, spark: SparkSession, path: str, parts: int = 16, part_bits: int = 1 << 21):
-        self.spark, self.path, self.parts, self.part_bits = spark, path, parts, part_bits
+    """The store at ``path``, for some ``expected`` fingerprints: ``parts`` filters of
+    ``part_bits`` bits (256 KB each, good for some 200,000 fingerprints at one false alarm in
+    a hundred). A false alarm costs a lookup and changes no result, so an overfull filter is
+    slow but not wrong. A task takes one part of a batch."""
+
+    def __init__(self, spark: SparkSession, path: str, expected: int = 0, parts: int | None = None, part_bits: int = 1 << 21):
+        self.spark, self.path, self.part_bits = spark, path, part_bits
+        self.parts = parts or max(16, -(-expected // PART_ROWS))
         self.turn, self.links = 0, None
 
     def _read(self, schema: str, *paths: str) -> DataFrame:
@@ -157,13 +160,14 @@ class FingerprintStore:
 def check_batches(uploads: DataFrame, path: str | None = None, batch: str = "batch_id") -> FingerprintStore:
     """Absorb the batches one after the other; a null batch counts as history (0)."""
     spark = uploads.sparkSession
-    store = FingerprintStore(spark, path or scratch(spark, "store"))
-    prepared = f"{store.path}/prepared"
+    path = path or scratch(spark, "store")
+    prepared = f"{path}/prepared"
     numbered = uploads.withColumn("_b", F.coalesce(F.col(batch).cast("long"), F.lit(0)))
     of = numbered.select(F.col("upload_id").cast("long").alias("id"), "_b").where("id is not null").groupBy("id").agg(F.min("_b").alias("_b"))
     fingerprints(uploads).join(of, "id").write.partitionBy("_b").parquet(prepared)
     numbers = sorted(r["_b"] for r in of.select("_b").distinct().collect())  # one row a batch
     ready = spark.read.schema("id long, fp long, form string, exact boolean, _b long").parquet(prepared)
+    store = FingerprintStore(spark, path, expected=ready.count())
     for b in numbers:
         store.absorb(ready.where(F.col("_b") == b).drop("_b"))
     return store

@@ -83,11 +83,14 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, knapsack: int = KN
             n -= step
             step *= 2
     mask, reach = (1 << (rest + 1)) - 1, [1]
-    used = 0
+    # no total but multiples of the common divisor can be met; with many lengths the nearest is
+    # met after a few parts, so few bit sets are ever held
+    common = int(np.gcd.reduce(lengths[left > 0])) if (left > 0).any() else 1
+    goal, used = rest - rest % common, 0
     for k, n in parts:
         reach.append((reach[-1] | reach[-1] << (int(lengths[k]) * n)) & mask)
         used += 1
-        if reach[-1] >> rest & 1:
+        if reach[-1] >> goal & 1:
             break
     at = reach[-1].bit_length() - 1
     for p in range(used - 1, -1, -1):
