@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.session import cut, skew_lookup
+from scriptorium.session import cut, numbered, skew_lookup
 
 STRUCTURAL = ("imports", "imports_from", "contains", "method")
 
@@ -53,7 +53,7 @@ def label_rounds(nodes: DataFrame, edges: DataFrame, rounds: int = 4) -> DataFra
 def number(labels: DataFrame) -> DataFrame:
     """(id, community): communities numbered from 0 by size, then smallest member."""
     sizes = labels.groupBy("label").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    ranked = sizes.withColumn("community", F.row_number().over(Window.orderBy(F.desc("n"), "first")) - 1)
+    ranked = numbered(sizes, [F.desc("n"), "first"], "_i").withColumn("community", (F.col("_i") - 1).cast("int"))
     return skew_lookup(labels, ranked.select("label", "community"), "label").select("id", "community")
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions.pages import body_of, frontmatter, items_of, safe_title, title_of
+from scriptorium.session import numbered
 
 # fixed values: required fields, kinds of concept, sections of a concept page
 ARTICLE_FIELDS = ("title", "doc_type", "source_sha256", "concepts", "compiled_by", "tldr")
@@ -33,14 +34,8 @@ def move(tasks_: DataFrame, status: str, at: Column) -> DataFrame:
 
 
 def prepare(tasks_: DataFrame, size: int = CHUNK) -> DataFrame:
-    """(task_id, chunk): tasks in plain order, ``size`` to a chunk. Positions come from counts
-    of hash-free ranges: rows are sorted by range, not in one task."""
-    ordered = tasks_.select("task_id").orderBy("task_id")
-    first = ordered.withColumn("_p", F.spark_partition_id())
-    sizes = first.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    rank = F.row_number().over(Window.partitionBy("_p").orderBy("task_id"))
-    return first.withColumn("_r", rank).join(F.broadcast(before), "_p").select("task_id", F.ceil((F.col("_b") + F.col("_r")) / size).cast("int").alias("chunk"))
+    """(task_id, chunk): tasks in plain order, ``size`` to a chunk."""
+    return numbered(tasks_.select("task_id"), ["task_id"], "_i").select("task_id", F.ceil(F.col("_i") / size).cast("int").alias("chunk"))
 
 
 def articles(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.pages import sanitise_label
 from scriptorium.operators.analytics import bridges, cohesion, degrees, god_nodes, name_communities, surprising
+from scriptorium.session import numbered
 
 # fixed values: scores of edges without one, by confidence
 DEFAULT_SCORES = {"EXTRACTED": 1.0, "INFERRED": 0.5, "AMBIGUOUS": 0.2}
@@ -124,8 +125,7 @@ def canvas(members: DataFrame, width: int = 220, height: int = 60) -> DataFrame:
     sizes = members.groupBy("community").agg(F.count("*").alias("n"))
     k = sizes.count()  # one row a community
     columns = max(1, int(-(-(k**0.5) // 1)))
-    place = F.row_number().over(Window.orderBy("community")) - 1
-    rows = sizes.withColumn("_i", place)
+    rows = numbered(sizes, ["community"], "_n").withColumn("_i", F.col("_n") - 1)
     h = (F.ceil(F.col("n") / 3) * (height + 20) + 60).cast("int")
     w = (F.least("n", F.lit(3)) * (width + 20) + 20).cast("int")
     rows = rows.select("community", (F.col("_i") % columns).alias("_c"), F.floor(F.col("_i") / columns).alias("_r"), w.alias("width"), h.alias("height"))
@@ -148,7 +148,7 @@ def summary_lines(nodes: DataFrame, edges: DataFrame, members: DataFrame) -> Dat
     share = share.select(F.lit(4).alias("ord"), F.row_number().over(Window.orderBy("k")).alias("sub"), F.format_string("%s: %.1f%%", "k", F.col("v") * 100 / F.lit(total)).alias("line"))
     gods = god_nodes(nodes, edges)
     gods = gods.select(F.lit(5).alias("ord"), F.row_number().over(Window.orderBy(F.desc("degree"), "id")).alias("sub"), F.format_string("god: %s (%d)", "label", "degree").alias("line"))
-    comm = cohesion(members, edges).select(F.lit(6).alias("ord"), F.row_number().over(Window.orderBy("community")).alias("sub"), F.format_string("community %d: %d members, cohesion %.2f", "community", "members", "cohesion").alias("line"))
+    comm = cohesion(members, edges).select(F.lit(6).alias("ord"), (F.col("community") + 1).cast("int").alias("sub"), F.format_string("community %d: %d members, cohesion %.2f", "community", "members", "cohesion").alias("line"))
     s = surprising(nodes, edges, members)
     s = s.select(F.lit(7).alias("ord"), F.row_number().over(Window.orderBy(F.desc("score"), "source", "target")).alias("sub"), F.format_string("surprise: %s -> %s (%d)", "source_label", "target_label", "score").alias("line"))
     return out.unionByName(share).unionByName(gods).unionByName(comm).unionByName(s)
@@ -204,7 +204,8 @@ def god_pages(nodes: DataFrame, edges: DataFrame, top: int = 10, each: int = 20)
 def index_lines(nodes: DataFrame, edges: DataFrame, members: DataFrame) -> DataFrame:
     """(ord, sub, line) of the index page: communities by size, then the most linked nodes."""
     sizes = members.groupBy("community").agg(F.count("*").alias("n")).join(name_communities(nodes, edges, members), "community")
-    a = sizes.select(F.lit(1).alias("ord"), F.row_number().over(Window.orderBy(F.desc("n"), "community")).alias("sub"), F.format_string("- [[%s]] (%d)", "name", "n").alias("line"))
+    sizes = numbered(sizes, [F.desc("n"), "community"], "_i")
+    a = sizes.select(F.lit(1).alias("ord"), F.col("_i").cast("int").alias("sub"), F.format_string("- [[%s]] (%d)", "name", "n").alias("line"))
     gods = god_nodes(nodes, edges)
     return a.unionByName(gods.select(F.lit(2).alias("ord"), F.row_number().over(Window.orderBy(F.desc("degree"), "id")).alias("sub"), F.format_string("- [[%s]] (%d)", "label", "degree").alias("line")))
 

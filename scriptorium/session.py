@@ -82,6 +82,21 @@ def skew_lag(df: DataFrame, value: str, by: str, order: list[str], out: str) ->
     return rows.withColumn(out, F.coalesce(out, "_v")).drop("_p", "_f", "_v")
 
 
+def numbered(df: DataFrame, order: list, out: str) -> DataFrame:
+    """``df`` with ``out``, the row's number from 1 in ``order`` (which should be unique). Rows
+    are sorted by range and numbered in their partitions; what comes to the driver is one
+    count a partition."""
+    placed = cut(df.orderBy(*order)).withColumn("_p", F.spark_partition_id())
+    sizes = [(r["_p"], r["_n"]) for r in placed.groupBy("_p").agg(F.count("*").alias("_n")).orderBy("_p").collect()]
+    starts, at = [], 0
+    for p, n in sizes:
+        starts.append((p, at))
+        at += n
+    before = df.sparkSession.createDataFrame(starts, "_p int, _b long")
+    rank = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return placed.withColumn("_r", rank).join(F.broadcast(before), "_p").withColumn(out, F.col("_b") + F.col("_r")).drop("_p", "_b", "_r")
+
+
 def skew_lookup(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """``left`` joined with ``right`` on ``key`` where ``right`` has at most one row a key
     and a few keys of ``left`` may hold most of its rows.
