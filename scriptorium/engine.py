@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions.convert import convert
-from scriptorium.operators import analytics, compiling, concepts, exports, graph, ingest, retrieval, verify
+from scriptorium.operators import analytics, compiling, concepts, exports, graph, ingest, louvain, retrieval, verify
 from scriptorium.sources.warehouse import Warehouse
 from scriptorium.session import cut
 
@@ -56,7 +56,7 @@ class Engine:
             e = graph.redirect_edges(e, moved)
         n = cut(graph.merge_nodes(n))
         e = cut(graph.build_edges(e, n))
-        m = cut(analytics.communities(n, e))
+        m = cut(louvain.clusters(n, e))
         for name, df in (("nodes", n), ("edges", e), ("membership", m)):
             self.store.write(name, df)
         out |= {"nodes": n, "edges": e, "membership": m, "cohesion": analytics.cohesion(m, e), "god_nodes": analytics.god_nodes(n, e),

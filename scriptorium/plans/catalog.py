@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import pages, paths
-from scriptorium.operators import analytics, backfill, compiling, concepts, exports, graph, ingest, logs, retrieval, structure, verify
+from scriptorium.operators import analytics, backfill, compiling, concepts, exports, graph, ingest, logs, louvain, retrieval, structure, verify
 from scriptorium.session import cut, table
 from scriptorium.streaming import jobs
 
@@ -499,9 +499,9 @@ def graph_members(spark, d):
 
 @query()
 def graph_communities(spark, d):
-    """Communities by the whole rule: four rounds, large ones split."""
+    """Communities by the whole rule: modularity until it settles, large ones split."""
     n, e = _graph(spark, d)
-    return analytics.communities(cut(n), cut(e))
+    return louvain.clusters(cut(n), cut(e))
 
 
 @query(f"""with {GRAPH}, {MEMBERS}, sizes as (select community, count(*) as members from m group by 1), ins as (select a.community, count(*) as c from e join m a on a.id = source join m b on b.id = target where a.community = b.community and source <> target group by 1)
