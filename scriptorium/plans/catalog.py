@@ -64,11 +64,19 @@ def _members(n: DataFrame, e: DataFrame) -> DataFrame:
 
 
 def _whole(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The graph and the communities of the SQL, for queries that have SQL over them."""
     n, e = _graph(spark, d)
     n, e = cut(n), cut(e)
     return n, e, cut(_members(n, e))
 
 
+def _settled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The graph and its communities by the whole rule, for queries whose SQL doesn't fix them."""
+    n, e = _graph(spark, d)
+    n, e = cut(n), cut(e)
+    return n, e, cut(louvain.clusters(n, e))
+
+
 # ---- sources and scans
 
 ENDING = r"lower(regexp_extract(regexp_extract(original_filename, '([^/\\]*)$', 1), '[^.].*(\.[^.]+)$', 1))"
@@ -567,7 +575,7 @@ def graph_gaps(spark, d):
 
 @query()
 def graph_questions(spark, d):
-    return analytics.questions(*_whole(spark, d))
+    return analytics.questions(*_settled(spark, d))
 
 
 @query(f"""with {GRAPH}, {MEMBERS}, p as (select m.community, n.label, row_number() over (partition by m.community order by case when file_type = 'concept' then 0 else 1 end, degree desc, n.id) as r from m join n using (id) join deg using (id) where label <> ''),
@@ -663,7 +671,7 @@ def export_cypher(spark, d):
 
 @query()
 def export_node_links(spark, d):
-    return exports.node_links(*_whole(spark, d))
+    return exports.node_links(*_settled(spark, d))
 
 
 _X = lambda c: f"replace(replace(replace(replace(coalesce({c}, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
@@ -683,22 +691,22 @@ def export_vis_nodes(spark, d):
 
 @query()
 def export_notes(spark, d):
-    return exports.notes(*_whole(spark, d))
+    return exports.notes(*_settled(spark, d))
 
 
 @query()
 def export_canvas(spark, d):
-    return exports.canvas(_whole(spark, d)[2])
+    return exports.canvas(_settled(spark, d)[2])
 
 
 @query()
 def report_summary(spark, d):
-    return exports.summary_lines(*_whole(spark, d))
+    return exports.summary_lines(*_settled(spark, d))
 
 
 @query()
 def report_community_pages(spark, d):
-    return exports.community_pages(*_whole(spark, d))
+    return exports.community_pages(*_settled(spark, d))
 
 
 # ---- backfill
@@ -768,7 +776,7 @@ def logs_previous(spark, d):
 union all select 'label holds markup', id from n where regexp_matches(label, '[*`\\[\\]#]') union all select 'label too long for a file', id from n where length(label) > 120""")
 def verify_graph(spark, d):
     """What is wrong with the built graph."""
-    return verify.verify_graph(*_whole(spark, d))
+    return verify.verify_graph(*_settled(spark, d))
 
 
 @query(f"""with {REDUCED} select 'page missing' as "check", name as ref from idx where path is null or path not in (select path from concept_pages where path is not null)

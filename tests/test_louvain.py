@@ -62,3 +62,13 @@ def test_too_large_for_one_task_and_split(spark):
     n, e = spark.createDataFrame([(i,) for i in ids], "id string"), spark.createDataFrame(pairs, "source string, target string")
     assert len({r["community"] for r in louvain.clusters(n, e).collect()}) == 1
     assert louvain.clusters(n.limit(0), e.limit(0)).count() == 0
+
+
+def test_queries_show_the_communities_of_the_operator(spark, tmp_path):
+    d = tables(spark, tmp_path, *PATH)
+    want = {r["id"]: r["community"] for r in catalog.QUERIES["graph_communities"](spark, d).collect()}
+    assert {r["id"]: r["community"] for r in catalog._settled(spark, d)[2].collect()} == want
+    notes = {r["file"][:-3]: r["body"] for r in catalog.QUERIES["export_notes"](spark, d).collect()}
+    assert all(f"community: {c}\n" in notes[i] for i, c in want.items())
+    assert catalog.QUERIES["export_canvas"](spark, d).count() == len(set(want.values()))
+    assert f"communities: {len(set(want.values()))}" in {r["line"] for r in catalog.QUERIES["report_summary"](spark, d).collect()}
