@@ -193,30 +193,29 @@ def name_communities(nodes: DataFrame, edges: DataFrame, members: DataFrame, top
     return ids.join(named, "community", "left").select("community", F.coalesce("name", F.format_string("社区%d", "community")).alias("name"))
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, sources: int = 32, depth: int = 6) -> DataFrame:
-    """(id, score): how many shortest paths from a seeded sample of ``sources`` nodes, up to
-    ``depth`` steps, pass through a node (Brandes, level by level). All sources move
-    together, one join a level."""
-    links = cut(both_ways(edges.where("source <> target")).distinct())
-    seeds = nodes.select("id").orderBy(F.xxhash64(F.lit(42), "id"), "id").limit(sources)
-    seen = cut(seeds.select(F.col("id").alias("s"), "id", F.lit(0).alias("level"), F.lit(1.0).alias("paths")))
-    front, levels = seen, [seen]
-    for level in range(1, depth + 1):
+def betweenness(nodes: DataFrame, edges: DataFrame, sources: int = 100, exact: int = 1_000) -> DataFrame:
+    """(id, score): how many shortest paths pass through a node (Brandes, level by level until
+    nothing new is reached). Paths start at all nodes of a graph of up to ``exact`` nodes,
+    else at a seeded sample of ``sources``. All sources move together, one join a level."""
+    codes = cut(numbered(nodes.select("id"), ["id"], "n"))
+    pairs = skew_lookup(both_ways(edges.where("source <> target")).distinct(), codes, "id").select(F.col("n").alias("id"), F.col("other").alias("_o"))
+    links = cut(skew_lookup(pairs, codes.select(F.col("id").alias("_o"), F.col("n").alias("other")), "_o").select("id", "other"))
+    seeds = codes if codes.count() <= exact else codes.orderBy(F.xxhash64(F.lit(42), "id"), "id").limit(sources)
+    front = cut(seeds.select(F.col("n").alias("s"), F.col("n").alias("id"), F.lit(1.0).alias("paths")))
+    levels, before = [front], None
+    while True:
         step = front.join(links, "id").groupBy("s", F.col("other").alias("id")).agg(F.sum("paths").alias("paths"))
-        front = cut(step.join(seen.select("s", "id"), ["s", "id"], "left_anti").select("s", "id", F.lit(level).alias("level"), "paths"))
+        near = front if before is None else front.unionByName(before)  # a neighbour is at most one level off
+        before, front = front, cut(step.join(near.select("s", "id"), ["s", "id"], "left_anti"))
         if front.isEmpty():
             break
         levels.append(front)
-        seen = cut(seen.unionByName(front))
-    flow = levels[-1].select("s", "id", F.lit(0.0).alias("d"))
-    total = None
-    for upper, lower in zip(reversed(levels[:-1]), reversed(levels)):
-        down = lower.join(flow, ["s", "id"]).select("s", F.col("id").alias("other"), F.col("paths").alias("_p"), "d")
-        share = upper.join(links, "id").join(down, ["s", "other"]).groupBy("s", "id").agg(F.sum(F.col("paths") / F.col("_p") * (1 + F.col("d"))).alias("d"))
-        flow = cut(upper.select("s", "id").join(share, ["s", "id"], "left").na.fill(0.0, ["d"]))
-        part = flow.where("s <> id")
-        total = part if total is None else total.unionByName(part)
-    if total is None:
-        return nodes.select("id", F.lit(0.0).alias("score"))
-    sums = total.groupBy("id").agg(F.round(F.sum("d"), 6).alias("score"))
-    return nodes.select("id").join(sums, "id", "left").na.fill(0.0, ["score"])
+    flow, sums = levels[-1].select("s", "id", "paths", F.lit(0.0).alias("d")), None
+    for k in range(len(levels) - 1, -1, -1):
+        if k < len(levels) - 1:
+            down = flow.select("s", "id", ((1 + F.col("d")) / F.col("paths")).alias("x"))
+            share = down.join(links, "id").groupBy("s", F.col("other").alias("id")).agg(F.sum("x").alias("x"))
+            flow = cut(levels[k].join(share, ["s", "id"], "left").select("s", "id", "paths", (F.col("paths") * F.coalesce("x", F.lit(0.0))).alias("d")))
+        part = flow.where("s <> id").select("id", "d")
+        sums = cut((part if sums is None else sums.unionByName(part)).groupBy("id").agg(F.sum("d").alias("d")))
+    return codes.join(sums.withColumnRenamed("id", "n"), "n", "left").select("id", F.round(F.coalesce("d", F.lit(0.0)), 6).alias("score"))

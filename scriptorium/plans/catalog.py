@@ -588,7 +588,7 @@ def graph_community_names(spark, d):
 @query()
 def graph_betweenness(spark, d):
     n, e = _graph(spark, d)
-    return analytics.betweenness(cut(n), cut(e), sources=8, depth=4)
+    return analytics.betweenness(cut(n), cut(e))
 
 
 # ---- retrieval
