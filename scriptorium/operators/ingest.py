@@ -125,6 +125,25 @@ def removal_plan(sources: DataFrame, pages: DataFrame, sha: str) -> DataFrame:
     return made.join(pages.select(F.col("path").alias("article"), "title"), "article", "left")
 
 
+def removal(sources: DataFrame, gone: DataFrame, tasks: DataFrame, pages: DataFrame, text: str = "text") -> DataFrame:
+    """(sha256, kind, ref): the removal plan of all hashes of ``gone``: the articles made of a
+    source, its archive folder, its tasks (status/id) and the pages that hold [[title]] of one
+    of its articles. Nothing is changed. ``tasks`` has (task_id, sha256, status), ``pages``
+    (path, text)."""
+    keys = gone.select("sha256").where("sha256 is not null").distinct()
+    rows = sources.join(keys, "sha256", "left_semi")
+    made = rows.select("sha256", F.explode("generated_pages").alias("ref")).where("ref is not null").distinct()
+    kept = rows.where("raw_path <> ''").select("sha256", F.lit("archive").alias("kind"), F.col("raw_path").alias("ref"))
+    open_ = tasks.join(keys, "sha256", "left_semi").select("sha256", F.lit("task").alias("kind"), F.concat_ws("/", "status", "task_id").alias("ref"))
+    titles = made.select("sha256", stem_of("ref").alias("title")).distinct()
+    links = pages.select("path", F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"\[\[([^\[\]\n]+)\]\]"), F.lit(1)))).alias("title"))
+    odd = titles.where(F.col("title").rlike(r"[\[\]\n]"))  # titles that the pattern can't hold are looked for one by one
+    told = links.join(titles, "title").select("sha256", "path").unionByName(
+        pages.join(odd, F.contains(F.col(text), F.concat(F.lit("[["), "title", F.lit("]]")))).select("sha256", "path"))
+    out = made.select("sha256", F.lit("article").alias("kind"), "ref").unionByName(kept).unionByName(open_)
+    return out.unionByName(told.select("sha256", F.lit("mention").alias("kind"), F.col("path").alias("ref"))).distinct()
+
+
 def cache_key(text: Column | str, path: Column | str) -> Column:
     """Hash of the text after its frontmatter and of its path: metadata edits keep it."""
     return F.sha2(F.concat(body_of(text), F.coalesce(F.col(path) if isinstance(path, str) else path, F.lit(""))), 256)

@@ -247,6 +247,21 @@ def ingest_removal_none(spark, d):
     return ingest.removal_plan(s, table(spark, d, "nodes").select(F.col("source_file").alias("path"), F.col("label").alias("title")), "0" * 64)
 
 
+@query(rf"""with g as (select distinct sha256 from source_map where batch_id = 1 and sha256 is not null), s as (select * from source_map where sha256 in (select sha256 from g)),
+a as (select distinct sha256, unnest(generated_pages) as ref from s), t as (select distinct sha256, {STEM_OF('ref')} as title from a where ref is not null),
+k as (select sha256, max(coalesce(len(generated_pages) > 0, false)) as done from s group by 1),
+p as (select path, summary as text from concept_pages union all select 'doc_' || doc_id, text from documents)
+select sha256, 'article' as kind, ref from a where ref is not null union select sha256, 'archive', raw_path from s where raw_path <> ''
+union select sha256, 'task', 'pending/' || sha256[1:8] || '_compile_wiki' from k where not done
+union select sha256, 'mention', path from p join t on contains(text, '[[' || title || ']]') where path is not null""")
+def ingest_removal(spark, d):
+    """The removal plan of the hashes of one batch, over concept pages and texts."""
+    s = table(spark, d, "source_map")
+    texts = table(spark, d, "concept_pages").select("path", F.col("summary").alias("text")).unionByName(
+        table(spark, d, "documents").select(F.concat(F.lit("doc_"), "doc_id").alias("path"), "text"))
+    return ingest.removal(s, s.where("batch_id = 1"), compiling.tasks(s), texts.where("path is not null"))
+
+
 # ---- compile phase
 
 @query("""select sha256[1:8] || '_compile_wiki' as task_id, sha256, f.raw_path as raw_path, 'pending' as status, f.uploaded_at as enqueued_at from (
