@@ -100,9 +100,11 @@ L.forEach(e=>{if(p[e.source]&&p[e.target]){x.setLineDash(e.dashed?[4,4]:[]);x.be
 N.forEach(n=>{x.beginPath();x.arc(...p[n.id],n.size/4,0,7);x.fill();if(n.show)x.fillText(n.label,...p[n.id])});</script>""")
 
 
-def notes(nodes: DataFrame, edges: DataFrame, members: DataFrame, links: int = 50) -> DataFrame:
-    """(file, body): a note for each node: type, community, commonest confidence of its edges
-    (ties: plain order), and its best linked targets. Notes of one name get a number."""
+def notes(nodes: DataFrame, edges: DataFrame, members: DataFrame, links: int = 1_000) -> DataFrame:
+    """(file, part, body): a note for each node: type, community, commonest confidence of its
+    edges (ties: plain order), and all its targets by name. Notes of one name get a number.
+    Part 0 holds the head and the first ``links`` targets, each further part as many more, so
+    that no cell grows with a hub; the parts of a file in order, one a line, are the note."""
     name = note_name(F.coalesce("label", "id"))
     again = F.row_number().over(Window.partitionBy(F.lower("_n")).orderBy("id")) - 1
     named = nodes.select("id", "file_type", name.alias("_n")).withColumn("_k", again)
@@ -111,12 +113,14 @@ def notes(nodes: DataFrame, edges: DataFrame, members: DataFrame, links: int = 5
     conf = conf.groupBy("id").agg(F.min_by("c", F.struct(F.negative("n"), "c")).alias("confidence"))
     out = edges.select(F.col("source").alias("id"), F.col("target").alias("t")).join(named.select(F.col("id").alias("t"), "name"), "t")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("name"))
-    out = out.withColumn("_r", rank).where(F.col("_r") <= links).groupBy("id").agg(F.array_sort(F.collect_list("name")).alias("links"))
-    rows = named.join(conf, "id", "left").join(out, "id", "left").join(members, "id", "left")
-    text = F.transform(F.coalesce("links", F.array().cast("array<string>")), lambda x: F.concat(F.lit("- [["), x, F.lit("]]")))
+    out = out.withColumn("part", F.floor((rank - 1) / links).cast("int")).groupBy("id", "part").agg(F.array_sort(F.collect_list("name")).alias("links"))
+    first, more = out.where("part = 0").drop("part"), out.where("part > 0")
+    rows = named.join(conf, "id", "left").join(first, "id", "left").join(members, "id", "left")
+    text = F.array_join(F.transform(F.coalesce("links", F.array().cast("array<string>")), lambda x: F.concat(F.lit("- [["), x, F.lit("]]"))), "\n")
     body = F.concat_ws("\n", F.concat(F.lit("# "), "name"), F.concat(F.lit("type: "), F.coalesce("file_type", F.lit(""))), F.concat(F.lit("community: "), F.coalesce(F.col("community").cast("string"), F.lit(""))),
-                       F.concat(F.lit("confidence: "), F.coalesce("confidence", F.lit("EXTRACTED"))), F.array_join(text, "\n"))
-    return rows.select(F.concat("name", F.lit(".md")).alias("file"), body.alias("body"))
+                       F.concat(F.lit("confidence: "), F.coalesce("confidence", F.lit("EXTRACTED"))), text)
+    file = F.concat("name", F.lit(".md")).alias("file")
+    return rows.select(file, F.lit(0).alias("part"), body.alias("body")).unionByName(more.join(named, "id").select(file, "part", text.alias("body")))
 
 
 def canvas(members: DataFrame, width: int = 220, height: int = 60) -> DataFrame:
