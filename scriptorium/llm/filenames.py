@@ -9,8 +9,10 @@ normal forms are equal, or whose words differ by one slip each in at most two wo
 (year, part) must be equal, and so must all words but the slipped ones.
 
 Every form is filed under keys: the whole form, and the form without one or two of its
-long words (without one of its Chinese characters). Two forms one slip apart share a
-key, so equal keys find all of them without comparing all pairs.
+long words (without one of its Chinese characters). Where fewer than two long words would
+be left, the words left out stay in the key with one letter left out, since what is left
+would be shared by too many names. Two forms that are the same share a key, so equal
+keys find all of them without comparing all pairs.
 """
 
 from __future__ import annotations
@@ -35,22 +37,28 @@ _VERSION = re.compile(
 _MARKS = frozenset("copy of final draft new re fw fwd aw wg scan scanned clean signed approved old latest final2 kopie von copia de".split())
 
 
+def _shown(text: str, looks) -> str:
+    if text.isascii() and text.isprintable():
+        return text
+    return unicodedata.normalize("NFKC", text if looks is None else looks.rewrite(text))
+
+
 def normal(name: str, looks=None) -> str:
     """Words parted by blanks; empty if nothing is left."""
-    text = name
-    if looks is not None:
-        text = looks.rewrite(text)
-    text = unicodedata.normalize("NFKC", text)
-    for _ in range(2):
-        text = unquote(text)
-    if looks is not None:
-        text = looks.rewrite(text)
-    text = unicodedata.normalize("NFKC", text)
-    text = "".join(ch for ch in unicodedata.normalize("NFD", text) if unicodedata.category(ch) not in ("Mn", "Cf"))
+    text = _shown(name, looks)
+    if "%" in text:
+        for _ in range(2):
+            text = unquote(text)
+        text = _shown(text, looks)
+    plain = text.isascii()
+    if not plain:
+        text = "".join(ch for ch in unicodedata.normalize("NFD", text) if unicodedata.category(ch) not in ("Mn", "Cf"))
     text = text.replace("\\", "/").rpartition("/")[2].strip().lower()
     for _ in range(2):
         text = _ENDING.sub("", text)
-    text = _MARKS_ZH.sub(" ", _VERSION.sub(" ", text.replace("_", " ")))
+    text = _VERSION.sub(" ", text.replace("_", " "))
+    if not plain:
+        text = _MARKS_ZH.sub(" ", text)
     words = _TOKEN.findall(text)
     zh = "".join(w for w in words if _ZH.match(w))
     rest = [w for w in words if not _ZH.match(w)]
@@ -97,15 +105,31 @@ def keys(form: str) -> Iterator[int]:
                 after = (k + 1) % len(zh)
                 yield _key(whole - pair[k] - pair[after] + _HASH[zh[k - 1] + zh[after]], 3)
         return
-    if len(words) < 3:
-        return
     whole = sum(map(_HASH.__getitem__, words))
-    long = [_HASH[w] for w in words if _slips(w)]
+    long = [w for w in words if _slips(w)]
     for a in range(len(long)):
-        yield _key(whole - long[a], 1)
-        if len(words) > 4:
-            for b in range(a + 1, len(long)):
-                yield _key(whole - long[a] - long[b], 2)
+        for left in _near(long[a]) if len(long) < 3 else [0]:
+            yield _key(whole - _HASH[long[a]] + left, 1)
+        for b in range(a + 1, len(long)):
+            rest = whole - _HASH[long[a]] - _HASH[long[b]]
+            if len(long) > 3:
+                yield _key(rest, 2)
+            else:
+                for x in _near(long[a]):
+                    for y in _near(long[b]):
+                        yield _key(rest + x + y, 2)
+
+
+def _near(word: str) -> list[int]:
+    """Hashes two words share if they are one slip apart: of the word with one letter left
+    out, or, of a long word, of its beginning and its end (one of which a slip spares)."""
+    size, out = len(word), []
+    if size <= 12:
+        out = [word] + [word[:k] + word[k + 1 :] for k in range(size)]
+    if size >= 12:
+        for m in {(size - 1) // 2, (size - 2) // 2}:
+            out += [f"{m}<{word[:m]}", f"{m}>{word[size - m :]}"]
+    return [_HASH["~" + x] for x in dict.fromkeys(out)]
 
 
 def one_slip(a: str, b: str) -> bool:
@@ -155,6 +179,41 @@ def same(a: str, b: str) -> bool:
     return (one_slip(p, r) and one_slip(q, s)) or (one_slip(p, s) and one_slip(q, r))
 
 
+def _winnow(form: str) -> tuple[frozenset[int], int]:
+    """The winnowed three-letter runs of a form's words (of two neighbours round a run of
+    Chinese characters): of every two next to each other the one with the lesser hash; and
+    how many of them slips can change."""
+    found, most = set(), []
+    for word in form.split(" "):
+        if _ZH.match(word):
+            grams = [_HASH[word[k - 1] + word[k]] for k in range(len(word))]
+            grams.append(grams[0])
+        else:
+            grams = [_HASH[word[k : k + 3]] for k in range(max(1, len(word) - 2))]
+        own = {min(grams[k : k + 2]) for k in range(max(1, len(grams) - 1))}
+        most.append(min(len(own), 5))
+        found |= own
+    return frozenset(found), sum(sorted(most)[-2:])
+
+
+class _Winnowed(dict):
+    def __missing__(self, form: str) -> tuple[frozenset[int], int]:
+        if len(self) > 200_000:
+            self.clear()
+        out = self[form] = _winnow(form)
+        return out
+
+
+_WINNOWED = _Winnowed()
+
+
+def covers(a: str, b: str) -> bool:
+    """Whether two forms share all winnowed runs but those that two slips can change."""
+    (x, slips), (y, slips_y) = _WINNOWED[a], _WINNOWED[b]
+    common = len(x & y)
+    return common >= len(x) - slips and common >= len(y) - slips_y
+
+
 def _least(text: str) -> str:
     return min(text[k:] + text[:k] for k in range(len(text)))
 

@@ -30,7 +30,7 @@ from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, In
 from scriptorium.llm import filenames
 from scriptorium.llm.components import connected_components
 from scriptorium.llm.lookalike import Looks
-from scriptorium.llm.wordrun import words
+from scriptorium.llm.wordrun import word_hashes
 from scriptorium.session import BROADCAST_ROWS, cut
 
 BITS = 256
@@ -44,32 +44,19 @@ PART_ROWS = 500_000
 PIVOTS = 4
 _RNG = np.random.default_rng(20240601)
 _A = (_RNG.integers(0, 2**32, BITS, dtype=np.uint64) | 1).astype(np.uint32)
-_B = _RNG.integers(0, 2**32, BITS, dtype=np.uint64).astype(np.uint32)
-_SPACE = np.empty((BITS, 512), np.uint32)
+_SPACE = np.empty((64, 512), np.uint32)
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
-class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        if len(self) > 2_000_000:
-            self.clear()
-        return h
-
-
-_HASH = _Hashes()
-
-
 def runs(text: str, size: int = 3) -> np.ndarray:
     """Hashes of the distinct runs of ``size`` consecutive words, ascending."""
-    return np.unique(_runs(words(text), size))
+    return np.unique(_runs(word_hashes(text), size))
 
 
-def _runs(found: list[str], size: int) -> np.ndarray:
-    if len(found) < size:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_HASH.__getitem__, found), np.uint64, len(found))
+def _runs(h: np.ndarray, size: int) -> np.ndarray:
     n = len(h) - size + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
     mixed = np.zeros(n, np.uint64)
     for k in range(size):
         mixed = (mixed ^ (h[k : k + n] * _M[k % 3])) * _M[(k + 1) % 3]
@@ -83,26 +70,27 @@ def sketch(found: np.ndarray) -> np.ndarray:
     least = np.full(BITS, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(x), 512):  # blocks that stay in the processor's cache
         part = x[at : at + 512]
-        mixed = _SPACE[:, : len(part)]
-        np.multiply(_A[:, None], part, out=mixed)
-        np.add(mixed, _B[:, None], out=mixed)
-        np.minimum(least, mixed.min(axis=1), out=least)
+        for k in range(0, BITS, 64):
+            mixed = _SPACE[:, : len(part)]
+            np.multiply(_A[k : k + 64, None], part, out=mixed)
+            np.minimum(least[k : k + 64], mixed.min(axis=1), out=least[k : k + 64])
     return least
 
 
 def _bands(least: np.ndarray) -> np.ndarray:
-    h = least[: BANDS * ROWS].astype(np.uint64).reshape(BANDS, ROWS)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64) * _M[0]
+    """The keys of the bands of each row of minhashes."""
+    h = least[:, : BANDS * ROWS].astype(np.uint64).reshape(len(least), BANDS, ROWS)
+    key = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64) * _M[0], (len(least), 1))
     for k in range(ROWS):
-        key = (key ^ (h[:, k] + _M[1])) * _M[2]
+        key = (key ^ (h[:, :, k] + _M[1])) * _M[2]
         key ^= key >> np.uint64(31)
     return key.view(np.int64)
 
 
-def _bits(least: np.ndarray) -> tuple[bytes, bytes]:
-    """A bit of each minhash, and another."""
+def _bits(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A bit of each minhash, and another, a row each."""
     mixed = least * np.uint32(0x9E3779B1)
-    return tuple(np.packbits((mixed >> np.uint32(k)).astype(np.uint8) & 1).tobytes() for k in (31, 27))
+    return tuple(np.packbits((mixed >> np.uint32(k)).astype(np.uint8) & 1, axis=1) for k in (31, 27))
 
 
 _SKETCHES = pa.schema([("id", pa.int64()), ("copy_of", pa.binary()), ("fp", pa.binary()), ("more", pa.binary()), ("bands", pa.list_(pa.int64()))])
@@ -111,20 +99,20 @@ _SKETCHES = pa.schema([("id", pa.int64()), ("copy_of", pa.binary()), ("fp", pa.b
 def _sketches(size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, copies, fps, more, bands = [], [], [], [], []
+            ids, copies, least = [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = _runs(w := words(text), size)
-                if not len(found):
-                    continue
-                least = sketch(found)
-                ids.append(i)
-                copies.append(xxhash.xxh128_digest("\n".join(w)))
-                fp, other = _bits(least)
-                fps.append(fp)
-                more.append(other)
-                bands.append(_bands(least))
-            flat = np.concatenate(bands) if bands else np.empty(0, np.int64)
+                h = word_hashes(text)
+                found = _runs(h, size)
+                if len(found):
+                    ids.append(i)
+                    copies.append(xxhash.xxh128_digest(h.tobytes()))
+                    least.append(sketch(found))
+            if not ids:
+                continue
+            least = np.stack(least)
+            flat = _bands(least).ravel()
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), pa.array(flat))
+            fps, more = ([x.tobytes() for x in part] for part in _bits(least))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(copies, pa.binary()), pa.array(fps, pa.binary()), pa.array(more, pa.binary()), lists], schema=_SKETCHES)
 
     return run
@@ -269,6 +257,18 @@ def _unequal(a1: pd.Series, a2: pd.Series, b1: pd.Series, b2: pd.Series) -> pd.S
     return pd.Series(np.bitwise_count((a1 ^ b1) | (a2 ^ b2)).sum(axis=1).astype(np.int32))
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x.sort()
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
+def _common(p: np.ndarray, q: np.ndarray) -> int:
+    """How many values two ascending arrays of distinct values share."""
+    both = np.concatenate([p, q])
+    both.sort()
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
 def verify_texts(pairs: DataFrame, docs: DataFrame, size: int, least: float, at_least: bool) -> DataFrame:
     """The pairs whose texts have enough runs in common. Only texts of some pair are moved."""
     ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
@@ -278,14 +278,14 @@ def verify_texts(pairs: DataFrame, docs: DataFrame, size: int, least: float, at_
     @pandas_udf(BinaryType())
     def runs_of(texts: pd.Series) -> pd.Series:
         # 32 bits of each run's hash: one pair in some 25,000 is off by one run
-        return texts.map(lambda x: np.unique((runs(x, size) >> np.uint64(32)).astype(np.uint32)).tobytes())
+        return texts.map(lambda x: _distinct((_runs(word_hashes(x), size) >> np.uint64(32)).astype(np.uint32)).tobytes())
 
     @pandas_udf(DoubleType())
     def share(a: pd.Series, b: pd.Series) -> pd.Series:
         out = []
         for x, y in zip(a, b):
             p, q = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-            both = len(np.intersect1d(p, q, assume_unique=True))
+            both = _common(p, q)
             out.append(both / (len(p) + len(q) - both))
         return pd.Series(out, dtype=float)
 
@@ -309,13 +309,25 @@ def all_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
     return across.unionByName(same).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
+class _Bits(dict):
+    def __missing__(self, pair: str) -> int:
+        bit = self[pair] = 1 << (filenames._HASH[pair] % NAME_BITS)
+        if len(self) > 500_000:
+            self.clear()
+        return bit
+
+
+_BIT = _Bits()
+
+
 @pandas_udf(BinaryType())
 def _bigram_bits(forms: pd.Series) -> pd.Series:
     def one(form: str) -> bytes:
-        at = {filenames._HASH[word[k - 1] + word[k]] % NAME_BITS for word in form.split(" ") for k in range(len(word))}
-        bits = np.zeros(NAME_BITS, np.uint8)
-        bits[list(at)] = 1
-        return np.packbits(bits).tobytes()
+        bits = 0
+        for word in form.split(" "):
+            for k in range(len(word)):
+                bits |= _BIT[word[k - 1] + word[k]]
+        return bits.to_bytes(NAME_BITS // 8, "little")
 
     return forms.map(one)
 

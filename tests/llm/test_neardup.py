@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from scriptorium.llm import neardup
+from scriptorium.llm import neardup, wordrun
 from scriptorium.llm.wordrun import words
 
 
@@ -51,3 +51,17 @@ def test_pivots_discard_no_pair_within_the_radius():
     a, b = neardup._block_pairs(key, ids, np.full(len(fp), 2), fp, 20)
     want = {(i, j) for i, j in itertools.combinations(range(len(fp)), 2) if key[i] == key[j] and np.bitwise_count(fp[i] ^ fp[j]).sum() <= 20}
     assert set(zip(a.tolist(), b.tolist())) == want and want
+
+
+@pytest.mark.parametrize("size", [1 << 20, 7])
+def test_word_hashes_are_those_of_the_words(monkeypatch, size):
+    monkeypatch.setattr(wordrun, "_PIECE", size)
+    texts = ["", " ", "one", "One, two_THREE 4", "年 编目检索report报告", "ＡＢＣ a\u200bb é\u0301x 𝒳y 𠀀z", "tail-", "-head", "x" * 6, "İstanbul straße", *(t for _, t in corpus() if t)]
+    by = {}
+    for t in texts:
+        w, h = words(t), wordrun.word_hashes(t).tolist()
+        if max(map(len, w), default=0) < size:
+            assert len(w) == len(h), t
+            for a, b in zip(w, h):
+                assert by.setdefault(a, b) == b
+    assert len(set(by.values())) == len(by)
