@@ -1,40 +1,47 @@
 """Problem 5: checking new batches against all history.
 
-A store in the shared folder holds one row for each fingerprint of each distinct upload
-form, and Bloom filters partitioned by fingerprint. A batch is prescreened against the
-filters; only fingerprints that may be known are looked up in the store, and what they
-hit is verified. Then the batch's fingerprints join the store and its bits the filters,
-so history is never processed again.
-
-Fingerprints are the hash (its first 16 digits), the whole normal form of the file name,
-and the form with one or two of its words left out (see ``filenames``). Winnowed k-grams
-of names would be shared by all names of one topic; leaving words out keeps a
-fingerprint as selective as the name and still meets every name a slip away.
+A store in the shared folder holds one row for each fingerprint of each distinct hash and
+name form, in parts by fingerprint, and one Bloom filter a part. A batch is prescreened
+against the filters of the parts its fingerprints fall in; only fingerprints that may be
+known are looked up, in those parts only, what they hit is verified, and the batch joins
+the store: its rows as a new run, its bits in the filters of its parts. Runs are merged
+by tiers, so a lookup reads few of them and history is never processed again. A store
+is reopened by its path; what a batch that broke off has left behind is overwritten.
+
+Fingerprints that are looked up are the hash (its first 16 digits), the whole normal form
+of the name, and the form with words left out (see ``filenames.keys``). What they hit is
+verified by shared coverage: of the winnowed three-letter runs of two forms (the least of
+every two neighbours, by hash) so many must be common that slips in two words explain the
+rest; then by the rule itself. Winnowed runs alone can't be looked up: two slips may leave
+a name of six words no run of its own but those all names of its topic have.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType, StringType
 
 from scriptorium.llm import filenames
 from scriptorium.llm.components import connected_components
 from scriptorium.llm.lookalike import Looks
-from scriptorium.llm.neardup import name_keys, same_name
-from scriptorium.session import BROADCAST_ROWS, scratch
+from scriptorium.llm.neardup import name_keys
+from scriptorium.session import BROADCAST_ROWS, cut, scratch, skew_lookup
 
 HASHES = 5
 PART_ROWS = 150_000
+#: Forms under one fingerprint that are compared in one task.
+CHUNK = 2_000
+#: Runs of one size before they are merged into one.
+TIER = 32
 # the tables of a store
-ROWS = "fp long, form string, exact boolean, id long"
-FILTERS = "part int, bits binary, fp long"
-LINKS = "a long, b long"
+ROWS = "fp long, form string, exact boolean, id long, known boolean, n int, part int"
+LINKS = "a long, b long, turn int"
 
 
 def hash_key(column: str = "sha256"):
@@ -43,10 +50,16 @@ def hash_key(column: str = "sha256"):
     return F.when(bare.rlike("^([0-9a-f]{16}|[0-9a-f]{64})$"), F.substring(bare, 1, 16))
 
 
-def fingerprints(uploads: DataFrame, key: str = "upload_id", sha: str = "sha256", name: str = "original_filename") -> DataFrame:
-    """(id, fp, form, exact): one row for each fingerprint of each upload. ``exact``: sharing
-    it suffices; else the forms are to be verified. Rows delivered twice count once; an
-    upload with neither a hash nor a name has none; null ids are left out."""
+def fingerprints(uploads: DataFrame, key: str = "upload_id", sha: str = "sha256", name: str = "original_filename", batch: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, stars). ``rows``: (fp, form, exact, id, _b), one row for each fingerprint of each
+    distinct hash or name form of a batch, with the smallest id that has it; ``exact``:
+    sharing it suffices, else the forms are to be verified. ``stars``: (a, b, _b), links
+    from that smallest id to every other id of the batch with the hash or form.
+
+    Rows delivered twice count once, an id in two batches counts for the smaller; an upload
+    with neither a hash nor a name has no row; null ids are left out; without ``batch``, and
+    where it is null, all is batch 0.
+    """
     shared = uploads.sparkSession.sparkContext.broadcast(Looks.universal())
 
     @pandas_udf(StringType())
@@ -54,13 +67,19 @@ def fingerprints(uploads: DataFrame, key: str = "upload_id", sha: str = "sha256"
         table = shared.value
         return names.map(lambda x: None if x is None else filenames.normal(x, table) or None)
 
-    rows = uploads.where(F.col(key).isNotNull()).select(
-        F.col(key).cast("long").alias("id"), hash_key(sha).alias("h"), F.col(name).alias("n")).distinct()
-    hashed = rows.where("h is not null").select("id", F.xxhash64(F.lit("sha"), "h").alias("fp"), F.lit(None).cast("string").alias("form"), F.lit(True).alias("exact"))
-    # as if not deterministic: else the filter, and the function with it, would also run below the distinct
-    named = rows.where("n is not null").select("id", form.asNondeterministic()("n").alias("form")).where("form is not null")
-    keyed = named.select("id", "form", F.posexplode(name_keys("form")).alias("k", "fp"))
-    return hashed.unionByName(keyed.select("id", "fp", "form", (F.col("k") == 0).alias("exact"))).distinct()
+    number = F.coalesce(F.col(batch).cast("long"), F.lit(0)) if batch else F.lit(0).cast("long")
+    rows = uploads.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("id"), hash_key(sha).alias("h"), F.col(name).alias("n")).agg(F.min(number).alias("_b"))
+    hashed = rows.where("h is not null").select("id", "_b", F.xxhash64(F.lit("sha"), "h").alias("fp"), F.lit(None).cast("string").alias("form"))
+    # as if not deterministic: else the filter, and the function with it, would also run below the aggregate
+    named = rows.where("n is not null").select("id", "_b", form.asNondeterministic()("n").alias("form")).where("form is not null")
+    whole = cut(hashed.unionByName(named.select("id", "_b", F.xxhash64(F.lit("name"), "form").alias("fp"), "form")).withColumn("_k", F.xxhash64("_b", "fp")))
+    firsts = cut(whole.groupBy("_k", "_b", "fp", "form").agg(F.min("id").alias("id"), F.count("*").alias("_n")))
+    many = firsts.where("_n > 1").select("_k", F.col("id").alias("a"))
+    stars = skew_lookup(whole.select("_k", "_b", F.col("id").alias("b")), many, "_k").where("a <> b").select("a", "b", "_b").distinct()
+    exact = firsts.select("fp", F.lit(None).cast("string").alias("form"), F.lit(True).alias("exact"), "id", "_b")
+    keyed = firsts.where("form is not null").select(F.posexplode(name_keys("form")).alias("k", "fp"), "form", F.lit(False).alias("exact"), "id", "_b")
+    near = keyed.where("k > 0").drop("k")
+    return exact.unionByName(near), stars
 
 
 def _bits(fps: np.ndarray, size: int) -> np.ndarray:
@@ -71,103 +90,172 @@ def _bits(fps: np.ndarray, size: int) -> np.ndarray:
     return (a[:, None] + np.arange(HASHES, dtype=np.uint64) * b[:, None]) % np.uint64(size)
 
 
+@pandas_udf(BooleanType())
+def _verified(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Whether two forms share enough coverage and name the same document."""
+    return pd.Series([x is None or (filenames.covers(x, y) and filenames.same(x, y)) for x, y in zip(a, b)], dtype=bool)
+
+
 class FingerprintStore:
-    """The store at ``path``, for some ``expected`` fingerprints: ``parts`` filters of
-    ``part_bits`` bits (256 KB each, good for some 200,000 fingerprints at one false alarm in
-    a hundred). A false alarm costs a lookup and changes no result, so an overfull filter is
-    slow but not wrong. A task takes one part of a batch."""
+    """The store at ``path``; one that is there is opened as it was left, with its own number
+    of parts. A new one is made for some ``expected`` fingerprints: ``parts`` filters of
+    ``part_bits`` bits (256 KB each, good for some 200,000 fingerprints at one false alarm
+    in a hundred). A false alarm costs a lookup and changes no result, so an overfull filter
+    is slow but not wrong. A task takes one part of a batch."""
 
-    def __init__(self, spark: SparkSession, path: str, expected: int = 0, parts: int | None = None, part_bits: int = 1 << 21):
-        self.spark, self.path, self.part_bits = spark, path, part_bits
-        self.parts = parts or max(16, -(-expected // PART_ROWS))
-        self.turn, self.links = 0, None
+    def __init__(self, spark: SparkSession, path: str, expected: int = 0, parts: int | None = None, part_bits: int = 1 << 21, tier: int = TIER, chunk: int = CHUNK):
+        self.spark, self.path, self.tier, self.chunk = spark, path.rstrip("/"), tier, chunk
+        #: batches absorbed, the run that holds each part's filter, the runs and their tiers, most forms a fingerprint may have
+        self.turn, self.filters, self.runs, self.most = 0, {}, [], 0
+        self.parts, self.part_bits = parts or max(16, -(-expected // PART_ROWS)), part_bits
+        self.jvm = spark.sparkContext._jvm
+        folder = self._at(f"{self.path}/commits")
+        self.files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if self.files.exists(folder):
+            names = sorted(x.getPath().getName() for x in self.files.listStatus(folder))
+            if names := [x for x in names if x.endswith(".json")]:
+                stream = self.files.open(self._at(f"{self.path}/commits/{names[-1]}"))
+                state = json.loads(self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+                stream.close()
+                self.turn, self.parts, self.part_bits, self.most = state["turn"], state["parts"], state["part_bits"], state["most"]
+                self.filters = {int(p): t for p, t in state["filters"].items()}
+                self.runs = [tuple(x) for x in state["runs"]]
 
-    def _read(self, schema: str, *paths: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(*paths)  # a given schema saves a job a table
+    def _at(self, path: str):
+        return self.jvm.org.apache.hadoop.fs.Path(path)
 
-    def _rows(self, turn: int) -> str:
-        return f"{self.path}/rows/{turn}"
+    def _commit(self) -> None:
+        """What the store holds now, by one rename; it grows with the parts, not with the rows."""
+        text = json.dumps({"turn": self.turn, "parts": self.parts, "part_bits": self.part_bits, "most": self.most, "filters": self.filters, "runs": self.runs})
+        written, final = (self._at(f"{self.path}/commits/{self.turn:08d}.{x}") for x in ("tmp", "json"))
+        out = self.files.create(written, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        if not self.files.rename(written, final):
+            raise OSError(f"the store at {self.path} could not be committed")
 
-    def _filter(self, turn: int) -> str:
-        return f"{self.path}/filters/{turn}"
+    def _rows(self, *runs: str) -> DataFrame:
+        """The rows of some runs; a given schema saves a job, run and part are folders."""
+        if len(runs) == 1:
+            return self.spark.read.schema(ROWS).parquet(f"{self.path}/turns/run={runs[0]}/what=row")
+        return self.spark.read.schema(ROWS + ", run string, what string").parquet(f"{self.path}/turns").where(F.col("run").isin(*runs) & (F.col("what") == "row"))
 
-    def _screen(self, batch: DataFrame) -> DataFrame:
-        """(part, bits, fp): the filters with the batch added, and the fingerprints that may be known."""
-        asked = batch.select("fp").distinct().select(F.pmod("fp", F.lit(self.parts)).cast("int").alias("part"), "fp")
+    def _screen(self, batch: DataFrame, touched: list[int]) -> DataFrame:
+        """The batch's rows with ``known``, whether the fingerprint may be in the store, and
+        ``n``, how many of them have it; and the filters of their parts with the batch added."""
         size = self.part_bits
+        out = "what string, fp long, form string, exact boolean, id long, known boolean, n int, bits binary, part int"
 
-        def test(new: Iterator[pd.DataFrame], old: Iterator[pd.DataFrame] | None) -> pd.DataFrame:
-            fps = new["fp"].to_numpy(np.int64)
+        def test(new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
             bits = np.zeros(size // 8, np.uint8)
             for x in old["bits"]:
-                if x is not None:
-                    bits |= np.frombuffer(x, np.uint8)
+                bits |= np.frombuffer(x, np.uint8)
+            fps, of, n = np.unique(new["fp"].to_numpy(np.int64), return_inverse=True, return_counts=True)
             at = _bits(fps, size)
-            known = ((bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1) if len(fps) else np.empty(0, bool)
+            known = ((bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
             np.bitwise_or.at(bits, (at >> np.uint64(3)).ravel().astype(np.int64), (np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)).ravel())
-            part = int((new["part"] if len(new) else old["part"]).iloc[0])
-            hits = fps[known].tolist()
-            return pd.DataFrame({"part": [part] * (len(hits) + 1), "bits": [bits.tobytes()] + [None] * len(hits),
-                                 "fp": pd.array([None] + hits, dtype="Int64")})
+            rows = new.assign(what="row", known=known[of], n=n[of].astype(np.int32), bits=None)
+            last = {"what": "bits", "fp": None, "form": None, "exact": None, "id": None, "known": None, "n": int(new["part"].iloc[0]), "bits": bits.tobytes(), "part": int(new["part"].iloc[0])}
+            names = [x.split()[0] for x in out.split(", ")]
+            return pd.concat([rows[names].astype(object), pd.DataFrame([last], dtype=object)[names]], ignore_index=True)
 
-        if self.turn:
-            old = self._read(FILTERS, self._filter(self.turn - 1)).where("bits is not null").select("part", "bits")
-        else:
-            old = self.spark.createDataFrame([], "part int, bits binary")
-        return asked.groupBy("part").cogroup(old.groupBy("part")).applyInPandas(test, "part int, bits binary, fp long")
+        held = [f"{self.path}/turns/run={self.filters[p]}/what=bits/part={p}" for p in touched if p in self.filters]
+        old = self.spark.createDataFrame([], "part int, bits binary")
+        if held:
+            old = self.spark.read.schema("n int, bits binary").parquet(*held).select(F.col("n").alias("part"), "bits")
+        # parts without new rows have no old rows either, so each group has new ones
+        return batch.groupBy("part").cogroup(old.groupBy("part")).applyInPandas(test, out)
 
-    def absorb(self, batch: DataFrame) -> DataFrame:
-        """Check a batch of fingerprints against all before and itself, then add it.
+    def absorb(self, rows: DataFrame, stars: DataFrame | None = None) -> DataFrame:
+        """Check a batch (see ``fingerprints``) against all before and itself, then add it.
 
         Gives (a, b): links from an upload to one known, or of this batch, with the same
-        document; following links to the end gives all repeats. Exact fingerprints link to
-        the smallest upload that has them; so a fingerprint that a third of all rows share
-        makes as many links as rows.
+        document; following links to the end gives all repeats. A hash or form that a third
+        of all rows share is one row of ``rows`` and as many links as uploads in ``stars``.
         """
-        # one row a fingerprint and form; the map side combines, copies melt into their first
-        batch.groupBy("fp", "form", "exact").agg(F.min("id").alias("id")).write.parquet(self._rows(self.turn))
-        rows = self._read(ROWS, self._rows(self.turn))
-        self._screen(rows).write.parquet(self._filter(self.turn))
-        hits = self._read(FILTERS, self._filter(self.turn)).where("fp is not null").select("fp")
-        if self.turn:  # what may be known is few: then the store is read, but not moved
-            hint = F.broadcast if hits.count() <= BROADCAST_ROWS else (lambda x: x)
-            known = self._read(ROWS, *[self._rows(k) for k in range(self.turn)]).join(hint(hits), "fp", "left_semi")
-        else:
-            known = rows.limit(0)
-        pool = known.unionByName(rows)
-        first = pool.where("exact").groupBy("fp").agg(F.min("id").alias("first"))
-        mine = batch.where("exact").select("fp", "id").distinct()
-        same = mine.join(first, "fp").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-        new, other = rows.where("not exact"), pool.where("not exact")
-        near = new.select("fp", F.col("id").alias("b"), F.col("form").alias("fb")).join(
-            other.select("fp", F.col("id").alias("a"), F.col("form").alias("fa")), "fp").where("fa <> fb and a <> b")
-        near = near.select("a", "b", "fa", "fb").distinct().where(same_name("fa", "fb")).select("a", "b")
-        out = f"{self.path}/links/{self.turn}"
-        same.unionByName(near).distinct().write.parquet(out)
+        batch = rows.select("fp", "form", "exact", "id", F.pmod("fp", F.lit(self.parts)).cast("int").alias("part"))
+        touched = sorted(r["part"] for r in batch.select("part").distinct().collect())  # at most the number of parts
+        turn = self.turn
+        links = self.spark.createDataFrame([], "a long, b long") if stars is None else stars.select("a", "b")
+        if touched:
+            screened = self._screen(batch, touched).sortWithinPartitions("what", "part", "fp")
+            screened.write.mode("overwrite").partitionBy("what", "part").parquet(f"{self.path}/turns/run={turn}")
+            new = self._rows(str(turn))
+            seen = new.agg(F.max("n").alias("n"), F.count(F.when(F.col("known"), 1)).alias("hits"), F.collect_set(F.when(F.col("known"), F.col("part"))).alias("parts")).first()
+            self.most += seen["n"]
+            links = links.unionByName(self._pairs(new, seen["hits"], sorted(seen["parts"])))
+            self.filters |= dict.fromkeys(touched, turn)
+            self.runs.append((str(turn), 0))
+        out = f"{self.path}/links/turn={turn}"
+        links.write.mode("overwrite").parquet(out)
         self.turn += 1
-        return self._read(LINKS, out)
+        gone = self._merge()
+        self._commit()
+        for run in gone:
+            self.files.delete(self._at(f"{self.path}/turns/run={run}/what=row"), True)
+        return self.spark.read.schema("a long, b long").parquet(out)
+
+    def _pairs(self, new: DataFrame, hits: int, parts: list[int]) -> DataFrame:
+        """(a, b): uploads of the batch and of all before that share a fingerprint and pass."""
+        columns = ["fp", "form", "exact", "id"]
+        pool = new.select(*columns, F.lit(False).alias("old"))
+        if hits:
+            asked = new.where("known").select("fp")
+            known = self._rows(*[x for x, _ in self.runs]).where(F.col("part").isin(parts))
+            known = known.join(F.broadcast(asked) if hits <= BROADCAST_ROWS else asked, "fp", "left_semi")
+            pool = pool.unionByName(known.select(*columns, F.lit(True).alias("old")))
+        left = new.select("fp", "exact", F.col("form").alias("fb"), F.col("id").alias("b"))
+        right = pool.select("fp", "exact", F.col("form").alias("fa"), F.col("id").alias("a"), "old")
+        by = ["fp", "exact"]
+        if self.most > self.chunk:  # some fingerprint may have many forms: they are compared in chunks
+            right = cut(right)
+            hot = right.groupBy("fp").agg(F.count("*").alias("_n")).where(F.col("_n") > self.chunk)
+            hot = cut(hot.select("fp", F.ceil(F.col("_n") / self.chunk).cast("int").alias("_of")))
+            hint = F.broadcast if hot.count() <= BROADCAST_ROWS else (lambda x: x)
+            left = left.join(hint(hot), "fp", "left").withColumn("_c", F.explode(F.sequence(F.lit(0), F.coalesce("_of", F.lit(1)) - 1))).drop("_of")
+            right = right.join(hint(hot), "fp", "left").withColumn("_c", F.pmod(F.xxhash64("a"), F.coalesce("_of", F.lit(1))).cast("int")).drop("_of")
+            by = [*by, "_c"]
+        met = left.join(right, by).where("a <> b and (old or a < b or exact) and (exact or fa <> fb)")
+        return met.select("a", "b", "fa", "fb").distinct().where(_verified("fa", "fb")).select("a", "b").distinct()
+
+    def _merge(self) -> list[str]:
+        """Runs of one tier become one of the next, one row a fingerprint and form; the runs
+        that are no longer read."""
+        gone = []
+        for tier in range(64):
+            runs = [x for x, t in self.runs if t == tier]
+            if len(runs) < self.tier:
+                break
+            to = f"{self.turn}m{tier}"
+            one = self._rows(*runs).groupBy("part", "fp", "form", "exact").agg(F.min("id").alias("id"), F.lit(False).alias("known"), F.max("n").alias("n"))
+            one = one.repartition("part").sortWithinPartitions("part", "fp")
+            one.write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/turns/run={to}/what=row")
+            self.runs = [x for x in self.runs if x[1] != tier] + [(to, tier + 1)]
+            gone += runs
+        return gone
 
     def repeats(self) -> DataFrame:
         """(first_id, id): every upload with an earlier one of the same document."""
         if not self.turn:
             return self.spark.createDataFrame([], "first_id long, id long")
-        links = self._read(LINKS, *[f"{self.path}/links/{k}" for k in range(self.turn)])
+        links = self.spark.read.schema(LINKS).parquet(f"{self.path}/links").where(F.col("turn") < self.turn)
         groups = connected_components(links).select("group_id", F.col("node").cast("long").alias("id"))
         first = groups.groupBy("group_id").agg(F.min("id").alias("first_id"))
-        return groups.join(first, "group_id").where("id <> first_id").select("first_id", "id")
+        return skew_lookup(groups, first, "group_id").where("id <> first_id").select("first_id", "id")
 
 
-def check_batches(uploads: DataFrame, path: str | None = None, batch: str = "batch_id") -> FingerprintStore:
+def check_batches(uploads: DataFrame, path: str | None = None, batch: str = "batch_id", parts: int | None = None) -> FingerprintStore:
     """Absorb the batches one after the other; a null batch counts as history (0)."""
     spark = uploads.sparkSession
     path = path or scratch(spark, "store")
-    prepared = f"{path}/prepared"
-    numbered = uploads.withColumn("_b", F.coalesce(F.col(batch).cast("long"), F.lit(0)))
-    of = numbered.select(F.col("upload_id").cast("long").alias("id"), "_b").where("id is not null").groupBy("id").agg(F.min("_b").alias("_b"))
-    fingerprints(uploads).join(of, "id").write.partitionBy("_b").parquet(prepared)
-    numbers = sorted(r["_b"] for r in of.select("_b").distinct().collect())  # one row a batch
-    ready = spark.read.schema("id long, fp long, form string, exact boolean, _b long").parquet(prepared)
-    store = FingerprintStore(spark, path, expected=ready.count())
-    for b in numbers:
-        store.absorb(ready.where(F.col("_b") == b).drop("_b"))
+    made = scratch(spark, "prepared")
+    rows, stars = fingerprints(uploads, batch=batch)
+    rows.write.partitionBy("_b").parquet(f"{made}/rows")
+    stars.write.partitionBy("_b").parquet(f"{made}/stars")
+    rows = spark.read.schema("fp long, form string, exact boolean, id long, _b long").parquet(f"{made}/rows")
+    stars = spark.read.schema("a long, b long, _b long").parquet(f"{made}/stars")
+    sizes = {r["_b"]: r["count"] for r in rows.groupBy("_b").count().collect()}  # one row a batch
+    store = FingerprintStore(spark, path, expected=2 * sizes.get(0, 0), parts=parts)
+    for b in sorted(sizes):
+        store.absorb(rows.where(F.col("_b") == b), stars.where(F.col("_b") == b))
     return store
