@@ -1,15 +1,16 @@
 """Problem 2: the best representative of each duplicate group.
 
 The pages of a group are unpivoted to long rows (group, field, value, page), every row
-votes for its normalised value, votes are aggregated per value, ``max_by`` picks the
-winner of each field and the fields are pivoted back to one surviving record. All
-aggregates combine on the map side, so a group that holds a third of all rows is never
-collected in one task.
-
-Two kinds of vote: ``votes`` sums trust x recency decay per normalised value;
-``ranked`` compares (trust rank, time, page id) as an ordered vote and takes the
-greatest. A sum can let two weak pages outvote a trusted one, so the strict order asked
-for by ``p2_found`` needs the second.
+votes for its normalised value, votes of a value are summed, ``max_by`` picks the winner
+of each field and the fields are pivoted back to one surviving record. All aggregates
+combine on the map side, so a group that holds a third of all rows is never collected
+in one task.
+
+A vote is source trust times recency decay. ``graded`` takes both in steps of three within a
+group and field: a vote weighs a third of the next more trusted or newer one, so it
+outweighs all votes after it together and the strict order asked for by ``p2_found``
+holds. ``decayed`` takes 1 / trust rank and a half life, so that many weak votes may
+outvote a trusted one.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
+from scriptorium.session import numbered, skew_lookup
+
 FIELDS = ("summary", "concept_kind", "subject_area")
 
 # fixed values: what a field holds when it says nothing, after folding
@@ -105,28 +108,38 @@ def _order() -> Column:
     )
 
 
-def ranked(votes: DataFrame) -> DataFrame:
-    """(group_id, field_name, norm, value, page_id): the winner of each field by ordered votes."""
-    per_value = votes.groupBy("group_id", "field_name", "norm").agg(
-        F.max_by(F.struct("page_id", "value"), _order()).alias("_w"), F.max(_order()).alias("_o"))
-    best = per_value.groupBy("group_id", "field_name").agg(
-        F.max_by(F.struct("norm", "_w"), "_o").alias("_b"))
-    return best.select("group_id", "field_name", F.col("_b.norm").alias("norm"),
-                       F.col("_b._w.value").alias("value"), F.col("_b._w.page_id").alias("page_id"))
-
-
-def voted(votes: DataFrame, half_life_days: float = 365.0, unlisted_rank: int = 99) -> DataFrame:
-    """The same columns and ``weight`` by summed votes: (1 / trust rank) x 2^(-age / half life)
-    a page, age counted from the newest page of all; an unknown time counts as two half
-    lives. Which value wins does not depend on where age is counted from, but for unknown
-    times. Ties go to the ordered vote."""
+def graded(votes: DataFrame, step: float = 3.0) -> DataFrame:
+    """The votes with ``weight``: of all votes of a group and field in order (trust, then time,
+    then page), ``step`` to the power of minus the votes of more trusted sources, times
+    ``step`` to the power of minus its place by recency among those of equal trust. The
+    order is made by ranges over all votes, so no group is sorted in one task."""
+    by = ["group_id", "field_name"]
+    rows = votes.withColumns({"_t": F.coalesce(F.col("trust_rank"), F.lit(2**31 - 1)).cast("long"), "_k": F.xxhash64(*by), "_v": F.coalesce("value", F.lit(""))})
+    rows = numbered(rows, [*by, "_t", F.desc_nulls_last("compiled_at"), "page_id", "_v"], "_i").withColumn("_l", F.xxhash64(*by, "_t"))
+    groups = rows.groupBy("_k").agg(F.min("_i").alias("_g"))
+    levels = rows.groupBy("_l").agg(F.min("_i").alias("_m"))
+    rows = skew_lookup(skew_lookup(rows, groups, "_k"), levels, "_l")
+    trust = F.pow(F.lit(step), (F.col("_g") - F.col("_m")).cast("double"))
+    decay = F.pow(F.lit(step), (F.col("_m") - F.col("_i") - 1).cast("double"))
+    return rows.withColumn("weight", trust * decay).drop("_t", "_k", "_l", "_v", "_i", "_g", "_m")
+
+
+def decayed(votes: DataFrame, half_life_days: float = 365.0, unlisted_rank: int = 99) -> DataFrame:
+    """The votes with ``weight``: (1 / trust rank) x 2^(-age / half life), age counted from the
+    newest page of all; an unknown time counts as two half lives. Which value wins does not
+    depend on where age is counted from, but for unknown times."""
     newest = votes.agg(F.unix_timestamp(F.max("compiled_at"))).first()[0]  # one value
     age = (F.lit(newest or 0) - F.unix_timestamp("compiled_at")) / 86400.0
-    weight = F.pow(F.lit(2.0), -F.coalesce(age / half_life_days, F.lit(2.0))) / F.coalesce("trust_rank", F.lit(unlisted_rank))
+    return votes.withColumn("weight", F.pow(F.lit(2.0), -F.coalesce(age / half_life_days, F.lit(2.0))) / F.coalesce("trust_rank", F.lit(unlisted_rank)))
+
+
+def voted(votes: DataFrame) -> DataFrame:
+    """(group_id, field_name, norm, value, page_id, weight): the value of each field with the
+    greatest sum of weights, written as its best page has it; ties go to the better page."""
     per_value = votes.groupBy("group_id", "field_name", "norm").agg(
-        F.round(F.sum(weight), 9).alias("weight"), F.max_by(F.struct("page_id", "value"), _order()).alias("_w"), F.max(_order()).alias("_o"))
-    best = per_value.groupBy("group_id", "field_name").agg(
-        F.max_by(F.struct("norm", "_w", "weight"), F.struct("weight", "_o")).alias("_b"))
+        F.sum("weight").alias("weight"), F.max_by(F.struct("page_id", "value"), _order()).alias("_w"), F.max(_order()).alias("_o"))
+    best = per_value.withColumn("_s", F.round("weight", 9)).groupBy("group_id", "field_name").agg(
+        F.max_by(F.struct("norm", "_w", "weight"), F.struct("_s", "_o")).alias("_b"))
     return best.select("group_id", "field_name", F.col("_b.norm").alias("norm"), F.col("_b._w.value").alias("value"),
                        F.col("_b._w.page_id").alias("page_id"), F.col("_b.weight").alias("weight"))
 
