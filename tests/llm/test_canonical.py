@@ -1,6 +1,6 @@
 import random
 
-from scriptorium.llm.canonical import BKTree, levenshtein, map_to_list
+from scriptorium.llm.canonical import HELD, NEAR, BKTree, Matcher, levenshtein, map_to_list
 
 TERMS = [(1, "Contextual Curriculum Framework"), (2, "Contextual Curriculum Dashboard"), (3, "Secure Payroll Monitor"), (4, "双语版采购网关"), (5, None)]
 
@@ -26,6 +26,25 @@ def test_distance_and_tree_against_brute_force():
         assert got == {k for k, x in enumerate(some) if slow(q, x) <= 2}
 
 
+def test_many_values_at_once_are_measured_like_one():
+    rng = random.Random(2)
+    some = ["".join(rng.choice("abc数据é") for _ in range(rng.choice((0, 1, 5, 9, 70)))) for _ in range(60)]
+    tree = BKTree()
+    for k, x in enumerate(some):
+        tree.add(x, k)
+    asked = [*some[:20], "", "zz", "abca", "数" * 80, some[-1][:-1] + "x"]
+    within = [rng.randrange(0, 6) for _ in asked]
+    for q, r, found in zip(asked, within, tree.near_all(asked, within)):
+        assert {(d, k) for d, ids in found for k in ids} == {(slow(q, x), k) for k, x in enumerate(some) if slow(q, x) <= r}
+
+
+def test_stages_do_not_tie_over_shards():
+    one = Matcher([(1, "数据治理"), (2, "数据治理规范书")])
+    assert one.find("数据治理规范") == (HELD, {1})
+    assert min(Matcher([(k, t)]).find("数据治理规范") for k, t in ((1, "数据治理"), (2, "数据治理规范书"))) == (HELD, {1})
+    assert Matcher([(2, "数据治理规范书")]).find("数据治理规范") == (NEAR + 1, {2})
+
+
 def typed(spark, values, **kw):
     df = spark.createDataFrame([(v, "x") for v in values], "value string, form string")
     terms = spark.createDataFrame([(i, t, "y") for i, t in TERMS], "term_id long, term string, value string")
