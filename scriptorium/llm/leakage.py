@@ -9,22 +9,31 @@ only the end of a stretch is found too), and an item leaks if enough of it is ma
 Before streaming, each text's hashes of eight successive words are looked up in those of
 the items: a text without one holds no stretch, so skipping it loses nothing.
 
-The items are held-out tests, a bounded set; their size is checked and a larger set is
-split into shards that are streamed one after the other.
+The items are a stated query set: it is split into shards of a bounded number of bytes,
+whose automata are broadcast as texts, built once in a worker and streamed over all
+documents one after the other. Spans to be removed are gathered from all shards.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StructType
 
 from scriptorium.llm.wordrun import words
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of items in one automaton; it takes some two hundred times as much memory.
+SHARD_BYTES = 1 << 20
+#: The automata a worker holds, the last ones used.
+_BUILT: dict = {}
 
 
 class SuffixAutomaton:
@@ -169,75 +178,93 @@ class Leaks:
         return out
 
 
-def _items(items: DataFrame, shard: int) -> list[list[tuple[int, str]]]:
+def _items(items: DataFrame, shard_bytes: int) -> list[list[tuple[int, str]]]:
     rows = items.where("item_id is not null and text is not null").select("item_id", "text").distinct()
-    count = rows.count()
-    shards = max(1, -(-count // shard))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, -(-size // shard_bytes))
     out = []
     for k in range(shards):
-        part = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k) if shards > 1 else rows
-        out.append(sorted((r["item_id"], r["text"]) for r in part.collect()))  # at most some `shard` rows
-    return out
+        part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k) if shards > 1 else rows
+        out.append(sorted((r["item_id"], r["text"]) for r in part.collect()))  # some ``shard_bytes`` on average
+    return [x for x in out if x] or [[]]
+
 
+def _built(token: str, shared, params: dict) -> Leaks:
+    """The automaton of a broadcast shard, built once in a worker."""
+    if token not in _BUILT:
+        while len(_BUILT) > 1:
+            _BUILT.pop(next(iter(_BUILT)))
+        _BUILT[token] = Leaks(shared.value, **params)
+    return _BUILT[token]
 
-def _leak_rows(shared, params: dict) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaks = Leaks(shared.value, **params)
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            rows = [(ids[k], *leak) for k, codes, _ in leaks.screen(texts) for leak in leaks.leaked(codes)]
-            doc, item, held, share = zip(*rows) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()), pa.array(item, pa.int64()), pa.array(held, pa.int32()), pa.array(share, pa.float64())],
-                ["doc_id", "item_id", "held", "share"])
 
-    return run
+def _over_shards(docs: DataFrame, items: DataFrame, shard_bytes: int, params: dict, make: Callable, schema: str) -> DataFrame:
+    """``make(leaks, ids, texts)`` gives the columns of a batch; all shards, one after the other."""
+    texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    names = StructType.fromDDL(schema).names
+    out = None
+    for part in _items(items, shard_bytes):
+        shared, token = docs.sparkSession.sparkContext.broadcast(part), uuid.uuid4().hex
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, token=token) -> Iterator[pa.RecordBatch]:
+            leaks_ = _built(token, shared, params)
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays(make(leaks_, batch.column(0).to_pylist(), batch.column(1).to_pylist()), names)
+
+        found = texts.mapInArrow(run, schema)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
-def leaks(docs: DataFrame, items: DataFrame, shard: int = 50_000, **params) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, shard_bytes: int = SHARD_BYTES, **params) -> DataFrame:
     """``(doc_id, item_id, held, share)``: the items that leaked into each document.
 
     ``params`` are those of ``Leaks``. Null ids and texts are left out, empty texts hold
     nothing, copies of a document count each, rows delivered twice count once. Items too
     short for a stretch cannot leak.
     """
-    texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    out = None
-    for part in _items(items, shard):
-        shared = docs.sparkSession.sparkContext.broadcast(part)
-        found = texts.mapInArrow(_leak_rows(shared, params), "doc_id long, item_id long, held int, share double")
-        out = found if out is None else out.unionByName(found)
-    return out.distinct()
+    def make(leaks_: Leaks, ids: list, texts: list[str]) -> list[pa.Array]:
+        rows = [(ids[k], *leak) for k, codes, _ in leaks_.screen(texts) for leak in leaks_.leaked(codes)]
+        columns = zip(*rows) if rows else ((), (), (), ())
+        return [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.float64()))]
 
+    return _over_shards(docs, items, shard_bytes, params, make, "doc_id long, item_id long, held int, share double").distinct()
 
-def removed(docs: DataFrame, items: DataFrame, shard: int = 50_000, **params) -> DataFrame:
+
+def removed(docs: DataFrame, items: DataFrame, shard_bytes: int = SHARD_BYTES, **params) -> DataFrame:
     """``(doc_id, spans, words_removed, words_left, cleaned)`` for documents that hold leaked
-    items: the normalised text without the stretches of the items that leaked into it."""
-    texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    parts = _items(items, shard)
-    shared = docs.sparkSession.sparkContext.broadcast([x for part in parts for x in part]) if len(parts) == 1 else None
-    if shared is None:
-        raise ValueError("removing spans takes one shard of items; raise `shard` or split the items")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaks_ = Leaks(shared.value, **params)
-        for batch in batches:
-            ids, texts_ = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            rows = []
-            for k, codes, found in leaks_.screen(texts_):
-                leaked = {i for i, _, _ in leaks_.leaked(codes)}
-                if not leaked:
-                    continue
-                gone = np.zeros(len(found), bool)
-                for s, stretches in leaks_.marked(codes).items():
-                    if leaks_.ids[s] in leaked:
-                        for first, last, at in stretches:
-                            gone[at - (last - first) : at + 1] = True
-                spans = int(np.count_nonzero(np.diff(np.r_[0, gone.astype(np.int8)]) == 1))
-                left = [w for w, g in zip(found, gone) if not g]
-                rows.append((ids[k], spans, int(gone.sum()), len(left), " ".join(left)))
-            cols = zip(*rows) if rows else ((), (), (), (), ())
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "spans", "words_removed", "words_left", "cleaned"])
-
-    return texts.mapInArrow(run, "doc_id long, spans int, words_removed int, words_left int, cleaned string").distinct()
+    items: the normalised text without the stretches of the items that leaked into it. The
+    stretches of all shards are gathered by document, at most a pair of positions a word."""
+    def make(leaks_: Leaks, ids: list, texts: list[str]) -> list[pa.Array]:
+        rows = []
+        for k, codes, _ in leaks_.screen(texts):
+            leaked = {i for i, _, _ in leaks_.leaked(codes)}
+            gone = np.zeros(len(codes) + 2, np.int8)
+            for s, stretches in leaks_.marked(codes).items():
+                if leaks_.ids[s] in leaked:
+                    for first, last, at in stretches:
+                        gone[at - (last - first) + 1 : at + 2] = 1
+            step = np.diff(gone)
+            if leaked:
+                rows.append((ids[k], np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist()))
+        columns = zip(*rows) if rows else ((), (), ())
+        return [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())))]
+
+    found = _over_shards(docs, items, shard_bytes, params, make, "doc_id long, first array<int>, after array<int>")
+    found = found.groupBy("doc_id").agg(F.flatten(F.collect_list("first")).alias("first"), F.flatten(F.collect_list("after")).alias("after"))
+
+    @pandas_udf("spans int, words_removed int, words_left int, cleaned string")
+    def cut_out(texts: pd.Series, firsts: pd.Series, afters: pd.Series) -> pd.DataFrame:
+        out = []
+        for text, first, after in zip(texts, firsts, afters):
+            found_ = words(text, markup=True)
+            step = np.zeros(len(found_) + 1, np.int64)
+            np.add.at(step, np.asarray(first, np.int64), 1)
+            np.add.at(step, np.asarray(after, np.int64), -1)
+            gone = np.cumsum(step)[:-1] > 0
+            left = [w for w, g in zip(found_, gone) if not g]
+            out.append((int(np.count_nonzero(np.diff(np.r_[0, gone.astype(np.int8)]) == 1)), int(gone.sum()), len(left), " ".join(left)))
+        return pd.DataFrame(out, columns=["spans", "words_removed", "words_left", "cleaned"])
+
+    texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text").join(found, "doc_id")
+    return texts.distinct().select("doc_id", cut_out("text", "first", "after").alias("_c")).select("doc_id", "_c.*")

@@ -68,11 +68,13 @@ def test_documents(spark, rows):
     docs, items = tables(spark)
     want = [(1, 11), (4, 10), (4, 13), (5, 30), (7, 11), (8, 12)]  # item 13 begins as item 10 does
     assert rows(leaks(docs, items).select("doc_id", "item_id")) == want
-    assert rows(leaks(docs, items, shard=2).select("doc_id", "item_id")) == want
+    assert rows(leaks(docs, items, shard_bytes=100).select("doc_id", "item_id")) == want
     assert rows(leaks(docs, items.limit(0))) == [] and rows(leaks(docs.limit(0), items)) == []
 
 
 def test_spans_are_removed(spark):
     docs, items = tables(spark)
     got = {r["doc_id"]: r for r in removed(docs, items).collect()}
+    assert got == {r["doc_id"]: r for r in removed(docs, items, shard_bytes=100).collect()}
+    assert removed(docs, items.limit(0)).collect() == [] and removed(docs.limit(0), items).collect() == []
     assert sorted(got) == [1, 4, 5, 7, 8] and got[1]["cleaned"] == "head end" and got[7]["words_left"] == 0 and got[8]["words_removed"] == 30
