@@ -31,7 +31,19 @@ def test_levels(spark):
     got = {r["doc_id"]: r["band"] for r in levels.collect()}
     assert set(got) == set(truth) | {903}
     assert np.mean([got[k] == truth[k] for k in truth]) > 0.97
-    assert set(grader.accuracy) == {"s1", "s3"} and min(a for _, a in grader.accuracy.values()) > 0.8
+    assert set(grader.accuracy) == {"s1", "s3"} and min(a for _, a, _ in grader.accuracy.values()) > 0.8
+    assert max(e for _, _, e in grader.accuracy.values()) < 0.3
+
+
+def test_calibration_is_the_rising_curve_nearest_to_the_labels():
+    rng = np.random.default_rng(1)
+    g = np.sort(rng.uniform(0, 2, 60))
+    y = np.clip(np.round(g + rng.normal(0, 0.6, 60)), 0, 2)
+    c = reading.Calibration().fit(g, y)
+    assert np.all(np.diff(c(g)) >= 0) and np.all(np.diff(c.means) > 0)
+    # the greatest of the least means over all ranges is the isotonic fit, brute force
+    want = [max(min(y[i : j + 1].mean() for j in range(k, 60)) for i in range(k + 1)) for k in range(60)]
+    assert np.allclose(sorted(set(np.round(want, 9))), np.round(c.means, 9))
 
 
 def test_no_labels_and_no_documents(spark):
