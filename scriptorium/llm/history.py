@@ -166,15 +166,17 @@ class FingerprintStore:
         # parts without new rows have no old rows either, so each group has new ones
         return batch.groupBy("part").cogroup(old.groupBy("part")).applyInPandas(test, out)
 
-    def absorb(self, rows: DataFrame, stars: DataFrame | None = None) -> DataFrame:
-        """Check a batch (see ``fingerprints``) against all before and itself, then add it.
+    def absorb(self, rows: DataFrame, stars: DataFrame | None = None, touched: list[int] | None = None) -> DataFrame:
+        """Check a batch (see ``fingerprints``) against all before and itself, then add it;
+        ``touched``: the parts its fingerprints fall in, where they are known.
 
         Gives (a, b): links from an upload to one known, or of this batch, with the same
         document; following links to the end gives all repeats. A hash or form that a third
         of all rows share is one row of ``rows`` and as many links as uploads in ``stars``.
         """
         batch = rows.select("fp", "form", "exact", "id", F.pmod("fp", F.lit(self.parts)).cast("int").alias("part"))
-        touched = sorted(r["part"] for r in batch.select("part").distinct().collect())  # at most the number of parts
+        if touched is None:
+            touched = sorted(r["part"] for r in batch.select("part").distinct().collect())  # at most the number of parts
         turn = self.turn
         links = self.spark.createDataFrame([], "a long, b long") if stars is None else stars.select("a", "b")
         if touched:
@@ -254,8 +256,9 @@ def check_batches(uploads: DataFrame, path: str | None = None, batch: str = "bat
     stars.write.partitionBy("_b").parquet(f"{made}/stars")
     rows = spark.read.schema("fp long, form string, exact boolean, id long, _b long").parquet(f"{made}/rows")
     stars = spark.read.schema("a long, b long, _b long").parquet(f"{made}/stars")
-    sizes = {r["_b"]: r["count"] for r in rows.groupBy("_b").count().collect()}  # one row a batch
-    store = FingerprintStore(spark, path, expected=2 * sizes.get(0, 0), parts=parts)
-    for b in sorted(sizes):
-        store.absorb(rows.where(F.col("_b") == b), stars.where(F.col("_b") == b))
+    store = FingerprintStore(spark, path, expected=2 * rows.where("_b = 0").count(), parts=parts)
+    part = F.pmod("fp", F.lit(store.parts)).cast("int")
+    touched = {r["_b"]: sorted(r["parts"]) for r in rows.groupBy("_b").agg(F.collect_set(part).alias("parts")).collect()}  # a batch and part each
+    for b in sorted(touched):
+        store.absorb(rows.where(F.col("_b") == b), stars.where(F.col("_b") == b), touched[b])
     return store

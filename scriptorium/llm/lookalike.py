@@ -2,10 +2,10 @@
 
 Look-alike pairs of code points and short strings (width forms, compatibility forms,
 kinds of blank, characters without ink, letters and signs of one shape) are closed
-transitively by union-find. Each class gets one representative: its ASCII member, else
-the one most frequent in the data. Values are decomposed, rewritten greedily (leftmost,
-longest) with one Aho-Corasick automaton over all members, and composed again. Classes
-never join two different ASCII strings.
+transitively by union-find. Each class gets one representative: the member most frequent
+in the data or, where programs read the result on, its ASCII member first. Values are
+decomposed, rewritten greedily (leftmost, longest) with one Aho-Corasick automaton over
+all members, and composed again. Classes never join two different ASCII strings.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-from scriptorium.session import cut
+from scriptorium.session import cut, skew_lookup
 
 # fixed values: letters and signs of one shape, the first of each line stands for it
 SHAPES = (
@@ -60,9 +60,10 @@ def _seeds(ch: str) -> Iterator[tuple[str, str]]:
 
 
 class Looks:
-    """The rewriting table. ``counts``: code points of the data and how often they occur."""
+    """The rewriting table. ``counts``: code points of the data and how often they occur.
+    ``ascii_first``: the ASCII member of a class represents it, whatever its frequency."""
 
-    def __init__(self, counts: dict[str, int]):
+    def __init__(self, counts: dict[str, int], ascii_first: bool = True):
         self.parent: dict[str, str] = {}
         self.fixed: dict[str, str | None] = {}
         for line in SHAPES:
@@ -77,7 +78,13 @@ class Looks:
         self.table: dict[str, str] = {}
         for root, members in classes.items():
             plain = self.fixed[root]
-            best = plain if plain is not None else min(members, key=lambda m: (-counts.get(m, 0), m))
+            long = [m for m in members if len(m) > 1]
+            if plain is not None and (ascii_first or plain in ("", " ")):  # without ink, and blanks
+                best = plain
+            elif long and not ascii_first:  # what takes several code points to write is written out
+                best = min(long, key=lambda m: (m != plain, m))
+            else:
+                best = min(members, key=lambda m: (-counts.get(m, 0), m != plain, m))
             for m in members:
                 if m and m != best:
                     self.table[m] = best
@@ -92,6 +99,7 @@ class Looks:
         return cls(dict.fromkeys(seeded, 0))
 
     def _automaton(self) -> None:
+        self.plain = not any(a.isascii() for a in self.table if a.isprintable())  # plain texts stay as they are
         self.automaton = ahocorasick.Automaton()
         for a, b in self.table.items():
             self.automaton.add_word(a, (len(a), b))
@@ -117,7 +125,7 @@ class Looks:
 
     def rewrite(self, text: str) -> str:
         """The one form of all texts that look like this one."""
-        if _PLAIN.match(text):
+        if self.plain and _PLAIN.match(text):
             return text
         text = unicodedata.normalize("NFD", text)
         for _ in range(3):  # a decomposition may hold members of other classes
@@ -142,20 +150,19 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     seen: Counter[str] = Counter()
     for batch in batches:
         for text in batch["value"]:
-            if text is not None and not _PLAIN.match(text):
-                seen.update(unicodedata.normalize("NFD", text))
-    seen = Counter({ch: n for ch, n in seen.items() if not _PLAIN.match(ch)})
+            if text is not None:
+                seen.update(text if text.isascii() else unicodedata.normalize("NFD", text))
     if seen:
         yield pd.DataFrame({"ch": list(seen), "n": list(seen.values())}, dtype=object)
 
 
-def learn(values: DataFrame, column: str = "value") -> Looks:
+def learn(values: DataFrame, column: str = "value", ascii_first: bool = True) -> Looks:
     """The table for the code points of all values. Counts are taken over all rows; what
     comes to the driver is one row a distinct code point, 1.1 million at the very most."""
     counted = (
         values.select(F.col(column).alias("value")).mapInPandas(_count, "ch string, n long").groupBy("ch").agg(F.sum("n").alias("n"))
     )
-    return Looks({r["ch"]: r["n"] for r in counted.collect()})
+    return Looks({r["ch"]: r["n"] for r in counted.collect()}, ascii_first)
 
 
 def rewriter(looks: Looks, spark: SparkSession):
@@ -170,24 +177,49 @@ def rewriter(looks: Looks, spark: SparkSession):
     return rewritten
 
 
+def looked_up(values: DataFrame, group: list[str], key: str = "key", value: str = "value") -> DataFrame:
+    """``(*group, _k, _v, _c)``: distinct keys and values with the one form of all that look
+    alike. Null keys and null or blank (also inkless) values are left out."""
+    looks = learn(values, value, ascii_first=False)
+    rows = values.where(F.col(value).isNotNull() & F.col(key).isNotNull()).select(*group, F.col(key).alias("_k"), F.col(value).alias("_v"))
+    # as if not deterministic: else the filter, and the rewriting with it, would also run below the distinct
+    form = rewriter(looks, values.sparkSession).asNondeterministic()
+    return cut(rows.distinct().withColumn("_c", form("_v")).where("trim(_c) <> ''"))
+
+
+def _mixed(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The distinct strings of the forms that are written in several ways."""
+    strings = rows.select(*by, "_v").distinct()
+    return strings.join(strings.groupBy(*by).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n"), by, "left_semi")
+
+
+def look_classes(values: DataFrame, group: list[str], key: str = "key", value: str = "value") -> DataFrame:
+    """``(*group, key, class_key, strings, links)``: one row for each key of a form that is
+    written in several ways: the smallest key of its class, how many strings the class has,
+    and how many other rows of the class are written differently. A class that holds a third
+    of all rows makes as many rows as it has keys, never pairs."""
+    rows = looked_up(values, group, key, value).withColumn("_id", F.xxhash64(*group, "_c")).withColumn("_s", F.xxhash64(*group, "_v"))
+    per = rows.groupBy("_id", "_s").agg(F.count("*").alias("_n"), F.min("_k").alias("_k"))
+    classes = per.groupBy("_id").agg(F.count("*").alias("strings"), F.sum("_n").alias("_all"), F.min("_k").alias("class_key")).where("strings > 1")
+    found = skew_lookup(skew_lookup(rows, classes, "_id"), per.select("_s", "_n"), "_s")
+    return found.select(*group, F.col("_k").alias("key"), "class_key", "strings", (F.col("_all") - F.col("_n")).alias("links"))
+
+
 def same_look(values: DataFrame, group: list[str], key: str = "key", value: str = "value") -> DataFrame:
     """``(*group, key_a, key_b)``: pairs of different keys of one group whose values differ
     as strings and look the same; ``key_a`` is the smaller in plain string order.
 
     Null keys and null or blank (also inkless) values have no pairs; repeated rows count
     once; no rows, no pairs. Equal strings are first collapsed, so the join that finds
-    look-alikes runs on distinct strings, and rows are joined only to differing ones.
+    look-alikes runs on distinct strings, and rows are joined only to differing ones. The
+    pairs of two strings that many rows have grow with both; ``look_classes`` has the same
+    links without pairs.
     """
-    looks = learn(values, value)
-    rows = values.where(F.col(value).isNotNull() & F.col(key).isNotNull()).select(*group, F.col(key).alias("_k"), F.col(value).alias("_v"))
-    # as if not deterministic: else the filter, and the rewriting with it, would also run below the distinct
-    form = rewriter(looks, values.sparkSession).asNondeterministic()
-    rows = cut(rows.distinct().withColumn("_c", form("_v")).where("trim(_c) <> ''"))
+    rows = looked_up(values, group, key, value)
     by = [*group, "_c"]
-    strings = rows.select(*by, "_v").distinct()
-    many = strings.groupBy(*by).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    strings = strings.join(many, by, "left_semi")
+    strings = _mixed(rows, by)
     pairs = strings.withColumnRenamed("_v", "_va").join(strings.withColumnRenamed("_v", "_vb"), by).where("_va < _vb")
+    rows = rows.join(strings, [*by, "_v"], "left_semi")
     one = rows.select(*by, F.col("_v").alias("_va"), F.col("_k").alias("_ka"))
     two = rows.select(*by, F.col("_v").alias("_vb"), F.col("_k").alias("_kb"))
     found = pairs.join(one, [*by, "_va"]).join(two, [*by, "_vb"]).where("_ka <> _kb")

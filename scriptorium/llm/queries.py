@@ -20,17 +20,16 @@ def _votes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """The page whose value survives, by ordered votes."""
-    return survivors.ranked(_votes(spark, d)).select("group_id", "field_name", "page_id")
+    """The page whose value survives, by summed votes that keep the order."""
+    return survivors.voted(survivors.graded(_votes(spark, d))).select("group_id", "field_name", "page_id")
 
 
 def p2_records(spark: SparkSession, d: str) -> DataFrame:
-    """One surviving record a group, by summed votes."""
-    return survivors.survivors(survivors.voted(_votes(spark, d)))
+    """One surviving record a group, by summed votes that decay with age."""
+    return survivors.survivors(survivors.voted(survivors.decayed(_votes(spark, d))))
 
 
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of values that look the same and differ."""
+def _looks(spark: SparkSession, d: str) -> DataFrame:
     index = table(spark, d, "concepts_index")
     none = F.lit(None).cast("string")
     labels = table(spark, d, "nodes").where("file_type = 'document'").select(
@@ -40,8 +39,17 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     aliases = index.select(seq.alias("row"), F.posexplode("aliases").alias("at", "value")).select(
         F.lit("alias").alias("field_name"), "row", F.concat_ws("#", "row", "at").alias("key"), "value")
     rows = labels.unionByName(summaries).unionByName(aliases).where("value is not null")
-    pairs = lookalike.same_look(rows.withColumn("row", F.coalesce("row", F.lit(""))), ["field_name", "row"])
-    return pairs.select("field_name", "key_a", "key_b").distinct()
+    return rows.withColumn("row", F.coalesce("row", F.lit("")))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of values that look the same and differ."""
+    return lookalike.same_look(_looks(spark, d), ["field_name", "row"]).select("field_name", "key_a", "key_b").distinct()
+
+
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """One row a value written in several ways: its class, and how many rows are written otherwise."""
+    return lookalike.look_classes(_looks(spark, d), ["field_name", "row"]).drop("row").distinct()
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -109,14 +117,15 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    """How many labelled documents of each source got their band from models that had not seen the source."""
+    """By source: labelled documents, the share that got their band, and the mean error of the
+    calibrated grade, from models that had not seen the source."""
     _, grader = reading.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
-    rows = [(s, n, round(a, 6)) for s, (n, a) in (grader.accuracy if grader else {}).items()]
-    return spark.createDataFrame(rows, "source string, labelled int, accuracy double")
+    rows = [(s, n, round(a, 6), round(e, 6)) for s, (n, a, e) in (grader.accuracy if grader else {}).items()]
+    return spark.createDataFrame(rows, "source string, labelled int, accuracy double, error double")
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p2_found, p2_records, p3_found, p4_found, p5_found, p6_found, p6_groups, p7_found, p7_removed, p8_mixture, p8_shares, p9_found, p9_accuracy,
+    p1_found, p2_found, p2_records, p3_found, p3_classes, p4_found, p5_found, p6_found, p6_groups, p7_found, p7_removed, p8_mixture, p8_shares, p9_found, p9_accuracy,
 )}
 
 _NOTHING = ", ".join("'" + x + "'" for x in survivors.NOTHING)
