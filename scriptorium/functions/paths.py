@@ -22,6 +22,13 @@ SECRETS = (
 )
 CLOUD_SECRETS = r"(?i)(aws_credentials|gcloud_credentials|service.account)"
 SKIPPED = ("node_modules", "__pycache__", ".git", ".svn", ".hg", "venv", ".venv", "dist", "build", ".eggs")
+SKIPPED_WIDE = (
+    "venv", ".venv", "env", ".env", "node_modules", "__pycache__", ".git", "dist", "build", "target", "out", "site-packages", "lib64",
+    ".pytest_cache", ".mypy_cache", ".ruff_cache", ".tox", ".eggs", "*.egg-info",
+)
+SKIPPED_FILES = (
+    "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "Cargo.lock", "poetry.lock", "Gemfile.lock", "composer.lock", "go.sum", "go.work.sum",
+)
 PAPER_SIGNALS = (
     r"(?i)\barxiv\b", r"(?i)\bdoi\s*:", r"(?i)\babstract\b", r"(?i)\bproceedings\b", r"(?i)\bjournal\b", r"(?i)\bpreprint\b",
     r"\\cite\{", r"\[\d+\]", r"\[\n\d+\n\]", r"(?i)eq\.\s*\d+|equation\s+\d+", r"\d{4}\.\d{4,5}", r"(?i)\bwe propose\b", r"(?i)\bliterature\b",
@@ -56,10 +63,15 @@ def is_secret(path: Column | str, cloud: bool = False) -> Column:
     return out
 
 
-def in_noise(path: Column | str) -> Column:
+def is_skipped(path: Column | str) -> Column:
+    """Whether the file is one that tools generate."""
+    return name_of(path).isin(list(SKIPPED_FILES))
+
+
+def in_noise(path: Column | str, wide: bool = False) -> Column:
     """Whether a folder of the path is hidden, a cache, an environment or build output."""
     parts = F.split(path, r"[/\\]")
-    return F.exists(parts, lambda p: p.isin(list(SKIPPED)) | (p.startswith(".") & ~p.isin(".", "..", "")) | p.endswith("_venv") | p.endswith("_env") | p.endswith(".egg-info"))
+    return F.exists(parts, lambda p: p.isin(list(SKIPPED_WIDE if wide else SKIPPED)) | (p.startswith(".") & ~p.isin(".", "..", "")) | p.endswith("_venv") | p.endswith("_env") | p.endswith(".egg-info"))
 
 
 def paper_signals(text: Column | str) -> Column:
@@ -92,14 +104,20 @@ def _like(pattern: str):
     return lambda x: x.rlike(pattern)
 
 
-def is_ignored(path: Column | str, patterns: list[str]) -> Column:
-    """Whether an ignore pattern matches the path, its name, a part of it or a prefix of it."""
-    c = F.col(path) if isinstance(path, str) else path
+def is_ignored(path: Column | str, patterns: list[str | tuple[str, str]]) -> Column:
+    """Whether an ignore pattern matches the path, its name, a part of it or a prefix of it. A
+    pattern may come with the folder its file stands in; then the path is also taken from
+    that folder on, if it lies below it."""
+    whole = F.regexp_replace(F.col(path) if isinstance(path, str) else path, "^file:/+", "/")
     out = F.lit(False)
-    for p in (p.strip().strip("/") for p in patterns):
+    for anchor, p in ((("", x) if isinstance(x, str) else x) for x in patterns):
+        p = p.strip().strip("/")
         if not p or p.startswith("#"):
             continue
-        rx = glob_regex(p)
+        c, rx, anchor = whole, glob_regex(p), anchor.rstrip("/") + "/"
+        if anchor != "/":
+            c = F.when(whole.startswith(anchor), F.substring(whole, len(anchor) + 1, 1 << 20)).otherwise(whole)
+            out = out | whole.rlike(rx)
         parts = F.split(c, "/")
         prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
         out = out | c.rlike(rx) | F.exists(parts, _like(rx)) | F.exists(prefixes, _like(rx))
@@ -107,18 +125,23 @@ def is_ignored(path: Column | str, patterns: list[str]) -> Column:
 
 
 def safe_url(url: Column | str) -> Column:
-    """http or https, and no metadata, loopback, private or link-local host."""
+    """http or https, and no metadata, loopback, private, shared or link-local host. Addresses in
+    numbers are allowed only in plain dotted decimals: whole, octal, hexadecimal and
+    shortened ones and those of version 6 that hold one of version 4 are refused."""
     scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?(\[[^\]]*\]|[^/:?#]*)", 1))
-    local = host.rlike(r"^(localhost|127\.|10\.|0\.|169\.254\.|192\.168\.|172\.(1[6-9]|2\d|3[01])\.|\[::1?\]|\[f[cde])") | host.isin("metadata.google.internal", "metadata")
-    return scheme.isin("http", "https") & (host != "") & ~local
+    local = host.rlike(r"^(localhost\.?$|.*\.localhost\.?$|127\.|10\.|0\.|169\.254\.|192\.168\.|192\.0\.0\.|198\.1[89]\.|172\.(1[6-9]|2\d|3[01])\.|100\.(6[4-9]|[7-9]\d|1[01]\d|12[0-7])\.|2(2[4-9]|[3-5]\d)\.)")
+    local = local | host.rlike(r"^\[(::|f[cdef]|64:ff9b:|2002:|.*::ffff:|.*\.)") | host.isin("metadata.google.internal", "metadata")
+    number = host.rlike(r"^(0x[0-9a-f]*|\d+)(\.(0x[0-9a-f]*|\d+))*\.?$")
+    dotted = host.rlike(r"^(0|[1-9]\d{0,2})(\.(0|[1-9]\d{0,2})){3}$")
+    return scheme.isin("http", "https") & (host != "") & ~local & (~number | dotted)
 
 
 # fixed values: endings of code
-CODE = tuple(
-    ".py .ts .js .jsx .tsx .mjs .ejs .go .rs .java .cpp .cc .cxx .c .h .hpp .rb .swift .kt .kts .cs .scala .php .lua .toc .zig .ps1 .ex .exs "
-    ".m .mm .jl .vue .svelte .dart .v .sv".split()
-)
+CODE = (
+    ".py", ".ts", ".js", ".jsx", ".tsx", ".mjs", ".ejs", ".go", ".rs", ".java", ".cpp", ".cc", ".cxx", ".c", ".h", ".hpp", ".rb", ".swift",
+    ".kt", ".kts", ".cs", ".scala", ".php", ".lua", ".toc", ".zig", ".ps1", ".ex", ".exs", ".m", ".mm", ".jl", ".vue", ".svelte", ".dart", ".v", ".sv",
+)
 ASSETS = (".xcassets", ".imageset")
 
 
@@ -130,7 +153,7 @@ def content_class(path: Column | str, text: Column) -> Column:
     asset = F.exists(F.split(c, r"[/\\]"), lambda p: p.endswith(ASSETS[0]) | p.endswith(ASSETS[1]))
     plain = end.isin(list(ENDINGS["document"]))
     return (
-        F.when(end.isin(list(CODE)), "code").when(end.isin(list(ENDINGS["paper"])), F.when(~asset, "paper")).when(end.isin(list(ENDINGS["image"])), "image")
+        F.when(name_of(c).endswith(".blade.php"), "code").when(end.isin(list(CODE)), "code").when(end.isin(list(ENDINGS["paper"])), F.when(~asset, "paper")).when(end.isin(list(ENDINGS["image"])), "image")
         .when(plain & (F.coalesce(paper_signals(text), F.lit(0)) >= 3), "paper").when(plain | end.isin(".docx", ".xlsx"), "document")
         .when(end.isin(list(ENDINGS["video"])), "video")
     )

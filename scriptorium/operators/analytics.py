@@ -36,20 +36,6 @@ def god_nodes(nodes: DataFrame, edges: DataFrame, top: int = 10, without_types:
     return found.orderBy(F.desc("degree"), "id").limit(top)
 
 
-def label_rounds(nodes: DataFrame, edges: DataFrame, rounds: int = 4) -> DataFrame:
-    """(id, label): synchronous label propagation. A node takes the commonest label among
-    its distinct neighbours and itself, ties the smallest; nodes without neighbours keep
-    their own. Labels of hub neighbours are joined skew-safe and counted with map-side combine."""
-    links = both_ways(edges.where("source <> target")).distinct()
-    links = cut(links.unionByName(nodes.select("id", F.col("id").alias("other"))))
-    labels = nodes.select("id", F.col("id").alias("label"))
-    for _ in range(rounds):
-        votes = skew_lookup(links, labels.select(F.col("id").alias("other"), "label"), "other")
-        counted = votes.groupBy("id", "label").agg(F.count("*").alias("n"))
-        labels = cut(counted.groupBy("id").agg(F.min_by("label", F.struct(F.negative("n"), "label")).alias("label")))
-    return labels
-
-
 def number(labels: DataFrame) -> DataFrame:
     """(id, community): communities numbered from 0 by size, then smallest member."""
     sizes = labels.groupBy("label").agg(F.count("*").alias("n"), F.min("id").alias("first"))
@@ -57,21 +43,6 @@ def number(labels: DataFrame) -> DataFrame:
     return skew_lookup(labels, ranked.select("label", "community"), "label").select("id", "community")
 
 
-def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 4, share: float = 0.25, least: int = 10) -> DataFrame:
-    """(id, community): label propagation; communities over ``max(least, share x nodes)`` are
-    propagated once more inside themselves; isolates are communities of one."""
-    labels = label_rounds(nodes, edges, rounds)
-    limit = max(least, int(share * nodes.count()))
-    big = labels.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("label")
-    inside = cut(labels.join(F.broadcast(big), "label", "left_semi"))  # at most 1 / share of them
-    if inside.isEmpty():
-        return number(labels)
-    a, b = inside.select(F.col("id").alias("source"), F.col("label").alias("_a")), inside.select(F.col("id").alias("target"), F.col("label").alias("_b"))
-    within = edges.join(a, "source").join(b, "target").where("_a = _b")
-    again = label_rounds(inside.select("id"), within, rounds)
-    return number(labels.join(inside.select("id"), "id", "left_anti").unionByName(again))
-
-
 def cohesion(members: DataFrame, edges: DataFrame) -> DataFrame:
     """(community, members, cohesion): edges inside over possible pairs, two places; 1 for one node."""
     sizes = members.groupBy("community").agg(F.count("*").alias("members"))
@@ -116,15 +87,23 @@ def _hub() -> Column:
     return ((F.col("_du") <= 2) & (F.col("_dv") >= 5)) | ((F.col("_dv") <= 2) & (F.col("_du") >= 5))
 
 
-def surprising(nodes: DataFrame, edges: DataFrame, members: DataFrame, top: int = 5) -> DataFrame:
+def _reasons(*more: tuple[Column, str]) -> Column:
+    told = [*more, (F.col("_cu") != F.col("_cv"), "across communities"), (F.col("relation") == "semantically_similar_to", "similar in meaning"), (_hub(), "from a loose node to a hub")]
+    unsure = F.when(F.col("confidence") == "AMBIGUOUS", "uncertain edge").when(F.col("confidence") == "INFERRED", "inferred edge")
+    return F.array_compact(F.array(unsure, *[F.when(test, text) for test, text in told]))
+
+
+def surprising(nodes: DataFrame, edges: DataFrame, members: DataFrame, top: int = 5, reasons: bool = False) -> DataFrame:
     """(source, target, source_label, target_label, relation, confidence, score): edges one
     would not expect: uncertain, across types or communities, similar in meaning, from a
-    loose node to a hub. Score over 1, the ``top``, ties by arrival."""
+    loose node to a hub. Score over 1, the ``top``, ties by arrival. ``reasons`` adds the
+    column of that name, what made the score."""
     rows = _edge_facts(nodes, edges, members)
     score = _trust(F.col("confidence")) + F.when(F.col("_tu") != F.col("_tv"), 2).otherwise(0) + F.when(F.col("_cu") != F.col("_cv"), 1).otherwise(0)
     score = F.when(F.col("relation") == "semantically_similar_to", F.floor(score * 1.5)).otherwise(score).cast("int") + F.when(_hub(), 1).otherwise(0)
     rows = rows.withColumn("score", score).where("score > 1").orderBy(F.desc("score"), "seq", "source", "target").limit(top)
-    return rows.select("source", "target", F.col("_lu").alias("source_label"), F.col("_lv").alias("target_label"), "relation", F.coalesce("confidence", F.lit("EXTRACTED")).alias("confidence"), "score")
+    more = [_reasons((F.col("_tu") != F.col("_tv"), "across types")).alias("reasons")] if reasons else []
+    return rows.select("source", "target", F.col("_lu").alias("source_label"), F.col("_lv").alias("target_label"), "relation", F.coalesce("confidence", F.lit("EXTRACTED")).alias("confidence"), "score", *more)
 
 
 def file_category(path: str) -> Column:
@@ -132,15 +111,28 @@ def file_category(path: str) -> Column:
     return F.when(end == "pdf", "paper").when(end.isin("png", "jpg", "jpeg", "gif", "webp", "svg"), "image").when(end.isin("md", "txt", "rst", ""), "doc").otherwise("code")
 
 
-def cross_file(nodes: DataFrame, edges: DataFrame, members: DataFrame, top: int = 5) -> DataFrame:
+def cross_file(nodes: DataFrame, edges: DataFrame, members: DataFrame, top: int = 5, reasons: bool = False) -> DataFrame:
     """(source, target, relation, score): edges between different files, scored by
-    uncertainty, category and folder of the files, community, meaning and hubs."""
+    uncertainty, category and folder of the files, community, meaning and hubs; ``reasons``
+    adds what made the score."""
     rows = _edge_facts(nodes, edges, members).where("_fu <> '' and _fv <> '' and _fu <> _fv").where(~F.coalesce(F.col("relation").isin(list(STRUCTURAL)), F.lit(False)))
     folder = lambda c: F.substring_index(c, "/", 1)
     score = _trust(F.col("confidence")) + F.when(file_category("_fu") != file_category("_fv"), 2).otherwise(0)
     score = score + F.when(folder("_fu") != folder("_fv"), 2).otherwise(0) + F.when(F.col("_cu") != F.col("_cv"), 1).otherwise(0)
     score = F.when(F.col("relation") == "semantically_similar_to", F.floor(score * 1.5)).otherwise(score).cast("int") + F.when(_hub(), 1).otherwise(0)
-    return rows.withColumn("score", score).orderBy(F.desc("score"), "seq", "source", "target").limit(top).select("source", "target", "relation", "score")
+    rows = rows.withColumn("score", score).orderBy(F.desc("score"), "seq", "source", "target").limit(top)
+    told = _reasons((file_category("_fu") != file_category("_fv"), "across kinds of file"), (folder("_fu") != folder("_fv"), "across folders"))
+    return rows.select("source", "target", "relation", "score", *([told.alias("reasons")] if reasons else []))
+
+
+def surprises(nodes: DataFrame, edges: DataFrame, members: DataFrame, top: int = 5) -> DataFrame:
+    """(source, target, relation, score): ``cross_file`` where nodes are of several files and it
+    finds any, else an edge for each pair of communities, with score 0."""
+    several = nodes.where("source_file <> ''").select("source_file").distinct().limit(2).count() > 1
+    found = cut(cross_file(nodes, edges, members, top)) if several else None
+    if found is not None and not found.isEmpty():
+        return found
+    return cross_community(edges, members, top).select("source", "target", "relation", F.lit(0).alias("score"))
 
 
 def cross_community(edges: DataFrame, members: DataFrame, top: int = 5) -> DataFrame:
@@ -164,32 +156,86 @@ def gaps(nodes: DataFrame, edges: DataFrame, members: DataFrame) -> DataFrame:
     return lone.union(thin).union(share)
 
 
-def questions(nodes: DataFrame, edges: DataFrame, members: DataFrame, top: int = 7) -> DataFrame:
-    """(kind, ref): what to ask next: ambiguous edges, bridges, hubs with inferred edges,
-    isolated nodes, loose communities; by kind, then strength."""
-    amb = edges.where("confidence = 'AMBIGUOUS'").select(F.lit(1).alias("k"), F.lit("ambiguous edge").alias("kind"), F.concat_ws(" - ", "source", "target").alias("ref"), F.lit(0).cast("double").alias("w"), F.col("seq").alias("s"))
-    amb = amb.orderBy("s", "ref").limit(top)
-    br = bridges(nodes, edges, members, 1).orderBy(F.desc("connected"), "id").limit(3).select(F.lit(2), F.lit("bridge"), "id", -F.col("connected").cast("double"), F.lit(0).cast("long"))
-    hubs = degrees(nodes, edges).orderBy(F.desc("degree"), "id").limit(5)
-    inferred = edges.where("confidence = 'INFERRED'").groupBy(F.col("source").alias("id")).agg(F.count("*").alias("n")).where("n >= 2")
-    hub = hubs.join(inferred, "id").select(F.lit(3), F.lit("inferred hub"), "id", -F.col("degree").cast("double"), F.lit(0).cast("long"))
-    iso = degrees(nodes, edges).where("degree <= 1").orderBy("degree", "id").limit(top).select(F.lit(4), F.lit("isolated"), "id", F.col("degree").cast("double"), F.lit(0).cast("long"))
-    loose = cohesion(members, edges).where("members >= 5 and cohesion < 0.15").orderBy("cohesion", "community").limit(top)
-    loose = loose.select(F.lit(5), F.lit("loose community"), F.col("community").cast("string"), "cohesion", F.lit(0).cast("long"))
-    return amb.union(br).union(hub).union(iso).union(loose).orderBy("k", "w", "s", "ref").limit(top).select("kind", "ref")
+def _quote(c: Column | str) -> Column:
+    return F.concat(F.lit("`"), F.coalesce(c, F.lit("")), F.lit("`"))
+
+
+def _no_concept(file: str) -> Column:
+    """A node that stands for something in a file: its file has an ending."""
+    return F.coalesce(F.col(file).contains("."), F.lit(False)) & (F.col(file) != "")
+
+
+def questions(nodes: DataFrame, edges: DataFrame, members: DataFrame, top: int = 7, sources: int = 100, exact: int = 1_000) -> DataFrame:
+    """(ord, kind, question, why): what to ask next: uncertain edges by arrival; the three nodes of
+    highest betweenness (all nodes of a graph up to ``exact`` start paths, else a seeded
+    sample) that link communities; of the five most linked nodes those with two inferred
+    edges or more; the loose nodes; communities of five nodes or more with cohesion under
+    0.15. The first ``top`` of all, in this order; one row of kind no_signal if there is none.
+    Nodes that stand for a file, or for none, are no bridges and not loose."""
+    label = nodes.select("id", F.coalesce("label", "id").alias("l"), "source_file", "label")
+    own = F.coalesce("label", F.lit("")) == F.regexp_extract(F.coalesce("source_file", F.lit("")), r"([^/\\]*)$", 1)
+    inner = label.where(_no_concept("source_file") & ~own).select("id", "l")
+    names = name_communities(nodes, edges, members)
+    row = lambda k, kind, s, t, q, w: [F.lit(k).alias("k"), F.lit(kind).alias("kind"), s.cast("double").alias("s"), t.alias("t"), q.alias("question"), w.alias("why")]
+    unsure = edges.where("confidence = 'AMBIGUOUS'").orderBy("seq", "source", "target").limit(top)
+    unsure = unsure.join(label.select(F.col("id").alias("source"), F.col("l").alias("a")), "source").join(label.select(F.col("id").alias("target"), F.col("l").alias("b")), "target")
+    one = unsure.select(*row(1, "ambiguous_edge", F.col("seq"), F.concat_ws("|", "source", "target"), F.concat(F.lit("What is the exact relationship between "), _quote("a"), F.lit(" and "), _quote("b"), F.lit("?")),
+                             F.concat(F.lit("The edge is uncertain (relation: "), F.coalesce("relation", F.lit("related to")), F.lit(")."))))
+    n = nodes.count()
+    scored = betweenness(nodes, edges, sources, exact).where("score > 0").join(inner, "id").orderBy(F.desc("score"), "id").limit(3)
+    scored = cut(scored)
+    most = max(1.0, (n - 1) * (n - 2)) * (1.0 if n <= exact else min(sources, n) / max(1, n))
+    near = both_ways(edges).distinct().join(F.broadcast(scored.select("id")), "id", "left_semi")  # three rows
+    near = near.join(members.select("id", F.col("community").alias("c")), "id").join(members.select(F.col("id").alias("other"), F.col("community").alias("o")), "other").where("c <> o").select("id", "c", "o").distinct()
+    near = near.join(names.select(F.col("community").alias("o"), F.col("name").alias("on")), "o").join(names.select(F.col("community").alias("c"), F.col("name").alias("cn")), "c")
+    linked = near.groupBy("id", "cn").agg(F.array_sort(F.collect_set(F.struct("o", "on"))).alias("x"))
+    two = scored.join(linked, "id").select(*row(2, "bridge_node", -F.col("score"), F.col("id"), F.concat(F.lit("Why does "), _quote("l"), F.lit(" connect "), _quote("cn"), F.lit(" to "), F.array_join(F.transform("x", lambda y: _quote(y["on"])), ", "), F.lit("?")),
+                                                F.format_string("Many shortest paths pass through it (%.3f).", F.col("score") / F.lit(most))))
+    hubs = degrees(nodes, edges).join(label.where(~own), "id").orderBy(F.desc("degree"), "id").limit(5)
+    guessed = edges.where("confidence = 'INFERRED'").join(F.broadcast(hubs.select(F.col("id").alias("source"))), "source", "left_semi")
+    guessed = guessed.join(label.select(F.col("id").alias("target"), F.col("l").alias("b")), "target")
+    # the first two by arrival: a count and two minima, so that a hub's edges are not collected
+    first = F.struct("seq", "target", "b")
+    counted = guessed.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("n"), F.min(first).alias("p"))
+    second = guessed.join(counted.select(F.col("id").alias("source"), "p"), "source").where(first > F.col("p")).groupBy(F.col("source").alias("id")).agg(F.min(first).alias("q"))
+    three = hubs.join(counted.where("n >= 2"), "id").join(second, "id").select(*row(3, "verify_inferred", -F.col("degree"), F.col("id"), F.concat(
+        F.lit("Are the "), F.col("n").cast("string"), F.lit(" inferred relationships of "), _quote("l"), F.lit(" (e.g. with "), _quote("p.b"), F.lit(" and "), _quote("q.b"), F.lit(") correct?")),
+        F.concat(_quote("l"), F.lit(" has "), F.col("n").cast("string"), F.lit(" inferred edges to verify."))))
+    loose = degrees(nodes, edges).where("degree <= 1").join(inner, "id")
+    some = loose.orderBy("id").limit(3).agg(F.array_sort(F.collect_list(F.struct("id", "l"))).alias("x"))
+    four = some.join(F.broadcast(loose.agg(F.count("*").alias("n"))), F.lit(True)).where("n > 0").select(*row(4, "isolated_nodes", F.lit(0), F.lit(""), F.concat(  # one row and one row
+        F.lit("What connects "), F.array_join(F.transform("x", lambda y: _quote(y["l"])), ", "), F.lit(" to the rest?")), F.concat(F.col("n").cast("string"), F.lit(" nodes have one link or none."))))
+    thin = cohesion(members, edges).where("members >= 5 and cohesion < 0.15").orderBy("community").limit(top).join(names, "community")
+    five = thin.select(*row(5, "low_cohesion", F.col("community"), F.lit(""), F.concat(F.lit("Should "), _quote("name"), F.lit(" be split into smaller groups?")), F.format_string("Cohesion is %.2f.", "cohesion")))
+    every = cut(one.unionByName(two).unionByName(three).unionByName(four).unionByName(five).orderBy("k", "s", "t").limit(top))
+    if every.isEmpty():
+        return every.sparkSession.createDataFrame([(1, "no_signal", None, "No uncertain or inferred edges, no bridges, no loose nodes or communities.")], "ord int, kind string, question string, why string")
+    return every.select(F.row_number().over(Window.orderBy("k", "s", "t")).alias("ord"), "kind", "question", "why")  # at most ``top`` rows
 
 
 def name_communities(nodes: DataFrame, edges: DataFrame, members: DataFrame, top: int = 4) -> DataFrame:
-    """(community, name): the labels of its most linked nodes, concepts first. A name taken by
-    an earlier community gets its number; nodes without a label are not used."""
+    """(community, name): the label of its most linked node, and as many of the next (at most
+    ``top``, joined by " / ") as tell it from all communities before it; only concepts count
+    where there are any. Nodes without a label are not used; a community that no such name
+    tells apart is called by its number.
+
+    A name of k labels goes to the first community that has it among those that got none of
+    fewer labels, so all names of k labels are given at once."""
     rows = members.join(nodes.where("label <> ''").select("id", "label", "file_type"), "id").join(degrees(nodes, edges), "id")
     concept = F.when(F.col("file_type") == "concept", 0).otherwise(1)
+    # the limit on the rank is applied before the rows of a community meet
     rank = F.row_number().over(Window.partitionBy("community").orderBy(concept, F.desc("degree"), "id"))
-    picked = rows.withColumn("_r", rank).where(F.col("_r") <= top)
-    first = picked.where("_r = 1").select("community", F.col("label").alias("name"))
-    again = F.row_number().over(Window.partitionBy("name").orderBy("community"))
+    picked = rows.withColumn("_k", concept).withColumn("_r", rank).where(F.col("_r") <= top)
+    best = picked.groupBy("community").agg(F.array_sort(F.collect_list(F.struct("_r", "label", "_k"))).alias("x"))  # at most ``top``
+    left = best.select("community", F.transform(F.filter("x", lambda y: y["_k"] == F.col("x")[0]["_k"]), lambda y: y["label"]).alias("labels"))
+    named = None
+    for k in range(1, top + 1):
+        name = F.array_join(F.slice("labels", 1, k), " / ")
+        left = cut(left)
+        part = left.where(F.size("labels") >= k).groupBy(name.alias("name")).agg(F.min("community").alias("community")).select("community", "name")
+        named = part if named is None else named.unionByName(part)
+        left = left.join(part.select("community"), "community", "left_anti")
     ids = members.select("community").distinct()
-    named = first.withColumn("_n", again).select("community", F.when(F.col("_n") > 1, F.format_string("%s (#%d)", "name", "community")).otherwise(F.col("name")).alias("name"))
     return ids.join(named, "community", "left").select("community", F.coalesce("name", F.format_string("社区%d", "community")).alias("name"))
 
 

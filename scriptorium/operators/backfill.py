@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions.pages import title_of, wikilinks
@@ -39,6 +39,38 @@ def summary_paragraph(text: str):
     return F.substring(F.coalesce(F.get(parts, F.lit(0)), F.lit("")), 1, 300)
 
 
+def scalar(value: Column | str) -> Column:
+    """A value in frontmatter: quoted text, numbers as they are, lists in brackets, nothing as \"\"."""
+    return F.concat(F.lit('"'), F.replace(F.coalesce(F.col(value) if isinstance(value, str) else value, F.lit("")).cast("string"), F.lit('"'), F.lit('\\"')), F.lit('"'))
+
+
+def block(fields: dict[str, Column]) -> Column:
+    """Frontmatter of one line a field; values are rendered already."""
+    return F.concat_ws("\n", F.lit("---"), *[F.concat(F.lit(f"{k}: "), v) for k, v in fields.items()], F.lit("---"))
+
+
+def article_pages(docs: DataFrame, sources: DataFrame, concepts: DataFrame | None = None) -> DataFrame:
+    """(doc_id, text): legacy articles with the frontmatter they lack, confidence 0.7; pages that
+    have some are left out. ``concepts``: (stem, concepts) of the graph's nodes by file."""
+    bare = docs.where(F.col("text").isNotNull() & ~F.col("text").rlike(r"\A---[ \t]*\n"))
+    rows = article_fields(bare, sources).join(bare.select("doc_id", "stem", "text"), "doc_id")
+    empty = F.array().cast("array<string>")
+    if concepts is not None:
+        one = concepts.where("stem is not null").groupBy("stem").agg(F.min("concepts").alias("_c"))
+        rows = rows.join(one, "stem", "left")
+    names = F.coalesce("_c", empty) if concepts is not None else empty
+    listed = F.concat(F.lit("["), F.array_join(F.transform(names, lambda x: scalar(x)), ", "), F.lit("]"))
+    head = block({"title": scalar("title"), "doc_type": scalar(F.lit("article")), "source_sha256": scalar("source_sha256"), "concepts": listed, "aliases": F.lit("[]"),
+                  "tldr": scalar("summary"), "created_at": scalar(F.col("created").cast("string")), "compiled_by": scalar(F.lit("backfill")), "confidence": F.lit("0.7")})
+    return rows.select("doc_id", F.concat(head, F.lit("\n\n"), "text").alias("text"))
+
+
+def node_of_file(nodes: DataFrame) -> DataFrame:
+    """(source_file, id, label, file_type): the node of each file, the first by id."""
+    rows = nodes.where("source_file <> ''").groupBy("source_file").agg(F.min_by(F.struct("id", "label", "file_type"), "id").alias("_n"))
+    return rows.select("source_file", "_n.id", "_n.label", "_n.file_type")
+
+
 def article_fields(docs: DataFrame, sources: DataFrame) -> DataFrame:
     """(doc_id, title, source_sha256, summary, created): what a legacy article gets."""
     rows = docs.where("text is not null").select("doc_id", "stem", title_of("text").alias("title"), summary_paragraph("text").alias("summary"), F.to_date("created_at").alias("created"))

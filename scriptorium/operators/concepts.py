@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.operators.contains import containing
+
 # fixed value: aliases announced inside a summary
 ALIASES = r"(?i)[（(]\s*(?:别名|aka|also\s+known\s+as|a\.k\.a\.?)\s*[:：]\s*([^)）]+)[)）]"
 
@@ -53,21 +55,17 @@ def match_terms(terms: DataFrame, index: DataFrame, key: str = "doc_id", top: in
     """(key, name, score): concepts related to a text: how many of its terms contain, or are
     contained in, the name or an alias of the concept; the ``top`` of each text.
 
-    ``terms``: (key, term). Distinct terms are matched once against distinct names through
-    their runs of two characters, in place of all pairs.
+    ``terms``: (key, term). Distinct terms are matched once against distinct names, each by its
+    rarest run, in place of all pairs.
     """
     names = index.select("name", F.explode(F.array_distinct(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("n"))
     names = names.where("n <> ''").select("name", F.lower("n").alias("n")).distinct()
     asked = terms.where("term is not null and term <> ''").select(key, F.lower("term").alias("t")).distinct()
     words = asked.select("t").distinct()
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda k: F.substring(F.col(c), k, F.lit(2))))
     forms = names.select("n").distinct()
-    inside = words.withColumn("g", F.substring("t", 1, 2)).join(forms.withColumn("g", F.explode(grams("n"))), "g").where(F.contains("n", "t")).select("t", "n")
-    around = forms.withColumn("g", F.substring("n", 1, 2)).join(words.withColumn("g", F.explode(grams("t"))), "g").where(F.contains("t", "n")).select("t", "n")
-    signs = F.array_distinct(F.split("n", ""))
-    single = words.where("length(t) = 1").join(forms.withColumn("t", F.explode(signs)), "t").select("t", "n")
-    letter = forms.where("length(n) = 1").join(words.withColumn("n", F.explode(F.array_distinct(F.split("t", "")))), "n").select("t", "n")
-    pairs = inside.unionByName(around).unionByName(single).unionByName(letter).distinct().join(names, "n").select("t", "name").distinct()
+    inside = containing(words.withColumnRenamed("t", "needle"), forms.withColumnRenamed("n", "hay")).select(F.col("needle").alias("t"), F.col("hay").alias("n"))
+    around = containing(forms.withColumnRenamed("n", "needle"), words.withColumnRenamed("t", "hay")).select(F.col("hay").alias("t"), F.col("needle").alias("n"))
+    pairs = inside.unionByName(around).distinct().join(names, "n").select("t", "name").distinct()
     scored = asked.join(pairs, "t").groupBy(key, "name").agg(F.count("*").alias("score"))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "name"))
     return scored.withColumn("_r", rank).where(F.col("_r") <= top).drop("_r")

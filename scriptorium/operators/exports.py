@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.functions.pages import sanitise_label
-from scriptorium.operators.analytics import bridges, cohesion, degrees, god_nodes, name_communities, surprising
-from scriptorium.session import numbered
+from scriptorium.functions.pages import fold_accents, sanitise_label
+from scriptorium.operators.analytics import bridges, cohesion, degrees, gaps, god_nodes, name_communities, questions, surprising
+from scriptorium.session import cut, numbered, skew_lookup
 
 # fixed values: scores of edges without one, by confidence
 DEFAULT_SCORES = {"EXTRACTED": 1.0, "INFERRED": 0.5, "AMBIGUOUS": 0.2}
@@ -39,7 +39,7 @@ def node_links(nodes: DataFrame, edges: DataFrame, members: DataFrame) -> DataFr
     their confidence."""
     n = nodes.join(members, "id", "left")
     n = n.select(F.lit("node").alias("kind"), "id", F.to_json(F.struct(
-        "id", F.coalesce("label", "id").alias("label"), "file_type", "source_file", "community", F.lower(F.coalesce("label", "id")).alias("norm_label"))).alias("json"))
+        "id", F.coalesce("label", "id").alias("label"), "file_type", "source_file", "community", F.lower(fold_accents(F.coalesce("label", "id"))).alias("norm_label"))).alias("json"))
     known = F.when(F.isnan("confidence_score"), None).otherwise(F.col("confidence_score"))
     default = F.lit(1.0)
     for k, v in DEFAULT_SCORES.items():
@@ -87,9 +87,9 @@ def vis_nodes(nodes: DataFrame, edges: DataFrame, members: DataFrame) -> DataFra
 
 
 def html(nodes: DataFrame, edges: DataFrame, members: DataFrame, most: int = 5_000) -> str:
-    """A page that draws a small graph; more than ``most`` nodes are an error."""
-    if nodes.count() > most:
-        raise ValueError(f"a picture of over {most} nodes can't be read; filter the graph first")
+    """A page that draws a small graph; more than ``most`` nodes, or twenty times as many edges, are an error."""
+    if nodes.count() > most or edges.count() > most * 20:
+        raise ValueError(f"a picture of over {most} nodes or {most * 20} edges can't be read; filter the graph first")
     vis = vis_nodes(nodes, edges, members).toJSON().collect()
     links = edges.select(F.to_json(F.struct("source", "target", "relation", (F.col("confidence") != "EXTRACTED").alias("dashed")))).collect()
     safe = lambda rows: "[" + ",".join(rows).replace("</", "<\\/") + "]"
@@ -106,14 +106,15 @@ def notes(nodes: DataFrame, edges: DataFrame, members: DataFrame, links: int = 1
     Part 0 holds the head and the first ``links`` targets, each further part as many more, so
     that no cell grows with a hub; the parts of a file in order, one a line, are the note."""
     name = note_name(F.coalesce("label", "id"))
-    again = F.row_number().over(Window.partitionBy(F.lower("_n")).orderBy("id")) - 1
-    named = nodes.select("id", "file_type", name.alias("_n")).withColumn("_k", again)
-    named = named.select("id", "file_type", F.when(F.col("_k") > 0, F.concat_ws("_", "_n", "_k")).otherwise(F.col("_n")).alias("name"))
+    named = numbered(nodes.select("id", "file_type", name.alias("_n")).withColumn("_l", F.lower("_n")), ["_l", "id"], "_i")
+    named = skew_lookup(named, named.groupBy("_l").agg(F.min("_i").alias("_f")), "_l").withColumn("_k", F.col("_i") - F.col("_f"))
+    named = cut(named.select("id", "file_type", F.when(F.col("_k") > 0, F.concat_ws("_", "_n", "_k")).otherwise(F.col("_n")).alias("name")))
     conf = edges.groupBy(F.col("source").alias("id"), F.coalesce("confidence", F.lit("EXTRACTED")).alias("c")).agg(F.count("*").alias("n"))
     conf = conf.groupBy("id").agg(F.min_by("c", F.struct(F.negative("n"), "c")).alias("confidence"))
-    out = edges.select(F.col("source").alias("id"), F.col("target").alias("t")).join(named.select(F.col("id").alias("t"), "name"), "t")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("name"))
-    out = out.withColumn("part", F.floor((rank - 1) / links).cast("int")).groupBy("id", "part").agg(F.array_sort(F.collect_list("name")).alias("links"))
+    out = skew_lookup(edges.select(F.col("source").alias("id"), F.col("target").alias("t")), named.select(F.col("id").alias("t"), "name"), "t")
+    out = numbered(out, ["id", "name", "t"], "_i")
+    out = skew_lookup(out, out.groupBy("id").agg(F.min("_i").alias("_f")), "id")
+    out = out.withColumn("part", F.floor((F.col("_i") - F.col("_f")) / links).cast("int")).groupBy("id", "part").agg(F.array_sort(F.collect_list("name")).alias("links"))
     first, more = out.where("part = 0").drop("part"), out.where("part > 0")
     rows = named.join(conf, "id", "left").join(first, "id", "left").join(members, "id", "left")
     text = F.array_join(F.transform(F.coalesce("links", F.array().cast("array<string>")), lambda x: F.concat(F.lit("- [["), x, F.lit("]]"))), "\n")
@@ -158,23 +159,100 @@ def summary_lines(nodes: DataFrame, edges: DataFrame, members: DataFrame) -> Dat
     return out.unionByName(share).unionByName(gods).unionByName(comm).unionByName(s)
 
 
-def community_pages(nodes: DataFrame, edges: DataFrame, members: DataFrame, top: int = 25) -> DataFrame:
-    """(file, body): the page of each community: its best linked nodes and the other
-    communities it is linked to, by number of edges."""
+def community_pages(nodes: DataFrame, edges: DataFrame, members: DataFrame, top: int = 25, links: int = 12, files: int = 20) -> DataFrame:
+    """(file, body): the page of each community: its size and cohesion, its best linked nodes
+    and how many more there are, the communities it is linked to by number of edges, its
+    source files in plain order, and the share of each confidence among its nodes' edges.
+
+    The limits are those of the page; each is applied as a rank before the rows of a
+    community meet, so none is gathered whole."""
     names = name_communities(nodes, edges, members)
-    d = degrees(nodes, edges)
-    rows = members.join(nodes.select("id", F.coalesce("label", "id").alias("label")), "id").join(d, "id")
+    rows = members.join(nodes.select("id", F.coalesce("label", "id").alias("label"), F.coalesce("source_file", F.lit("")).alias("file")), "id").join(degrees(nodes, edges), "id")
     rank = F.row_number().over(Window.partitionBy("community").orderBy(F.desc("degree"), "id"))
-    best = rows.withColumn("_r", rank).where(F.col("_r") <= top).groupBy("community").agg(F.array_sort(F.collect_list(F.struct("_r", "label", "degree"))).alias("best"))
-    a, b = members.select(F.col("id").alias("source"), F.col("community").alias("cu")), members.select(F.col("id").alias("target"), F.col("community").alias("cv"))
-    across = edges.join(a, "source").join(b, "target").where("cu <> cv").groupBy(F.col("cu").alias("community"), F.col("cv").alias("other")).agg(F.count("*").alias("n"))
+    line = F.concat(F.format_string("- **%s** (%d connections)", "label", "degree"), F.when(F.col("file") != "", F.concat(F.lit(" — `"), "file", F.lit("`"))).otherwise(""))
+    best = rows.withColumn("_r", rank).where(F.col("_r") <= top).groupBy("community").agg(F.array_sort(F.collect_list(F.struct("_r", line.alias("line")))).alias("best"))
+    cu, cv = members.select(F.col("id").alias("source"), F.col("community").alias("cu")), members.select(F.col("id").alias("target"), F.col("community").alias("cv"))
+    ends = cut(skew_lookup(skew_lookup(edges.select("source", "target", F.coalesce("confidence", F.lit("EXTRACTED")).alias("c")), cu, "source"), cv, "target").groupBy("cu", "cv", "c").agg(F.count("*").alias("n")))
+    across = ends.where("cu <> cv").groupBy(F.col("cu").alias("community"), F.col("cv").alias("other")).agg(F.sum("n").alias("n"))
     across = across.join(names.select(F.col("community").alias("other"), F.col("name").alias("other_name")), "other")
     rank = F.row_number().over(Window.partitionBy("community").orderBy(F.desc("n"), "other"))
-    across = across.withColumn("_r", rank).where("_r <= 12").groupBy("community").agg(F.array_sort(F.collect_list(F.struct("_r", "other_name", "n"))).alias("across"))
-    page = names.join(best, "community", "left").join(across, "community", "left")
-    lines_ = F.array_join(F.transform("best", lambda x: F.format_string("- %s (%d)", x["label"], x["degree"])), "\n")
-    links = F.coalesce(F.array_join(F.transform("across", lambda x: F.format_string("- [[%s]] (%d)", x["other_name"], x["n"])), "\n"), F.lit(""))
-    return page.select(F.concat(file_name("name"), F.lit(".md")).alias("file"), F.concat_ws("\n\n", F.concat(F.lit("# "), "name"), lines_, links).alias("body"))
+    across = across.withColumn("_r", rank).where(F.col("_r") <= links).groupBy("community").agg(F.array_sort(F.collect_list(F.struct("_r", F.format_string("- [[%s]] (%d shared connections)", "other_name", "n").alias("line")))).alias("across"))
+    filed = rows.where("file <> ''").select("community", "file").distinct()
+    rank = F.row_number().over(Window.partitionBy("community").orderBy("file"))
+    filed = filed.withColumn("_r", rank).where(F.col("_r") <= files).groupBy("community").agg(F.array_sort(F.collect_list(F.struct("_r", F.format_string("- `%s`", "file").alias("line")))).alias("files"))
+    conf = ends.groupBy(F.col("cu").alias("community")).agg(F.sum("n").alias("_all"), *[F.sum(F.when(F.col("c") == k, F.col("n")).otherwise(0)).alias(k) for k in DEFAULT_SCORES])
+    page = names.join(cohesion(members, edges), "community")
+    for part in (best, across, filed, conf):
+        page = page.join(part, "community", "left")
+    lines_ = lambda c: F.array_join(F.transform(c, lambda x: x["line"]), "\n")
+    share = [F.format_string(f"- {k}: %d (%d%%)", F.coalesce(F.col(k), F.lit(0)), F.round(100 * F.coalesce(F.col(k), F.lit(0)) / F.greatest(F.coalesce("_all", F.lit(0)), F.lit(1))).cast("int")) for k in DEFAULT_SCORES]
+    body = F.concat_ws(
+        "\n\n", F.concat(F.lit("# "), "name"), F.format_string("> %d nodes · cohesion %.2f", "members", "cohesion"), F.lit("## Key concepts"), lines_("best"),
+        F.when(F.col("members") > top, F.format_string("- *and %d more nodes*", F.col("members") - top)), F.lit("## Relationships"),
+        F.coalesce(lines_("across"), F.lit("- No links to other communities")), F.when(F.size("files") > 0, F.concat(F.lit("## Source files\n\n"), lines_("files"))),
+        F.lit("## Audit trail"), F.concat_ws("\n", *share), F.lit("---\n\n*See [[index]] for all communities.*"))
+    return page.select(F.concat(file_name("name"), F.lit(".md")).alias("file"), body.alias("body"))
+
+
+def community_notes(nodes: DataFrame, edges: DataFrame, members: DataFrame, top: int = 5) -> DataFrame:
+    """(file, body): a note for each community: its tag, size and cohesion, its ``top`` nodes with
+    targets in most other communities, and the number of edges to each other community."""
+    names = name_communities(nodes, edges, members)
+    best = bridges(nodes, edges, members, top).groupBy("community").agg(F.array_sort(F.collect_list(F.struct(F.negative("connected").alias("c"), "id", "label"))).alias("best"))
+    cu, cv = members.select(F.col("id").alias("source"), F.col("community").alias("cu")), members.select(F.col("id").alias("target"), F.col("community").alias("cv"))
+    across = skew_lookup(skew_lookup(edges.select("source", "target"), cu, "source"), cv, "target").where("cu <> cv").groupBy(F.col("cu").alias("community"), F.col("cv").alias("other")).agg(F.count("*").alias("n"))
+    across = across.join(names.select(F.col("community").alias("other"), F.col("name").alias("on")), "other")
+    across = across.groupBy("community").agg(F.array_sort(F.collect_list(F.struct(F.negative("n").alias("n"), "other", "on"))).alias("across"))  # one entry a community
+    page = names.join(cohesion(members, edges), "community").join(best, "community", "left").join(across, "community", "left")
+    body = F.concat_ws(
+        "\n", F.concat(F.lit("# "), "name"), F.format_string("tags: community-%d", "community"), F.format_string("members: %d", "members"), F.format_string("cohesion: %.2f", "cohesion"),
+        F.array_join(F.transform("best", lambda x: F.concat(F.lit("- bridge: [["), note_name(x["label"]), F.lit("]]"))), "\n"),
+        F.array_join(F.transform("across", lambda x: F.concat(F.lit("- to [["), note_name(x["on"]), F.lit("]]: "), (-x["n"]).cast("string"))), "\n"))
+    return page.select(F.concat(F.lit("_COMMUNITY_"), note_name("name"), F.lit(".md")).alias("file"), body.alias("body"))
+
+
+def canvas_cards(nodes: DataFrame, members: DataFrame, width: int = 220, height: int = 60) -> DataFrame:
+    """(id, file, community, x, y): the cards of the groups of ``canvas``, three a row, by label.
+    Cards are numbered by ranges over all nodes, not within a community."""
+    labelled = members.join(nodes.select("id", F.coalesce("label", "id").alias("l")), "id")
+    rows = numbered(labelled, ["community", "l", "id"], "_n")
+    first = rows.groupBy("community").agg(F.min("_n").alias("_f"))
+    rows = skew_lookup(rows, first, "community").withColumn("_i", F.col("_n") - F.col("_f"))
+    rows = skew_lookup(rows, canvas(members, width, height).select("community", "x", "y"), "community")
+    return rows.select("id", F.concat(note_name("l"), F.lit(".md")).alias("file"), "community",
+                       (F.col("x") + 20 + (F.col("_i") % 3) * (width + 20)).cast("int").alias("x"), (F.col("y") + 40 + F.floor(F.col("_i") / 3) * (height + 20)).cast("int").alias("y"))
+
+
+def full_lines(nodes: DataFrame, edges: DataFrame, members: DataFrame, hyper: DataFrame | None = None, shown: int = 8) -> DataFrame:
+    """(ord, sub, line): the full report: the summary, then surprises with their reasons,
+    hyperedges, each community with its first ``shown`` members and its bridges, gaps and
+    suggested questions."""
+    names = name_communities(nodes, edges, members)
+    out = summary_lines(nodes, edges, members)
+    s = surprising(nodes, edges, members, reasons=True)
+    order = F.row_number().over(Window.orderBy(F.desc("score"), "source", "target"))  # five rows
+    out = out.unionByName(s.select(F.lit(8).alias("ord"), order.alias("sub"), F.format_string("- `%s` --%s--> `%s` [%s] (score %d: %s)", "source_label", F.coalesce("relation", F.lit("")), "target_label", "confidence", "score", F.array_join("reasons", ", ")).alias("line")))
+    if hyper is not None:
+        ranked = numbered(hyper.select("id", "members"), ["id"], "_n")
+        out = out.unionByName(ranked.select(F.lit(9).alias("ord"), F.col("_n").cast("int").alias("sub"), F.format_string("- **%s** — %s", "id", F.array_join("members", ", ")).alias("line")))
+    labelled = members.join(nodes.select("id", F.coalesce("label", "id").alias("l")), "id")
+    rank = F.row_number().over(Window.partitionBy("community").orderBy("id"))
+    some = labelled.withColumn("_r", rank).where(F.col("_r") <= shown).groupBy("community").agg(F.array_sort(F.collect_list(F.struct("_r", "l"))).alias("x"))
+    page = names.join(cohesion(members, edges), "community").join(some, "community")
+    more = F.when(F.col("members") > shown, F.format_string(" (+%d more)", F.col("members") - shown)).otherwise("")
+    text = F.concat(F.format_string("### %s: cohesion %.2f, %d members: ", "name", "cohesion", "members"), F.array_join(F.transform("x", lambda y: y["l"]), ", "), more)
+    out = out.unionByName(page.select(F.lit(10).alias("ord"), (4 * F.col("community")).cast("int").alias("sub"), text.alias("line")))
+    rank = F.row_number().over(Window.partitionBy("community").orderBy(F.desc("connected"), "id"))  # three rows each
+    out = out.unionByName(bridges(nodes, edges, members).select(F.lit(10).alias("ord"), (4 * F.col("community") + rank).cast("int").alias("sub"), F.format_string("  bridge: `%s` (%d communities)", "label", "connected").alias("line")))
+    g = gaps(nodes, edges, members)
+    lone = g.where("gap = 'isolated'").agg(F.count("*").alias("n")).where("n > 0")
+    lone = lone.select(F.lit(11).alias("ord"), F.lit(1).alias("sub"), F.format_string("- %d isolated nodes", "n").alias("line"))
+    thin = g.where("gap = 'thin community'").select(F.lit(11).alias("ord"), (F.expr("try_cast(ref as int)") + 2).alias("sub"), F.format_string("- thin community %s (%d nodes)", "ref", F.col("n").cast("int")).alias("line"))
+    vague = g.where("gap = 'ambiguous percent' and n > 20").select(F.lit(12).alias("ord"), F.lit(1).alias("sub"), F.format_string("- %.1f%% of the edges are uncertain", "n").alias("line"))
+    q = questions(nodes, edges, members).where("question is not null").select(F.lit(13).alias("ord"), F.col("ord").alias("sub"), F.concat_ws(" ", F.concat(F.lit("- **"), "question", F.lit("**")), "why").alias("line"))
+    for part in (lone, thin, vague, q):
+        out = out.unionByName(part)
+    return out
 
 
 def bridge_lines(nodes: DataFrame, edges: DataFrame, members: DataFrame) -> DataFrame:

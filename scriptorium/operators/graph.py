@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions.paths import stem_of
+from scriptorium.session import skew_lookup
 
 # fixed values: allowed values of a delivery
 NODE_TYPES = ("document", "concept")
@@ -33,12 +34,15 @@ def merge_nodes(nodes: DataFrame, last: bool = False) -> DataFrame:
 
 
 def build_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """At most one edge a (source, target), the last by ``seq``; edges with an end that is no node are dropped."""
+    """At most one edge a (source, target), the last by ``seq``; edges with an end that is no node
+    are dropped, a score that is not a number is null. One target may hold any share of the edges."""
+    if "confidence_score" in edges.columns:
+        edges = edges.withColumn("confidence_score", F.when(~F.isnan("confidence_score"), F.col("confidence_score")))
     rest = [c for c in edges.columns if c not in ("source", "target")]
     rows = edges.where("source is not null and target is not null").groupBy("source", "target").agg(
         F.max_by(F.struct(*rest), F.struct("seq", F.coalesce("relation", F.lit("")))).alias("_e"))
-    ids = nodes.select("id")
-    rows = rows.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+    for end in ("source", "target"):
+        rows = skew_lookup(rows, nodes.select(F.col("id").alias(end)), end)
     return rows.select("source", "target", *[F.col("_e")[c].alias(c) for c in rest])
 
 
@@ -61,7 +65,7 @@ def redirect_edges(edges: DataFrame, redirect: DataFrame) -> DataFrame:
     """Edges with ends rewritten by (id, to); loops and later repeats of (source, target, relation) go."""
     a = redirect.select(F.col("id").alias("source"), F.col("to").alias("_s"))
     b = redirect.select(F.col("id").alias("target"), F.col("to").alias("_t"))
-    rows = edges.where("source <> '' and target <> ''").join(a, "source", "left").join(b, "target", "left")
+    rows = skew_lookup(skew_lookup(edges.where("source <> '' and target <> ''"), a, "source", "left"), b, "target", "left")
     rows = rows.withColumn("source", F.coalesce("_s", "source")).withColumn("target", F.coalesce("_t", "target")).drop("_s", "_t").where("source <> target")
     rest = [c for c in edges.columns if c not in ("source", "target", "relation")]
     first = rows.groupBy("source", "target", "relation").agg(F.min_by(F.struct(*rest), "seq").alias("_e"))
@@ -107,9 +111,13 @@ def merge_aliases(nodes: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFr
     return merged.unionByName(rest.select(*merged.columns)), moved
 
 
-def orphans(nodes: DataFrame, edges: DataFrame, stems: DataFrame) -> DataFrame:
-    """(id, label): concept nodes without a file, without an edge, and whose label is no page's stem."""
-    ends = edges.select(F.col("source").alias("id")).union(edges.select("target")).where("id is not null").distinct()
+def orphans(nodes: DataFrame, edges: DataFrame, stems: DataFrame, hyper: DataFrame | None = None) -> DataFrame:
+    """(id, label): concept nodes without a file, without an edge, in no hyperedge, and whose
+    label is no page's stem."""
+    ends = edges.select(F.col("source").alias("id")).union(edges.select("target"))
+    if hyper is not None:
+        ends = ends.union(hyper.select(F.explode("members")))
+    ends = ends.where("id is not null").distinct()
     rows = nodes.where("file_type = 'concept' and (source_file is null or source_file = '')")
     rows = rows.join(ends, "id", "left_anti").join(stems.select(F.col("stem").alias("label")).distinct(), "label", "left_anti")
     return rows.select("id", "label")
@@ -122,6 +130,56 @@ def without(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFr
     return nodes.join(ids, "id", "left_anti"), left
 
 
+def shrunk(hyper: DataFrame, gone: DataFrame, least: int = 2) -> DataFrame:
+    """Hyperedges without some nodes (id), order kept; those under ``least`` members are dropped.
+    Members that are null are dropped as well."""
+    rows = hyper.select("id", F.posexplode("members").alias("pos", "m")).where("m is not null")
+    left = rows.join(gone.select(F.col("id").alias("m")), "m", "left_anti").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("_m"))
+    out = left.select("id", F.transform("_m", lambda x: x["m"]).alias("members")).where(F.size("members") >= least)
+    return out.withColumn("member_count", F.size("members"))
+
+
+def attach(hyper: DataFrame, more: DataFrame) -> DataFrame:
+    """The hyperedges (id, members) and those of ``more`` with an id that is not among them, the
+    first in plain order of members where an id comes twice."""
+    new = more.where("id is not null and id <> ''").groupBy("id").agg(F.min("members").alias("members"))
+    both = hyper.select("id", "members").unionByName(new.join(hyper.select("id"), "id", "left_anti"))
+    return both.withColumn("member_count", F.size("members"))
+
+
+def hyper_issues(hyper: DataFrame, nodes: DataFrame, least: int = 2) -> DataFrame:
+    """(issue, ref): hyperedges without an id, with too few members, or with members that are no nodes."""
+    rows = hyper.select("id", "members").distinct()
+    ref = F.coalesce("id", F.lit("")).alias("ref")
+    checks = F.array_compact(F.array(F.when(F.coalesce("id", F.lit("")) == "", "hyperedge id missing"), F.when(F.coalesce(F.size("members"), F.lit(0)) < least, "hyperedge too small")))
+    one = rows.select(F.explode(checks).alias("issue"), ref)
+    ids = nodes.where("id is not null").select(F.col("id").alias("m")).distinct()
+    loose = rows.select("id", F.explode("members").alias("m")).join(ids, "m", "left_anti").select(F.lit("hyperedge member unknown").alias("issue"), ref).distinct()
+    return one.unionByName(loose)
+
+
+def summary(issues_: DataFrame) -> DataFrame:
+    """(issue, n): how many rows of each issue, none where there are none."""
+    return issues_.groupBy("issue").agg(F.count("*").alias("n"))
+
+
+def assert_valid(issues_: DataFrame, shown: int = 20) -> None:
+    """ValueError if there is an issue; it counts all and names the first ``shown``."""
+    counts = {r["issue"]: r["n"] for r in summary(issues_).orderBy("issue").collect()}  # one row a kind of issue
+    if counts:
+        some = [f"{r['issue']}: {r['ref']}" for r in issues_.orderBy("issue", "ref").limit(shown).collect()]
+        raise ValueError(f"{sum(counts.values())} issues ({', '.join(f'{k}: {n}' for k, n in counts.items())})\n" + "\n".join(some))
+
+
+def pruned(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
+    """(edges whose ends are both nodes, how many were not)."""
+    ids = nodes.where("id is not null").select("id").distinct()
+    left = edges
+    for end in ("source", "target"):
+        left = skew_lookup(left, ids.withColumnRenamed("id", end), end)
+    return left.select(*edges.columns), edges.count() - left.count()
+
+
 def duplicates(stems: DataFrame, names: DataFrame, nodes: DataFrame, edges: DataFrame, least: float = 0.85) -> DataFrame:
     """(canonical_name, duplicate, source): pages that may be one concept: a stem that is an
     alias of another name; or two stems joined by a similar edge, the shorter label first

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions.pages import body_of, wikilinks
-from scriptorium.functions.paths import file_class, in_noise, is_ignored, is_secret, name_of, stem_of
+from scriptorium.functions.paths import file_class, in_noise, is_ignored, is_secret, is_skipped, name_of, stem_of
+from scriptorium.operators.contains import containing
 from scriptorium.session import skew_lag, skew_lookup
 
+STATUSES = ("new", "updated", "skipped", "failed")
 MIN_CHARS = 50
 MAX_FILES, MAX_WORDS = 200, 2_000_000
+# fixed values: words from which a graph pays, and from which it costs much
+GRAPH_WORDS, COSTLY_WORDS = 50_000, 500_000
 
 
 def scan(spark: SparkSession, folder: str) -> DataFrame:
@@ -18,12 +22,14 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
 
 
-def classify(files: DataFrame, path: str = "path", ignore: list[str] | None = None, cloud: bool = False) -> DataFrame:
+def classify(files: DataFrame, path: str = "path", ignore: list[str | tuple[str, str]] | None = None, cloud: bool = False, wide: bool = False) -> DataFrame:
     """The files with ``file_type`` and ``status``: taken, or why not (noise, sensitive,
-    ignored, unsupported), tested in this order. A null path is unsupported."""
+    ignored, unsupported), tested in this order. A null path is unsupported. ``wide`` takes
+    the longer list of folders and the generated files for noise as well."""
     kind = file_class(path)
+    noise = in_noise(path, wide) | is_skipped(path) if wide else in_noise(path)
     status = (
-        F.when(F.col(path).isNull(), "unsupported").when(in_noise(path), "noise").when(is_secret(path, cloud), "sensitive")
+        F.when(F.col(path).isNull(), "unsupported").when(noise, "noise").when(is_secret(path, cloud), "sensitive")
         .when(is_ignored(path, ignore or []), "ignored").when(kind.isNull(), "unsupported").otherwise("taken")
     )
     return files.select("*", kind.alias("file_type"), status.alias("status"))
@@ -39,6 +45,14 @@ def corpus_summary(classified: DataFrame, words: Column | None = None) -> DataFr
     return out.withColumn("warning", warning)
 
 
+def graph_advice(classified: DataFrame, words: Column) -> DataFrame:
+    """(files, words, needs_graph, warning): one row for a scan by the wide rule."""
+    taken = F.col("status") == "taken"
+    out = classified.agg(F.coalesce(F.sum(taken.cast("long")), F.lit(0)).alias("files"), F.coalesce(F.sum(F.when(taken, words)), F.lit(0)).cast("long").alias("words"))
+    warning = F.when(F.col("words") < GRAPH_WORDS, "a graph may not be needed").when((F.col("words") >= COSTLY_WORDS) | (F.col("files") >= MAX_FILES), "a large corpus")
+    return out.select("files", "words", (F.col("words") >= GRAPH_WORDS).alias("needs_graph"), warning.alias("warning"))
+
+
 def changes(now: DataFrame, before: DataFrame, key: str = "path", stamp: str = "modified") -> DataFrame:
     """(key, change): new where the manifest lacks it or is older, deleted where only the
     manifest has it, else unchanged. One row a key of each side is expected."""
@@ -95,34 +109,47 @@ def stem_index(sources: DataFrame) -> DataFrame:
     return rows.groupBy("stem").agg(F.array_sort(F.collect_set("sha256")).alias("shas"))
 
 
+def probe(index: DataFrame, asked: DataFrame) -> DataFrame:
+    """(stem, sha256, others): the hashes a stem index (stem, shas) knows for each asked (stem,
+    sha256) beside its own; empty where there are none."""
+    rows = asked.select("stem", "sha256").where("stem <> ''").distinct()
+    own = F.filter("shas", lambda x: ~x.eqNullSafe(F.col("sha256")))
+    return skew_lookup(rows, index.select("stem", "shas"), "stem", "left").select("stem", "sha256", F.coalesce(own, F.array().cast("array<string>")).alias("others"))
+
+
+def report_lines(classes: DataFrame, shown: int = 1_000) -> DataFrame:
+    """(ord, sub, line): an ingest told: the number of files of each class, then the files of
+    each class by name, at most ``shown`` a class and a count of the rest. ``classes``:
+    (original_filename, sha256, status, replaces)."""
+    order = F.array(*map(F.lit, STATUSES))
+    rows = classes.select("status", "original_filename", "sha256", "replaces").distinct()
+    head = rows.agg(F.concat_ws("  ", *[F.concat(F.lit(f"{s}="), F.sum((F.col("status") == s).cast("long")).cast("string")) for s in STATUSES]).alias("line"))
+    head = head.select(F.lit(0).alias("ord"), F.lit(0).cast("long").alias("sub"), F.coalesce("line", F.lit("")).alias("line"))
+    text = F.concat_ws("  ", F.concat(F.lit("- "), F.coalesce("original_filename", F.lit(""))), F.concat(F.lit("sha="), F.substring("sha256", 1, 12)), F.concat(F.lit("old="), F.substring("replaces", 1, 12)))
+    named = rows.select(F.array_position(order, F.col("status")).cast("int").alias("ord"), text.alias("line"))
+    ends = [named.where(F.col("ord") == k + 1).orderBy("line").limit(shown) for k in range(len(STATUSES))]
+    some = ends[0]
+    for x in ends[1:]:
+        some = some.unionByName(x)
+    some = some.select("ord", F.row_number().over(Window.partitionBy("ord").orderBy("line")).cast("long").alias("sub"), "line")
+    more = named.groupBy("ord").agg(F.count("*").alias("n")).where(F.col("n") > shown)
+    more = more.select("ord", F.lit(shown + 1).cast("long").alias("sub"), F.format_string("- and %d more", F.col("n") - shown).alias("line"))
+    return head.unionByName(some).unionByName(more)
+
+
 def find_records(sources: DataFrame, needle: str) -> DataFrame:
     """Rows whose file name contains the needle, case aside; an empty needle finds none."""
     return sources.where(F.lit(needle != "") & F.contains(F.lower("original_filename"), F.lit(needle.lower())))
 
 
 def conflicts(inbox: DataFrame, sources: DataFrame, path: str = "path") -> DataFrame:
-    """(path, original_filename): known names that contain the stem of a file in the inbox.
-    The inbox is a set of queries streamed against all sources in blocks."""
+    """(path, original_filename): known names that contain the stem of a file in the inbox, met
+    by the rarest run of the stem."""
     asked = inbox.select(F.col(path).alias("path"), F.lower(stem_of(path)).alias("_stem")).where("_stem <> ''").distinct()
     names = sources.where("original_filename is not null").select("original_filename").distinct()
-    # a name that contains a stem has the stem's first three letters (or all it has) at some position
-    def grams(n: int) -> Column:
-        at = F.sequence(F.lit(1), F.greatest(F.length("_l") - (n - 1), F.lit(1)))
-        return F.array_distinct(F.transform(at, lambda k: F.substring(F.col("_l"), k, F.lit(n))))
-
-    names = names.withColumn("_l", F.lower("original_filename"))
-    found = None
-    for n in (1, 2, 3):
-        some = asked.where(F.length("_stem") == n if n < 3 else F.length("_stem") >= 3).withColumn("_g", F.substring("_stem", 1, n))
-        part = some.join(names.withColumn("_g", F.explode(grams(n))), "_g").where(F.contains("_l", "_stem")).select("path", "original_filename")
-        found = part if found is None else found.unionByName(part)
-    return found.distinct()
-
-
-def removal_plan(sources: DataFrame, pages: DataFrame, sha: str) -> DataFrame:
-    """(sha256, article, title): the pages made from one source that would go."""
-    made = sources.where(F.col("sha256") == sha).select("sha256", F.explode("generated_pages").alias("article")).distinct()
-    return made.join(pages.select(F.col("path").alias("article"), "title"), "article", "left")
+    found = containing(asked.select(F.col("_stem").alias("needle")), names.select(F.lower("original_filename").alias("hay")))
+    named = names.select("original_filename", F.lower("original_filename").alias("hay"))
+    return asked.join(found.withColumnRenamed("needle", "_stem"), "_stem").join(named, "hay").select("path", "original_filename").distinct()
 
 
 def removal(sources: DataFrame, gone: DataFrame, tasks: DataFrame, pages: DataFrame, text: str = "text") -> DataFrame:
@@ -137,9 +164,11 @@ def removal(sources: DataFrame, gone: DataFrame, tasks: DataFrame, pages: DataFr
     open_ = tasks.join(keys, "sha256", "left_semi").select("sha256", F.lit("task").alias("kind"), F.concat_ws("/", "status", "task_id").alias("ref"))
     titles = made.select("sha256", stem_of("ref").alias("title")).distinct()
     links = pages.select("path", F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"\[\[([^\[\]\n]+)\]\]"), F.lit(1)))).alias("title"))
-    odd = titles.where(F.col("title").rlike(r"[\[\]\n]"))  # titles that the pattern can't hold are looked for one by one
+    # titles that the pattern can't hold are looked for as strings
+    odd = titles.where(F.col("title").rlike(r"[\[\]\n]")).withColumn("needle", F.concat(F.lit("[["), "title", F.lit("]]")))
+    held = containing(odd, pages.select(F.col(text).alias("hay")))
     told = links.join(titles, "title").select("sha256", "path").unionByName(
-        pages.join(odd, F.contains(F.col(text), F.concat(F.lit("[["), "title", F.lit("]]")))).select("sha256", "path"))
+        odd.join(held, "needle").join(pages.select("path", F.col(text).alias("hay")), "hay").select("sha256", "path"))
     out = made.select("sha256", F.lit("article").alias("kind"), "ref").unionByName(kept).unionByName(open_)
     return out.unionByName(told.select("sha256", F.lit("mention").alias("kind"), F.col("path").alias("ref"))).distinct()
 
@@ -155,6 +184,17 @@ def split_cached(files: DataFrame, cache: DataFrame, key: str = "cache_key") ->
     return files.join(keys, key, "left_semi"), files.join(keys, key, "left_anti")
 
 
+def verify_tasks(sources: DataFrame, contents: DataFrame, tasks: DataFrame) -> DataFrame:
+    """(check, ref): what is wrong around the sources: none at all, hashes without structure
+    (no headings array), tasks of a hash that is not known or without one."""
+    none = sources.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("no sources").alias("check"), F.lit("").alias("ref"))
+    known = sources.where("sha256 is not null").select("sha256").distinct()
+    built = contents.where("headings is not null").select("sha256").distinct()
+    bare = known.join(built, "sha256", "left_anti").select(F.lit("structure missing").alias("check"), F.col("sha256").alias("ref"))
+    loose = tasks.join(known, "sha256", "left_anti").select(F.lit("task of an unknown source").alias("check"), F.coalesce("task_id", F.lit("")).alias("ref")).distinct()
+    return none.unionByName(bare).unionByName(loose)
+
+
 def verify_ingest(sources: DataFrame, contents: DataFrame) -> DataFrame:
     """(check, ref, n): what is wrong with the sources; no rows if nothing is."""
     has = contents.where("sha256 is not null").groupBy("sha256").agg(F.max(F.length(F.trim(F.coalesce("content_md", F.lit(""))))).alias("_chars"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.functions.paths import stem_of
 from scriptorium.operators import graph
 
 
@@ -34,3 +35,16 @@ def verify_index(index: DataFrame, pages: DataFrame) -> DataFrame:
     blank = index.where("summary is null or trim(summary) = ''").select(F.lit("summary missing").alias("check"), F.col("name").alias("ref"))
     below = index.where("article_count < 0").select(F.lit("count negative").alias("check"), F.col("name").alias("ref"))
     return none.unionByName(blank).unionByName(below)
+
+
+def verify_wiki(articles: DataFrame, concepts: DataFrame, index: DataFrame, tasks: DataFrame) -> DataFrame:
+    """(check, ref) of a compiled knowledge base: no articles, no concepts, no index; concept
+    pages named after an article (stem ends with ``_concepts``); tasks that are not ended.
+    ``articles`` and ``concepts``: (path)."""
+    out = None
+    for name, df in (("articles", articles), ("concepts", concepts), ("concept index", index)):
+        part = df.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("nothing there").alias("check"), F.lit(name).alias("ref"))
+        out = part if out is None else out.unionByName(part)
+    named = concepts.where(stem_of("path").endswith("_concepts")).select(F.lit("page named after an article").alias("check"), F.col("path").alias("ref")).distinct()
+    left = tasks.where(F.col("status").isin("pending", "processing")).select(F.lit("task not ended").alias("check"), F.col("task_id").alias("ref")).distinct()
+    return out.unionByName(named).unionByName(left)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import pages, paths
-from scriptorium.operators import analytics, backfill, compiling, concepts, exports, graph, ingest, logs, louvain, retrieval, structure, verify
+from scriptorium.operators import analytics, backfill, compiling, concepts, exports, graph, ingest, logs, louvain, retrieval, structure, verify, writing
 from scriptorium.session import cut, table
 from scriptorium.streaming import jobs
 
@@ -17,6 +17,19 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
+def over_groups(sql: str):
+    """A query over the communities, and, under the name with ``_groups``, the same over given
+    groups, which have SQL; SQL can't say the communities."""
+
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, d: f(*_settled(spark, d))
+        QUERIES[f.__name__ + "_groups"] = lambda spark, d: f(*_grouped(spark, d))
+        SQL[f.__name__ + "_groups"] = sql
+        return f
+
+    return add
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -33,45 +46,39 @@ def query(sql: str | None = None):
 NODES = """n as (select id, label, file_type, source_file from (
     select *, row_number() over (partition by id order by coalesce(label, '') = '', label nulls first, file_type nulls first, source_file nulls first) as k
     from nodes where id is not null and id <> '') where k = 1)"""
-EDGES = """e as (select source, target, relation, confidence, confidence_score, seq from (
+EDGES = """e as (select source, target, relation, confidence, case when not isnan(confidence_score) then confidence_score end as confidence_score, seq from (
     select *, row_number() over (partition by source, target order by seq desc, coalesce(relation, '') desc) as k
     from edges where source in (select id from n) and target in (select id from n)) where k = 1)"""
 DEG = """deg as (select n.id, count(x.id) as degree from n left join (select source as id from e union all select target from e) x using (id) group by n.id)"""
 GRAPH = f"{NODES}, {EDGES}, {DEG}"
-LINKS = """links as (select source as a, target as b from e where source <> target union select target, source from e where source <> target
-    union select id, id from n), l0 as (select id, id as label from n)"""
+# groups that SQL can follow: nodes of one type whose labels begin alike
+MEMBERS = """k0 as (select id, coalesce(file_type, '') || '|' || coalesce(substr(label, 1, 2), '') as label from n),
+sz as (select label, row_number() over (order by count(*) desc, min(id)) - 1 as community from k0 group by label),
+m as (select id, community from k0 join sz using (label))"""
 
 
-def _rounds(n: int) -> str:
-    out = ""
-    for k in range(1, n + 1):
-        out += f""", v{k} as (select a as id, label, count(*) as c from links join l{k - 1} on l{k - 1}.id = b group by a, label),
-l{k} as (select id, label from (select *, row_number() over (partition by id order by c desc, label) as k from v{k}) where k = 1)"""
-    return out
-
-
-MEMBERS = LINKS + _rounds(2) + """, sz as (select label, row_number() over (order by count(*) desc, min(id)) - 1 as community from l2 group by label),
-m as (select id, community from l2 join sz using (label))"""
+_LEVEL = "lv{k} as (select name, min(community) as community from (select community, array_to_string(labels[1:{k}], ' / ') as name from lf{p} where len(labels) >= {k}) group by name), lf{k} as (select * from lf{p} where community not in (select community from lv{k}))"
+NAMES = """p as (select m.community, n.label, n.file_type, row_number() over (partition by m.community order by case when file_type = 'concept' then 0 else 1 end, degree desc, n.id) as r from m join n using (id) join deg using (id) where label <> ''),
+p4 as (select *, max(cast(file_type = 'concept' as int)) over (partition by community) as conc from p where r <= 4),
+lf0 as (select community, list(label order by r) as labels from p4 where coalesce(conc, 0) = 0 or file_type = 'concept' group by community), """ + ", ".join(_LEVEL.format(k=k, p=k - 1) for k in range(1, 5)) + """,
+nm as (select c.community, coalesce(f.name, '社区' || c.community) as name, c.n from (select community, count(*) as n from m group by 1) c
+    left join (""" + " union all ".join(f"from lv{k}" for k in range(1, 5)) + ") f using (community))"
 
 
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return graph.build(table(spark, d, "nodes"), table(spark, d, "edges").distinct())
 
 
-def _members(n: DataFrame, e: DataFrame) -> DataFrame:
-    """Two rounds of label propagation: what SQL can follow."""
-    return analytics.number(analytics.label_rounds(n, e, 2))
-
-
-def _whole(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The graph and the communities of the SQL, for queries that have SQL over them."""
+def _grouped(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The graph and given groups of its nodes, for queries that have SQL over them."""
     n, e = _graph(spark, d)
     n, e = cut(n), cut(e)
-    return n, e, cut(_members(n, e))
+    labels = n.select("id", F.concat_ws("|", F.coalesce("file_type", F.lit("")), F.coalesce(F.substring("label", 1, 2), F.lit(""))).alias("label"))
+    return n, e, cut(analytics.number(labels))
 
 
 def _settled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The graph and its communities by the whole rule, for queries whose SQL doesn't fix them."""
+    """The graph and its communities by the whole rule."""
     n, e = _graph(spark, d)
     n, e = cut(n), cut(e)
     return n, e, cut(louvain.clusters(n, e))
@@ -165,10 +172,16 @@ def structure_key_terms(spark, d):
     return structure.key_terms(table(spark, d, "documents"))
 
 
-@query()
+def _count(name: str, out: str) -> str:
+    return f"(select doc_id, count(*) as {out} from ({SQL[name]}) group by 1)"
+
+
+@query(f"""select d.doc_id, {', '.join(f'coalesce({x}, 0) as {x}' for x in ('headings', 'tables', 'lists', 'metrics', 'key_terms'))}
+from (select distinct doc_id from documents where text is not null) d {' '.join(f'left join {_count("structure_" + x, x)} using (doc_id)' for x in ('headings', 'tables', 'lists', 'metrics', 'key_terms'))}""")
 def structure_nested(spark, d):
-    """Everything of a document in one row."""
-    return structure.structure(table(spark, d, "documents"))
+    """How much of each kind the nested structure of a document holds."""
+    parts = ("headings", "tables", "lists", "metrics", "key_terms")
+    return structure.structure(table(spark, d, "documents")).select("doc_id", *[F.coalesce(F.size(x), F.lit(0)).cast("long").alias(x) for x in parts])
 
 
 # ---- ingest
@@ -240,13 +253,6 @@ def ingest_trace(spark, d):
     return retrieval.trace(s, s.select(F.explode("generated_pages").alias("article")))
 
 
-@query("""select sha256, 'articles/' || a as article, null::varchar as title from (select 1) t, (select '' as sha256, '' as a) where false""")
-def ingest_removal_none(spark, d):
-    """A removal plan for a hash that is not known is empty."""
-    s = table(spark, d, "source_map")
-    return ingest.removal_plan(s, table(spark, d, "nodes").select(F.col("source_file").alias("path"), F.col("label").alias("title")), "0" * 64)
-
-
 @query(rf"""with g as (select distinct sha256 from source_map where batch_id = 1 and sha256 is not null), s as (select * from source_map where sha256 in (select sha256 from g)),
 a as (select distinct sha256, unnest(generated_pages) as ref from s), t as (select distinct sha256, {STEM_OF('ref')} as title from a where ref is not null),
 k as (select sha256, max(coalesce(len(generated_pages) > 0, false)) as done from s group by 1),
@@ -262,6 +268,43 @@ def ingest_removal(spark, d):
     return ingest.removal(s, s.where("batch_id = 1"), compiling.tasks(s), texts.where("path is not null"))
 
 
+@query(f"""with ix as ({SQL['ingest_stem_index']}), q as (select distinct {STEM} as stem, sha256 from source_map where batch_id > 0 and {STEM} <> '')
+select stem, sha256, coalesce(list_filter(shas, lambda x: x is distinct from sha256), []) as others from q left join ix using (stem)""")
+def ingest_probe(spark, d):
+    """Other hashes known under the stem of each later upload."""
+    s = table(spark, d, "source_map")
+    return ingest.probe(ingest.stem_index(s), s.where("batch_id > 0").select(paths.stem_of("original_filename").alias("stem"), "sha256"))
+
+
+@query(f"""with c as (select distinct k.status, original_filename, k.sha256, replaces from ({SQL['ingest_classify']}) k join (select distinct upload_id, original_filename from source_map) using (upload_id)),
+o as (select list_position({list(ingest.STATUSES)}, status) as ord, concat_ws('  ', '- ' || coalesce(original_filename, ''), 'sha=' || sha256[1:12], 'old=' || replaces[1:12]) as line from c)
+select 0 as ord, 0 as sub, concat_ws('  ', {', '.join(f"'{x}=' || count(*) filter (status = '{x}')" for x in ingest.STATUSES)}) as line from c
+union all select ord, sub, line from (select *, row_number() over (partition by ord order by line) as sub from o) where sub <= 1000
+union all select ord, 1001, '- and ' || (count(*) - 1000) || ' more' from o group by ord having count(*) > 1000""")
+def ingest_report(spark, d):
+    """The ingest of all later uploads, told."""
+    names = table(spark, d, "source_map").select("upload_id", "original_filename").distinct()
+    return ingest.report_lines(ingest_classify(spark, d).join(names, "upload_id"))
+
+
+@query(f"""with s as (select distinct sha256 from source_map where sha256 is not null), t as (select sha256[1:8] || '_x' as task_id, sha256 from structure where sha256 is not null)
+select 'structure missing' as "check", sha256 as ref from s where sha256 not in (select sha256 from structure where headings is not null and sha256 is not null)
+union select 'task of an unknown source', task_id from t where sha256 not in (from s)""")
+def ingest_verify_tasks(spark, d):
+    """Hashes without structure, and tasks of unknown hashes (here one for each text)."""
+    texts = table(spark, d, "structure")
+    tasks = texts.where("sha256 is not null").select(F.concat(F.substring("sha256", 1, 8), F.lit("_x")).alias("task_id"), "sha256")
+    return ingest.verify_tasks(table(spark, d, "source_map"), texts, tasks)
+
+
+@query("""with w as (select len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) as words from documents where text is not null)
+select count(*) as files, coalesce(sum(words), 0)::bigint as words, coalesce(sum(words), 0) >= 50000 as needs_graph, case when coalesce(sum(words), 0) < 50000 then 'a graph may not be needed' when sum(words) >= 500000 or count(*) >= 200 then 'a large corpus' end as warning from w""")
+def scan_advice(spark, d):
+    """Whether the corpus is worth a graph."""
+    rows = table(spark, d, "documents").where("text is not null").select(F.lit("taken").alias("status"), "text")
+    return ingest.graph_advice(rows, pages.words_of("text"))
+
+
 # ---- compile phase
 
 @query("""select sha256[1:8] || '_compile_wiki' as task_id, sha256, f.raw_path as raw_path, 'pending' as status, f.uploaded_at as enqueued_at from (
@@ -316,12 +359,6 @@ def compile_risk(spark, d):
     return compiling.risk(compiling.articles(table(spark, d, "documents")), table(spark, d, "concepts_index"))
 
 
-@query()
-def compile_pages(spark, d):
-    """The page of every concept that articles name."""
-    return compiling.compiled_pages(compiling.articles(table(spark, d, "documents")), concepts.reduce_index(table(spark, d, "concepts_index")))
-
-
 @query("select source, count(*) as documents, sum(cast(floor(length(text) / 2.5) as bigint)) as tokens from documents where text is not null group by 1")
 def compile_costs(spark, d):
     rows = table(spark, d, "documents").where("text is not null")
@@ -367,6 +404,148 @@ def concepts_match(spark, d):
     return concepts.match_terms(terms, concepts.reduce_index(table(spark, d, "concepts_index")), "struct_id")
 
 
+_ITEMS = "list_filter(list_transform(string_split(c, ','), lambda x: trim(x)), lambda x: x <> '')"
+_NL = "chr(10)"
+
+
+@query(rf"""with {FM}, {REDUCED}, t as (select unnest({_ITEMS}) as name, case when block <> '' and t <> '' then trim(trim(t), '"') else regexp_extract(text, '(?m)^#[ ]+(.+?)\s*$', 1) end as title from f),
+r2 as (select name, list_sort(list(distinct title)) as related from t where title <> '' and name <> '' group by 1)
+select 'concepts/' || substr(trim(regexp_replace(r2.name, '[\\/*?:"<>|]', '', 'g'), ' '), 1, 80) || '.md' as file, r2.name as name, len(related) as articles,
+concat_ws({_NL} || {_NL}, concat_ws({_NL}, '---', 'name: ' || r2.name, 'aliases: [' || array_to_string(coalesce(aliases, []), ', ') || ']', 'doc_type: concept', 'concept_kind: other', 'summary: ' || coalesce(summary, ''), '---'),
+'# ' || r2.name, coalesce(summary, ''), '## Related articles' || {_NL} || {_NL} || array_to_string(list_transform(related, lambda x: '- [[' || x || ']]'), {_NL})) as body from r2 left join idx on idx.name = r2.name""")
+def compile_pages(spark, d):
+    """The page of every concept that articles name."""
+    return compiling.compiled_pages(compiling.articles(table(spark, d, "documents")), concepts.reduce_index(table(spark, d, "concepts_index")))
+
+
+# ---- the write step
+
+_SECTIONS = " ".join(f"when '{k}' then {list(v)}" for k, v in writing.SECTIONS.items())
+
+
+@query(rf"""with {FM} select doc_id, unnest(case {_VALUE('doc_type')} {_SECTIONS} else {list(writing.SECTIONS['solution'])} end) as section from f""")
+def compile_sections(spark, d):
+    """The headings an article of each text's type has."""
+    fm = compiling.articles(table(spark, d, "documents"))
+    return fm.select("doc_id", F.explode(writing.sections_of(F.coalesce(F.col("fm")["doc_type"], F.lit("")))).alias("section"))
+
+
+_Q = lambda k, c: f"'{k}: \"' || coalesce({c}, '') || '\"'"
+_L = lambda k, c: f"'{k}: [' || array_to_string(list_transform(coalesce({c}, []), lambda x: '\"' || coalesce(x, '') || '\"'), ', ') || ']'"
+
+
+@query(f"""select distinct page_id, concat_ws({_NL}, '---', {_Q('title', 'name')}, 'doc_type: solution', {_L('domain', "case when subject_area is null then [null] else [subject_area] end")}, 'topic: []', 'region: ""', 'customer: ""', 'customer_type: ""',
+'source_sha256: ""', 'concepts: []', {_L('aliases', 'aliases')}, 'created_at: "2024-01-02"', {_Q('compiled_by', 'compiled_by')}, 'confidence: 0.9', {_Q('tldr', 'summary')}, '---') as head from concept_pages""")
+def compile_heads(spark, d):
+    """The frontmatter of an article for each page's fields."""
+    values = {"title": F.col("name"), "domain": F.array("subject_area"), "aliases": F.col("aliases"), "compiled_by": F.col("compiled_by"), "tldr": F.col("summary")}
+    return table(spark, d, "concept_pages").select("page_id", writing.article_head(values, F.lit("2024-01-02").cast("date")).alias("head")).distinct()
+
+
+def _deliveries(spark: SparkSession, d: str) -> DataFrame:
+    """Every text as an agent would deliver it, with the concepts its frontmatter names."""
+    rows = compiling.articles(table(spark, d, "documents")).join(table(spark, d, "documents").select("doc_id", "text").distinct(), "doc_id")
+    none, listed = F.lit(None).cast("string"), F.array().cast("array<string>")
+    concept = lambda x: F.struct(x.alias("name"), none.alias("summary"), listed.alias("aliases"), listed.alias("domain"), none.alias("concept_kind"),
+                                 F.lit(None).cast("array<struct<heading: string, content: string>>").alias("sections"))
+    return rows.select(F.concat(F.lit("doc_"), "doc_id").alias("task_id"), F.sha2("text", 256).alias("sha256"), "title", "text", "confidence", F.length("text").cast("long").alias("input_chars"), F.transform("concepts", concept).alias("concepts"))
+
+
+def _written(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The write step over the contents, as if an agent had delivered each with its key terms as concepts."""
+    none, listed = F.lit(None).cast("string"), F.array().cast("array<string>")
+    concept = lambda x: F.struct(x.alias("name"), none.alias("summary"), listed.alias("aliases"), listed.alias("domain"), none.alias("concept_kind"),
+                                 F.lit(None).cast("array<struct<heading: string, content: string>>").alias("sections"))
+    rows = table(spark, d, "structure").select("struct_id", "sha256", "content_md", "key_terms").distinct()
+    title = F.concat(F.lit("Text "), "struct_id")
+    values = {"title": title, "source_sha256": F.col("sha256"), "concepts": F.col("key_terms"), "compiled_by": F.lit("agent"), "tldr": F.lit("a text delivered with its key terms")}
+    text = F.concat_ws("\n\n", writing.article_head(values, F.lit("2024-01-02").cast("date")), "content_md")
+    given = rows.select(F.concat(F.lit("text_"), "struct_id").alias("task_id"), "sha256", title.alias("title"), text.alias("text"), F.when(F.col("struct_id") % 2 == 0, 0.9).otherwise(0.6).alias("confidence"),
+                        F.length("content_md").cast("long").alias("input_chars"), F.transform("key_terms", concept).alias("concepts"))
+    index = concepts.reduce_index(table(spark, d, "concepts_index")).select("name").union(rows.where("struct_id % 3 = 0").select(F.explode("key_terms")))
+    pages = table(spark, d, "concept_pages").select("path", F.coalesce("summary", F.lit("")).alias("text"))
+    return writing.write(given, index, pages, F.lit("2024-01-02").cast("date"))
+
+
+GATED = rf"""{FM}, gt as (select 'doc_' || doc_id as task_id, text, block, {_ITEMS} as cs from f),
+bad as (select task_id, 'fewer than three concepts' as issue from gt where len(cs) < 3 {''.join(f" union select task_id, '{k} missing' from gt where not {_HAS[k]}" for k in compiling.ARTICLE_FIELDS)}
+{''.join(f" union select task_id, '{k} empty' from gt where {_HAS[k]} and {_VALUE(k)} = ''" for k in ('title', 'doc_type'))})"""
+# every other text is sure enough; what every third text names is taken for known
+GIVEN = r"""dl as (select distinct struct_id, sha256, key_terms, content_md from structure), kn as (select name from concepts_index where name is not null union select unnest(key_terms) from dl where struct_id % 3 = 0),
+ok as (select *, 'text_' || struct_id as task_id from dl where len(list_filter(key_terms, lambda x: x <> '')) >= 3),
+each as (select task_id, struct_id, sha256, unnest(key_terms) as name, generate_subscripts(key_terms, 1) as pos from ok),
+w as (select *, 'concepts/' || regexp_replace(name, '[\\/*?:"<>|]', '', 'g') || '.md' as path from each where name <> '')"""
+
+
+@query(f"with {GATED} select * from bad")
+def compile_write_issues(spark, d):
+    """Why deliveries are not written."""
+    return writing.gate(_deliveries(spark, d))
+
+
+@query(f"""with {GIVEN}, nw as (select task_id, max(sha256) as sha256, max(struct_id) as struct_id, count(*) filter (name not in (from kn where name is not null)) as k from w group by 1)
+select task_id, sha256, case when k > 0 or struct_id % 2 <> 0 then 'review' else 'done' end as status from nw""")
+def compile_write_tasks(spark, d):
+    """The state of the tasks that are written."""
+    return _written(spark, d)["tasks"]
+
+
+@query(f"""with {GIVEN} select path, arg_min(name, task_id || lpad(cast(pos as varchar), 6, '0')) as name, path not in (select path from concept_pages where path is not null) as created from w group by path""")
+def compile_write_pages(spark, d):
+    """The concept pages that are made or added to."""
+    return _written(spark, d)["concepts"].select("path", "name", "created")
+
+
+@query(f"""with {GIVEN} select task_id, row_number() over (order by task_id, pos, name) as seq, name, path from w""")
+def compile_write_partials(spark, d):
+    """The partial rows of the concept index, in order."""
+    return _written(spark, d)["partials"].select("task_id", "seq", "name", "path")
+
+
+@query(f"""with {GIVEN}, h as (select *, 'Text ' || struct_id as title from ok)
+select 'articles/' || title || '.md' as path, sha256, concat_ws({_NL} || {_NL}, concat_ws({_NL}, '---', {_Q('title', 'title')}, 'doc_type: solution', 'domain: []', 'topic: []', 'region: ""', 'customer: ""', 'customer_type: ""', {_Q('source_sha256', 'sha256')},
+{_L('concepts', 'key_terms')}, 'aliases: []', 'created_at: "2024-01-02"', 'compiled_by: "agent"', 'confidence: 0.9', 'tldr: "a text delivered with its key terms"', '---'), content_md) as text from h""")
+def compile_write_articles(spark, d):
+    """The articles that are written."""
+    return _written(spark, d)["articles"]
+
+
+@query(f"""with {REDUCED}, mt as ({SQL['concepts_match']}) select struct_id, row_number() over (partition by struct_id order by score desc, name) as ord, name, summary, aliases, article_count from mt join idx using (name)""")
+def compile_context(spark, d):
+    """The concepts a task is given to read with each text."""
+    terms = table(spark, d, "structure").select("struct_id", F.explode("key_terms").alias("term"))
+    return writing.context(table(spark, d, "structure").select("struct_id"), terms, concepts.reduce_index(table(spark, d, "concepts_index")), key="struct_id")
+
+
+@query(rf"""with {FM}, x as (select doc_id, block, regexp_replace(text, '(?s)\A---.*?\n---', '') as b from f) select distinct doc_id, issue from (
+""" + " union ".join([f"select doc_id, '{k} missing' as issue from x where not regexp_matches(block, '(?m)^\\s*{k}\\s*:')" for k in compiling.CONCEPT_FIELDS]
+    + [f"select doc_id, '{k} missing' from x where not contains(b, '## {k}')" for k in writing.CONCEPT_SECTIONS]
+    + [f"select doc_id, 'no concept page' from x where {_HAS['doc_type']} and {_VALUE('doc_type')} <> 'concept'", f"select doc_id, 'kind unknown' from x where {_VALUE('concept_kind')} not in {compiling.CONCEPT_KINDS}",
+       "select doc_id, 'body too short' from x where length(trim(b, ' ')) < 200"]) + ")")
+def compile_concept_texts(spark, d):
+    """What keeps each text from being a concept page."""
+    return writing.concept_text_issues(table(spark, d, "documents"), "doc_id")
+
+
+@query(rf"""with {FM}, x as (select doc_id, block, regexp_replace(text, '(?s)\A---.*?\n---', '') as b from f),
+y as (select doc_id, substr(b, instr(b, '{writing.SUMMARY}'), instr(b, '{writing.DETAIL}') - instr(b, '{writing.SUMMARY}')) as u, substr(b, instr(b, '{writing.DETAIL}')) as v from x where instr(b, '{writing.SUMMARY}') > 0 and instr(b, '{writing.DETAIL}') > instr(b, '{writing.SUMMARY}'))
+select doc_id, 'error' as level, 'detail repeats the summary' as issue from y where length(u) > 200 and length(v) > 200 and least(length(u), length(v)) / greatest(length(u), length(v)) > 0.95
+and substr(u, 1, 200) = substr('{writing.SUMMARY}' || substr(v, {len(writing.DETAIL) + 1}), 1, 200)
+union select doc_id, 'error', 'aliases missing' from x where not {_HAS['aliases']}
+union select doc_id, 'error', 'aliases are no list' from x where {_HAS['aliases']} and not regexp_full_match({_VALUE('aliases')}, '\[.*\]')""")
+def compile_article_texts(spark, d):
+    """Copied summaries and aliases of articles, by the strict rule."""
+    return writing.text_issues(table(spark, d, "documents"), strict=True)
+
+
+@query(f"""select 'page named after an article' as "check", path as ref from concept_pages where {STEM_OF('path')} like '%@_concepts' escape '@' group by path
+union all select 'task not ended', task_id from ({SQL['compile_tasks']}) group by task_id""")
+def verify_wiki(spark, d):
+    """What is wrong with the compiled pages and tasks."""
+    return verify.verify_wiki(table(spark, d, "source_map").select(F.explode("generated_pages").alias("path")), table(spark, d, "concept_pages").where("path is not null"),
+                              concepts.reduce_index(table(spark, d, "concepts_index")), compiling.tasks(table(spark, d, "source_map")))
+
+
 # ---- graph assembly
 
 @query(f"with {NODES} select * from n")
@@ -496,6 +675,40 @@ def graph_hyper_members(spark, d):
     return graph.redirect_members(graph.hyperedges(table(spark, d, "edges")), graph.consolidate(table(spark, d, "nodes"))[1])
 
 
+@query(f"""with {NODES}, {HYPER}, x as (select id, unnest(members) as m from hy)
+select distinct 'hyperedge member unknown' as issue, id as ref from x where m not in (select id from nodes where id is not null)""")
+def graph_hyper_issues(spark, d):
+    """Hyperedges whose members are no nodes."""
+    return graph.hyper_issues(graph.hyperedges(table(spark, d, "edges")), table(spark, d, "nodes"))
+
+
+@query(f"""with {HYPER}, gone as (select distinct id from nodes where file_type = 'document' and id is not null), x as (select id, unnest(members) as m, generate_subscripts(members, 1) as pos from hy)
+select id, list(m order by pos) as members, count(*) as member_count from x where m not in (from gone) group by 1 having count(*) >= 2""")
+def graph_hyper_shrunk(spark, d):
+    """Hyperedges without the documents among their members."""
+    gone = table(spark, d, "nodes").where("file_type = 'document'").select("id").distinct()
+    return graph.shrunk(graph.hyperedges(table(spark, d, "edges")), gone)
+
+
+@query(f"select issue, count(*) as n from ({SQL['graph_issues']}) group by 1")
+def graph_issue_counts(spark, d):
+    """How many issues of each kind."""
+    return graph.summary(graph.issues(table(spark, d, "nodes"), table(spark, d, "edges")))
+
+
+@query("""select id, label, file_type, source_file from (select *, row_number() over (partition by id order by coalesce(label, '') = '' desc, label desc nulls last, file_type desc nulls last, source_file desc nulls last) as k
+from nodes where id is not null and id <> '') where k = 1""")
+def graph_nodes_last(spark, d):
+    """The last delivery of each node."""
+    return graph.merge_nodes(table(spark, d, "nodes"), last=True).drop("attrs")
+
+
+@query("""select seq, source, target from (select distinct seq, source, target from edges) where source in (select id from nodes where id is not null) and target in (select id from nodes where id is not null)""")
+def graph_pruned(spark, d):
+    """Edges whose ends are both nodes."""
+    return graph.pruned(table(spark, d, "nodes"), table(spark, d, "edges").select("seq", "source", "target").distinct())[0]
+
+
 # ---- analytics
 
 @query(f"with {GRAPH} select * from deg")
@@ -514,10 +727,10 @@ def graph_god_concepts(spark, d):
     return analytics.god_nodes(*_graph(spark, d), without_types=("document",))
 
 
-@query(f"with {GRAPH}, {MEMBERS} select id, community from m")
-def graph_members(spark, d):
-    """Communities by two rounds of label propagation."""
-    return _members(*_graph(spark, d))
+@over_groups(f"with {GRAPH}, {MEMBERS} select id, community from m")
+def graph_members(n, e, m):
+    """The group of each node."""
+    return m
 
 
 @query()
@@ -527,17 +740,16 @@ def graph_communities(spark, d):
     return louvain.clusters(cut(n), cut(e))
 
 
-@query(f"""with {GRAPH}, {MEMBERS}, sizes as (select community, count(*) as members from m group by 1), ins as (select a.community, count(*) as c from e join m a on a.id = source join m b on b.id = target where a.community = b.community and source <> target group by 1)
+@over_groups(f"""with {GRAPH}, {MEMBERS}, sizes as (select community, count(*) as members from m group by 1), ins as (select a.community, count(*) as c from e join m a on a.id = source join m b on b.id = target where a.community = b.community and source <> target group by 1)
 select community, members, case when members < 2 then 1.0 else round(coalesce(c, 0) / (members * (members - 1) / 2), 2) end as cohesion from sizes left join ins using (community)""")
-def graph_cohesion(spark, d):
-    n, e, m = _whole(spark, d)
+def graph_cohesion(n, e, m):
     return analytics.cohesion(m, e)
 
 
-@query(f"""with {GRAPH}, {MEMBERS}, o as (select source as id, a.community, count(distinct b.community) as connected from e join m a on a.id = source join m b on b.id = target where a.community <> b.community group by 1, 2),
+@over_groups(f"""with {GRAPH}, {MEMBERS}, o as (select source as id, a.community, count(distinct b.community) as connected from e join m a on a.id = source join m b on b.id = target where a.community <> b.community group by 1, 2),
 r as (select *, row_number() over (partition by community order by connected desc, id) as k from o) select community, id, coalesce(label, id) as label, degree, connected from r join n using (id) join deg using (id) where k <= 3""")
-def graph_bridges(spark, d):
-    return analytics.bridges(*_whole(spark, d))
+def graph_bridges(n, e, m):
+    return analytics.bridges(n, e, m)
 
 
 FACTS = """fx as (select e.*, coalesce(a.label, a.id) as lu, coalesce(b.label, b.id) as lv, a.file_type as tu, b.file_type as tv, a.source_file as fu, b.source_file as fv, da.degree as du, db.degree as dv, ma.community as cu, mb.community as cv
@@ -553,10 +765,10 @@ def _surprise(base: str) -> str:
 _BASE = f"{_TRUST} + case when tu <> tv then 2 else 0 end + case when cu <> cv then 1 else 0 end"
 
 
-@query(f"""with {GRAPH}, {MEMBERS}, {FACTS}, sc as (select *, {_surprise(_BASE)} as score from fx)
+@over_groups(f"""with {GRAPH}, {MEMBERS}, {FACTS}, sc as (select *, {_surprise(_BASE)} as score from fx)
 select source, target, lu as source_label, lv as target_label, relation, coalesce(confidence, 'EXTRACTED') as confidence, score from sc where score > 1 order by score desc, seq, source, target limit 5""")
-def graph_surprising(spark, d):
-    return analytics.surprising(*_whole(spark, d))
+def graph_surprising(n, e, m):
+    return analytics.surprising(n, e, m)
 
 
 def _cat(c: str) -> str:
@@ -567,25 +779,24 @@ def _cat(c: str) -> str:
 _BASE2 = f"{_TRUST} + case when {_cat('fu')} <> {_cat('fv')} then 2 else 0 end + case when split_part(fu, '/', 1) <> split_part(fv, '/', 1) then 2 else 0 end + case when cu <> cv then 1 else 0 end"
 
 
-@query(f"""with {GRAPH}, {MEMBERS}, {FACTS}, sc as (select *, {_surprise(_BASE2)} as score from fx where fu <> '' and fv <> '' and fu <> fv and coalesce(relation not in {analytics.STRUCTURAL}, true))
+@over_groups(f"""with {GRAPH}, {MEMBERS}, {FACTS}, sc as (select *, {_surprise(_BASE2)} as score from fx where fu <> '' and fv <> '' and fu <> fv and coalesce(relation not in {analytics.STRUCTURAL}, true))
 select source, target, relation, score from sc order by score desc, seq, source, target limit 5""")
-def graph_cross_file(spark, d):
-    return analytics.cross_file(*_whole(spark, d))
+def graph_cross_file(n, e, m):
+    return analytics.cross_file(n, e, m)
 
 
-@query(f"""with {GRAPH}, {MEMBERS}, {FACTS}, z as (select *, case confidence when 'AMBIGUOUS' then 0 when 'INFERRED' then 1 when 'EXTRACTED' then 2 else 3 end as rk from fx where cu <> cv),
+@over_groups(f"""with {GRAPH}, {MEMBERS}, {FACTS}, z as (select *, case confidence when 'AMBIGUOUS' then 0 when 'INFERRED' then 1 when 'EXTRACTED' then 2 else 3 end as rk from fx where cu <> cv),
 k as (select *, row_number() over (partition by least(cu, cv), greatest(cu, cv) order by rk, seq, source, target) as p from z)
 select least(cu, cv) as community_a, greatest(cu, cv) as community_b, source, target, relation, confidence from k where p = 1 order by rk, seq, 1, 2 limit 5""")
-def graph_cross_community(spark, d):
-    n, e, m = _whole(spark, d)
+def graph_cross_community(n, e, m):
     return analytics.cross_community(e, m)
 
 
-@query(f"""with {GRAPH}, {MEMBERS} select 'isolated' as gap, id as ref, cast(degree as double) as n from deg where degree <= 1
+@over_groups(f"""with {GRAPH}, {MEMBERS} select 'isolated' as gap, id as ref, cast(degree as double) as n from deg where degree <= 1
 union all select 'thin community', cast(community as varchar), cast(count(*) as double) from m group by community having count(*) < 3
 union all select 'ambiguous percent', '', round(sum(cast(confidence = 'AMBIGUOUS' as int)) * 100 / greatest(count(*), 1), 1) from e""")
-def graph_gaps(spark, d):
-    return analytics.gaps(*_whole(spark, d))
+def graph_gaps(n, e, m):
+    return analytics.gaps(n, e, m)
 
 
 @query()
@@ -593,11 +804,9 @@ def graph_questions(spark, d):
     return analytics.questions(*_settled(spark, d))
 
 
-@query(f"""with {GRAPH}, {MEMBERS}, p as (select m.community, n.label, row_number() over (partition by m.community order by case when file_type = 'concept' then 0 else 1 end, degree desc, n.id) as r from m join n using (id) join deg using (id) where label <> ''),
-f as (select community, label, row_number() over (partition by label order by community) as k from p where r = 1)
-select c.community, coalesce(case when k > 1 then label || ' (#' || c.community || ')' else label end, '社区' || c.community) as name from (select distinct community from m) c left join f using (community)""")
-def graph_community_names(spark, d):
-    return analytics.name_communities(*_whole(spark, d))
+@over_groups(f"with {GRAPH}, {MEMBERS}, {NAMES} select community, name from nm")
+def graph_community_names(n, e, m):
+    return analytics.name_communities(n, e, m)
 
 
 @query()
@@ -617,7 +826,8 @@ SCORED = f"scored as (select id, coalesce(label, id) as label, cast({_SCORE} as
 STARTS = "starts as (select id from scored where score > 0 order by score desc, id limit 3)"
 BFS = """bl as (select source as a, target as b from e union select target, source from e), v0 as (select id, 0 as depth from starts),
 s1 as (select distinct a as source, b as target, 1 as depth from v0 join bl on a = id where b not in (select id from v0)), v1 as (select * from v0 union all select distinct target, 1 from s1),
-s2 as (select distinct a, b, 2 from v1 join bl on a = id where v1.depth = 1 and b not in (select id from v1)), v2 as (select * from v1 union all select distinct b, 2 from s2)"""
+s2 as (select distinct a, b, 2 from v1 join bl on a = id where v1.depth = 1 and b not in (select id from v1)), v2 as (select * from v1 union all select distinct b, 2 from s2),
+s3 as (select distinct a, b, 3 from v2 join bl on a = id where v2.depth = 2 and b not in (select id from v2)), v3 as (select * from v2 union all select distinct b, 3 from s3)"""
 BFS_ALL = f"{GRAPH}, {SCORED}, {STARTS}, {BFS}"
 
 
@@ -638,21 +848,21 @@ def _visited(spark, d):
     n, e = _graph(spark, d)
     n, e = cut(n), cut(e)
     starts = cut(retrieval.score_nodes(n, list(TERMS)).limit(3))
-    return n, e, starts, *retrieval.bfs(e, starts, 2)
+    return n, e, starts, *retrieval.bfs(e, starts)
 
 
-@query(f"with {BFS_ALL} select * from v2")
+@query(f"with {BFS_ALL} select * from v3")
 def retrieve_bfs(spark, d):
-    """Nodes within two steps of the best three, and how far they are."""
+    """Nodes within three steps of the best three, and how far they are."""
     return _visited(spark, d)[3]
 
 
-@query(f"with {BFS_ALL} select * from s1 union all select * from s2")
+@query(f"with {BFS_ALL} select * from s1 union all select * from s2 union all select * from s3")
 def retrieve_bfs_steps(spark, d):
     return _visited(spark, d)[4]
 
 
-INNER = "inn as (select v.id, count(e.source) as inner_ from (select distinct id from v2) v left join (select source, target from e where target in (select id from v2)) e on e.source = v.id group by 1)"
+INNER = "inn as (select v.id, count(e.source) as inner_ from (select distinct id from v3) v left join (select source, target from e where target in (select id from v3)) e on e.source = v.id group by 1)"
 
 
 @query(f"""with {BFS_ALL}, {INNER}, c as (select source_file, inner_ + case when inn.id in (select id from starts) then 10000 else 0 end as score, case when source_file like 'concepts/%' then 1 when source_file like 'articles/%' then 0 end as kind from inn join n using (id)),
@@ -664,7 +874,11 @@ def retrieve_pages(spark, d):
     return retrieval.rank_pages(n, e, visited, starts)
 
 
-@query()
+@query(f"""with {BFS_ALL}, vis as (select distinct id from v3), ln as (
+select 0 as k, -degree as o, n.id as i, '- `' || coalesce(label, n.id) || '` [' || coalesce(file_type, '') || '] ' || degree as line from vis join n using (id) join deg using (id)
+union all select 1, seq, source || '|' || target, '  ' || coalesce(a.label, a.id) || ' --' || coalesce(relation, '') || '--> ' || coalesce(b.label, b.id) || ' [' || coalesce(confidence, '') || ']'
+from e join n a on a.id = source join n b on b.id = target where source in (from vis) and target in (from vis)),
+ru as (select *, row_number() over (order by k, o, i) as ord, sum(length(line) + 1) over (order by k, o, i) as used from ln) select ord, line from ru where used <= 4000""")
 def retrieve_text(spark, d):
     n, e, _, visited, _ = _visited(spark, d)
     return retrieval.render(n, e, visited)
@@ -673,7 +887,7 @@ def retrieve_text(spark, d):
 @query()
 def retrieve_dfs(spark, d):
     n, e, starts, _, _ = _visited(spark, d)
-    return retrieval.dfs(e, [r["id"] for r in starts.collect()], 3)  # three rows
+    return retrieval.dfs(e, [r["id"] for r in starts.collect()])  # three rows
 
 
 # ---- reports and exports
@@ -692,16 +906,16 @@ def export_node_links(spark, d):
 _X = lambda c: f"replace(replace(replace(replace(coalesce({c}, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 
 
-@query(f"""with {GRAPH}, {MEMBERS} select 1 as ord, '<node id="' || {_X('id')} || '"><data key="label">' || {_X('coalesce(label, id)')} || '</data><data key="community">' || coalesce(community, -1) || '</data></node>' as line from n left join m using (id)
+@over_groups(f"""with {GRAPH}, {MEMBERS} select 1 as ord, '<node id="' || {_X('id')} || '"><data key="label">' || {_X('coalesce(label, id)')} || '</data><data key="community">' || coalesce(community, -1) || '</data></node>' as line from n left join m using (id)
 union all select 2, '<edge source="' || {_X('source')} || '" target="' || {_X('target')} || '"><data key="relation">' || {_X('relation')} || '</data></edge>' from e""")
-def export_graphml(spark, d):
-    return exports.graphml(*_whole(spark, d))
+def export_graphml(n, e, m):
+    return exports.graphml(n, e, m)
 
 
-@query(f"""with {GRAPH}, {MEMBERS}, t as (select max(degree) as top from deg)
+@over_groups(f"""with {GRAPH}, {MEMBERS}, t as (select max(degree) as top from deg)
 select id, substr(regexp_replace(coalesce(label, id), '[\\x00-\\x1f\\x7f]', '', 'g'), 1, 256) as label, round(10 + 30 * degree / top, 1) as size, degree >= 0.15 * top as show, community from n join deg using (id) join m using (id), t""")
-def export_vis_nodes(spark, d):
-    return exports.vis_nodes(*_whole(spark, d))
+def export_vis_nodes(n, e, m):
+    return exports.vis_nodes(n, e, m)
 
 
 @query()
@@ -835,18 +1049,21 @@ def ingest_remove(spark, d):
     return ingest.remove(s, s.where("batch_id = 1"), F.lit(None).cast("timestamp"))[0].select("sha256", "upload_id")
 
 
-@query()
+@query(f"""with {GRAPH}, gd as (select id, coalesce(label, id) as label, degree from n join deg using (id) order by degree desc, id limit 10),
+nr as (select distinct id, other, relation from (select source as id, target as other, relation from e union all select target, source, relation from e) where id in (select id from gd) and id <> other),
+rk as (select nr.*, coalesce(n.label, n.id) as l, row_number() over (partition by nr.id, relation order by degree desc, other) as r from nr join n on n.id = other join deg on deg.id = other),
+pt as (select id, '## ' || coalesce(relation, '') || chr(10) || chr(10) || string_agg('- [[' || l || ']]', chr(10) order by r) as x from rk where r <= 20 group by id, relation),
+pp as (select id, string_agg(x, chr(10) || chr(10) order by x) as x from pt group by id)
+select translate(label, '/ :', '-_-') || '.md' as file, '# ' || label || chr(10) || chr(10) || 'links: ' || degree || chr(10) || chr(10) || coalesce(x, '') as body from gd left join pp using (id)""")
 def report_god_pages(spark, d):
     return exports.god_pages(*[cut(x) for x in _graph(spark, d)])
 
 
-@query(f"""with {GRAPH}, {MEMBERS}, p as (select m.community, n.label, row_number() over (partition by m.community order by case when file_type = 'concept' then 0 else 1 end, degree desc, n.id) as r from m join n using (id) join deg using (id) where label <> ''),
-f as (select community, label, row_number() over (partition by label order by community) as k from p where r = 1),
-nm as (select c.community, coalesce(case when k > 1 then label || ' (#' || c.community || ')' else label end, '社区' || c.community) as name, c.n from (select community, count(*) as n from m group by 1) c left join f using (community))
+@over_groups(f"""with {GRAPH}, {MEMBERS}, {NAMES}
 select 1 as ord, row_number() over (order by n desc, community) as sub, '- [[' || name || ']] (' || n || ')' as line from nm
 union all select 2, row_number() over (order by degree desc, id), '- [[' || coalesce(label, id) || ']] (' || degree || ')' from (select * from n join deg using (id) order by degree desc, id limit 10)""")
-def report_index(spark, d):
-    return exports.index_lines(*_whole(spark, d))
+def report_index(n, e, m):
+    return exports.index_lines(n, e, m)
 
 
 @query(f"with {GRAPH} select source, target, relation, case when isnan(confidence_score) then 0.0 else coalesce(confidence_score, 0.0) end as weight from e order by weight desc, seq, source, target limit 200")
@@ -868,3 +1085,46 @@ def backfill_concept_fields(spark, d):
 @query(r"select case when regexp_matches(text, '\A---[ \t]*\n') then 'skipped' else 'done' end as state, count(*) as n from documents where text is not null group by 1")
 def backfill_done(spark, d):
     return backfill.done(table(spark, d, "documents"))
+
+
+@query(f"""with lab as (select distinct id, lower(label) as l from nodes where file_type = 'concept' and label <> '' and id is not null) select distinct id, 'doc_' || doc_id as path from lab join documents on contains(lower(text), l)""")
+def retrieve_evidence(spark, d):
+    """Texts that hold the label of a concept node."""
+    labels = table(spark, d, "nodes").where("file_type = 'concept' and id is not null").select("id", "label")
+    return retrieval.evidence(table(spark, d, "documents").select(F.concat(F.lit("doc_"), "doc_id").alias("path"), "text"), labels)
+
+
+@query(r"""select doc_id, coalesce(nullif(regexp_extract(text, '(?m)^tldr:\s*"?(.+?)"?\s*$', 1), ''), '(no tldr)') as tldr from documents where text is not null""")
+def retrieve_tldrs(spark, d):
+    """The short summary of every text."""
+    return table(spark, d, "documents").where("text is not null").select("doc_id", retrieval.tldr_of("text").alias("tldr"))
+
+
+_S = lambda c: f"""'"' || replace(coalesce({c}, ''), '"', '\\"') || '"'"""
+
+
+@query(rf"""with b as ({SQL['backfill_articles']}) select doc_id, concat_ws(chr(10), '---', 'title: ' || {_S('title')}, 'doc_type: "article"', 'source_sha256: ' || {_S('source_sha256')}, 'concepts: []', 'aliases: []', 'tldr: ' || {_S('summary')},
+'created_at: ' || {_S('cast(created as varchar)')}, 'compiled_by: "backfill"', 'confidence: 0.7', '---') || chr(10) || chr(10) || text as text
+from b join documents using (doc_id) where not regexp_matches(text, '\A---[ \t]*\n')""")
+def backfill_pages(spark, d):
+    """Legacy texts with the frontmatter they lack."""
+    return backfill.article_pages(table(spark, d, "documents"), table(spark, d, "source_map"))
+
+
+@query()
+def report_full(spark, d):
+    """The full report."""
+    n, e, m = _settled(spark, d)
+    return exports.full_lines(n, e, m, graph.hyperedges(table(spark, d, "edges")))
+
+
+@query()
+def export_community_notes(spark, d):
+    return exports.community_notes(*_settled(spark, d))
+
+
+@over_groups(f"""with {GRAPH}, {MEMBERS}, q as (select m.community, n.id, coalesce(label, n.id) as l from m join n using (id)) select community, count(*) as cards, min(l) as first from q group by 1""")
+def export_canvas_cards(n, e, m):
+    """How many cards each group of the canvas has, and the first."""
+    cards = exports.canvas_cards(n, m).join(n.select("id", F.coalesce("label", "id").alias("l")), "id")
+    return cards.groupBy("community").agg(F.count("*").alias("cards"), F.min("l").alias("first"))

@@ -3,14 +3,11 @@
 from __future__ import annotations
 
 import json
-import os
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TABLES = ("sources", "tasks", "articles", "concepts", "concepts_index", "nodes", "edges", "hyperedges", "membership", "events", "costs", "runs", "query_log")
-
-
 class Warehouse:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -21,8 +18,22 @@ class Warehouse:
             raise ValueError(f"no table name: {name!r}")
         return f"{self.root}/{name}"
 
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+    def has(self, name: str) -> bool:
+        """Whether the table's folder is there; any other fault of the storage is an error."""
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+    def read(self, name: str, schema: str | None = None) -> DataFrame:
+        """A table; with a ``schema`` an empty one where it was never written."""
+        if schema is None:
+            return self.spark.read.parquet(self.path(name))
+        if not self.has(name):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self.path(name))
+
+    def replace(self, name: str, df: DataFrame, partition: str) -> None:
+        """Writes partitions; those of other values stay as they are."""
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(self.path(name))
 
     def write(self, name: str, df: DataFrame, partition: str | None = None) -> None:
         w = df.write.mode("overwrite")
@@ -44,7 +55,7 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFr
 def read_extraction(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Nodes, edges and hyperedges of deliveries in JSON files; ``from`` and ``to`` name ends too."""
     schema = (
-        "nodes array<struct<id string, label string, file_type string, source_file string>>, "
+        "nodes array<struct<id string, label string, file_type string, source_file string, attrs map<string,string>>>, "
         "edges array<struct<source string, target string, `from` string, `to` string, relation string, confidence string, confidence_score double>>, "
         "hyperedges array<struct<id string, label string, members array<string>>>"
     )
@@ -56,18 +67,14 @@ def read_extraction(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return out
 
 
-def read_ignore(folder: str, name: str = ".ignore") -> list[str]:
-    """The lines of an ignore file in a folder and those above it, up to a repository's root."""
-    found: list[str] = []
-    at = os.path.abspath(folder)
-    while True:
-        file = os.path.join(at, name)
-        if os.path.isfile(file):
-            with open(file, encoding="utf-8") as f:
-                found += [x.strip() for x in f if x.strip() and not x.startswith("#")]
-        if os.path.isdir(os.path.join(at, ".git")) or os.path.dirname(at) == at:
-            return found
-        at = os.path.dirname(at)
+def read_ignore(folder: str, name: str = ".ignore") -> list[tuple[str, str]]:
+    """(folder, pattern) of the ignore files in a folder and those above it, up to a repository's root."""
+    at = Path(folder).absolute()
+    above = [at, *at.parents]
+    roots = [k for k, x in enumerate(above) if (x / ".git").is_dir()]
+    files = [x / name for x in above[: roots[0] + 1 if roots else len(above)]]
+    lines = [(str(f.parent), x.strip()) for f in files if f.is_file() for x in f.read_text(encoding="utf-8").splitlines()]
+    return [(where, x) for where, x in lines if x and not x.startswith("#")]
 
 
 def tolerant(text: str) -> dict:

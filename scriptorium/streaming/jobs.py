@@ -52,11 +52,16 @@ def run_once(df: DataFrame, out: str, checkpoint: str, mode: str = "append") ->
 
 
 def merge_into(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Uploads kept once by hash: each batch is written under its own number, so a batch that
-    runs again overwrites itself."""
+    """Uploads kept once by hash, the one of the first batch that has it: each batch is written
+    under its own number without the hashes of those before, so a batch that runs again
+    overwrites itself."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.where("sha256 is not null").dropDuplicates(["sha256"]).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        rows = batch.where("sha256 is not null").dropDuplicates(["sha256"])
+        if number:
+            kept = batch.sparkSession.read.schema("sha256 string, batch long").parquet(path)
+            rows = rows.join(kept.where(F.col("batch") < number).select("sha256"), "sha256", "left_anti")
+        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

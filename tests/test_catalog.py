@@ -2,6 +2,7 @@
 
 import datetime
 import decimal
+import functools
 import glob
 import math
 import os
@@ -41,6 +42,17 @@ def db():
     return c
 
 
+@pytest.fixture(scope="module", autouse=True)
+def built_once():
+    """The graph, its groups and communities and what the write step makes are the same for all queries."""
+    kept = {name: getattr(catalog, name) for name in ("_graph", "_settled", "_grouped", "_written")}
+    for name, f in kept.items():
+        setattr(catalog, name, functools.lru_cache(f))
+    yield
+    for name, f in kept.items():
+        setattr(catalog, name, f)
+
+
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, db, name):
     df = catalog.QUERIES[name](spark, D)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions import convert, pages, paths
-from scriptorium.operators import analytics, compiling, concepts, exports, graph, ingest, retrieval, structure
+from scriptorium.operators import analytics, compiling, concepts, exports, graph, ingest, louvain, retrieval, structure
 from scriptorium.sources import warehouse
 from scriptorium.streaming import jobs
 
@@ -113,7 +113,7 @@ def test_graph(spark, rows):
 def test_analytics(spark, rows):
     n, e = graph.build(*small(spark))
     assert rows(analytics.degrees(n, e)) == [("a", 2), ("b", 2), ("c", 1), ("d", 1)]
-    m = analytics.communities(n, e)
+    m = louvain.clusters(n, e)
     assert {r["id"] for r in m.collect()} == set("abcd")
     assert analytics.cohesion(m, e).count() == m.select("community").distinct().count()
     path = spark.createDataFrame([(f"v{k}", f"v{k + 1}") for k in range(4)], "source string, target string")
@@ -157,7 +157,7 @@ def test_compiling(spark, rows):
 
 def test_exports(spark):
     n, e = graph.build(*small(spark))
-    m = analytics.number(analytics.label_rounds(n, e, 1))
+    m = analytics.number(n.select("id", F.lit("x").alias("label")))
     assert exports.graphml(n, e, m).count() == 7 and exports.node_links(n, e, m).count() == 7 and exports.notes(n, e, m).count() == 4
     assert "<canvas" in exports.html(n, e, m)
     with pytest.raises(ValueError):
@@ -214,39 +214,9 @@ def test_streams(spark, rows, tmp_path):
     assert got == {1: "new", 2: "skipped", 3: "updated", 4: "failed", 5: "failed"}
     jobs.merge_into(stream, str(tmp_path / "kb"), str(tmp_path / "cp2")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "kb")).count() == 3
+    spark.createDataFrame([(6, "h1", "a.md", at, 9), (7, "h4", "c.md", at, 9)], jobs.UPLOADS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    jobs.merge_into(jobs.uploads(spark, str(tmp_path / "in")), str(tmp_path / "kb"), str(tmp_path / "cp2")).awaitTermination()
+    assert sorted(r["sha256"] for r in spark.read.parquet(str(tmp_path / "kb")).collect()) == ["h1", "h2", "h3", "h4"]
     table = spark.createDataFrame(data, jobs.UPLOADS)
     assert sorted(r["n"] for r in jobs.windowed(table, "uploaded_at", "original_filename", "1 hour").collect()) == [1, 1, 3]
     assert sorted(r["n"] for r in jobs.sessions(table, "original_filename", "uploaded_at").collect()) == [1, 1, 3]
-
-
-def propagate(ids, pairs, rounds):
-    near = {i: {i} for i in ids}
-    for a, b in pairs:
-        if a != b:
-            near[a].add(b)
-            near[b].add(a)
-    label = {i: i for i in ids}
-    for _ in range(rounds):
-        votes = {i: [label[x] for x in near[i]] for i in ids}
-        label = {i: min(set(v), key=lambda x: (-v.count(x), x)) for i, v in votes.items()}
-    return label
-
-
-def test_communities_against_brute_force(spark):
-    import random
-
-    rng = random.Random(6)
-    ids = [f"n{k:02}" for k in range(60)]
-    pairs = [(a, b) for a in ids for b in ids if a < b and rng.random() < (0.35 if ids.index(a) // 20 == ids.index(b) // 20 else 0.01)]
-    n = spark.createDataFrame([(i,) for i in ids], "id string")
-    e = spark.createDataFrame(pairs, "source string, target string")
-    want = propagate(ids, pairs, 4)
-    big = {x for x in want.values() if list(want.values()).count(x) > max(10, int(0.25 * 60))}
-    for x in big:
-        inside = [i for i in ids if want[i] == x]
-        want |= propagate(inside, [(a, b) for a, b in pairs if a in inside and b in inside], 4)
-    got = {r["id"]: r["community"] for r in analytics.communities(n, e).collect()}
-    groups = lambda d: sorted(sorted(i for i in ids if d[i] == x) for x in set(d.values()))
-    assert groups(got) == groups(want) and big
-    sizes = [sum(c == k for c in got.values()) for k in range(len(set(got.values())))]
-    assert sizes == sorted(sizes, reverse=True)
