@@ -16,25 +16,27 @@ RUN = 3
 
 
 def _runs(column: str, size: int) -> Column:
-    at = F.sequence(F.lit(1), F.length(column) - (size - 1))
-    return F.when(F.length(column) >= size, F.array_distinct(F.transform(at, lambda k: F.substring(F.col(column), k, F.lit(size)))))
+    """The distinct runs of a string, each read once: an empty match at every letter looks ahead."""
+    return F.array_distinct(F.regexp_extract_all(column, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
 def containing(needles: DataFrame, hay: DataFrame) -> DataFrame:
     """(needle, hay): every string of ``hay`` (hay) with every string of ``needles`` (needle) in
-    it, each pair once. Null and empty strings on either side have no pair."""
+    it, each pair once. Null and empty strings on either side have no pair. Runs go with a
+    hash of their string; strings that share one by chance are told apart at the end."""
     needles = needles.select("needle").where("needle <> ''").distinct()
-    hay = hay.select("hay").where("hay <> ''").distinct()
-    out = None
+    hay = hay.select("hay").where("hay <> ''").distinct().withColumn("_h", F.xxhash64("hay"))
+    met = None
     for size in (1, 2):
-        runs = hay.select("hay", F.explode(_runs("hay", size)).alias("needle"))
-        part = runs.join(needles.where(F.length("needle") == size), "needle", "left_semi").select("needle", "hay")
-        out = part if out is None else out.unionByName(part)
-    runs = hay.select("hay", F.explode(_runs("hay", RUN)).alias("_g"))
+        runs = hay.select("_h", F.explode(_runs("hay", size)).alias("needle"))
+        part = runs.join(needles.where(F.length("needle") == size), "needle", "left_semi").select("needle", "_h")
+        met = part if met is None else met.unionByName(part)
+    runs = hay.select("_h", F.explode(_runs("hay", RUN)).alias("_g"))
     often = runs.groupBy("_g").agg(F.count("*").alias("_n"))
     long = needles.where(F.length("needle") >= RUN)
     asked = long.select("needle", F.explode(_runs("needle", RUN)).alias("_g")).join(often, "_g", "left")
     # a run the hay does not have counts 0, and then its needle has no pair
     rare = cut(asked.groupBy("needle").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_g").alias("g"))).alias("_r"))
                .where("_r.n > 0").select("needle", F.col("_r.g").alias("_g")))
-    return out.unionByName(runs.join(rare, "_g").where(F.contains("hay", "needle")).select("needle", "hay"))
+    met = met.unionByName(runs.join(rare, "_g").select("needle", "_h")).distinct()
+    return met.join(hay, "_h").where(F.contains("hay", "needle")).select("needle", "hay")
