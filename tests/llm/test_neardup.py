@@ -35,6 +35,8 @@ def test_all_pairs_against_brute_force(spark, rows, monkeypatch, block_rows):
     got = set(rows(neardup.all_pairs(links, members)))
     # bands may miss a pair just above the threshold, nothing beyond 0.7, and give no pair below it
     assert {p for p, s in share.items() if s >= 0.7} <= got <= {p for p, s in share.items() if s > 0.55} and len(got) > 30
+    exact = neardup.near_texts(df, "struct_id", "content_md", 3, 0.2, False, exact=True)
+    assert set(rows(neardup.all_pairs(*exact))) == {p for p, s in share.items() if s > 0.2}
 
 
 def test_empty(spark, rows):
