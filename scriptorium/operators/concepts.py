@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.operators.contains import containing
+from scriptorium.session import cut
 
 # fixed value: aliases announced inside a summary
 ALIASES = r"(?i)[（(]\s*(?:别名|aka|also\s+known\s+as|a\.k\.a\.?)\s*[:：]\s*([^)）]+)[)）]"
@@ -62,7 +63,7 @@ def match_terms(terms: DataFrame, index: DataFrame, key: str = "doc_id", top: in
     names = names.where("n <> ''").select("name", F.lower("n").alias("n")).distinct()
     asked = terms.where("term is not null and term <> ''").select(key, F.lower("term").alias("t")).distinct()
     words = asked.select("t").distinct()
-    forms = names.select("n").distinct()
+    words, forms = cut(words), cut(names.select("n").distinct())
     inside = containing(words.withColumnRenamed("t", "needle"), forms.withColumnRenamed("n", "hay")).select(F.col("needle").alias("t"), F.col("hay").alias("n"))
     around = containing(forms.withColumnRenamed("n", "needle"), words.withColumnRenamed("t", "hay")).select(F.col("hay").alias("t"), F.col("needle").alias("n"))
     pairs = inside.unionByName(around).distinct().join(names, "n").select("t", "name").distinct()

@@ -24,19 +24,15 @@ def containing(needles: DataFrame, hay: DataFrame) -> DataFrame:
     """(needle, hay): every string of ``hay`` (hay) with every string of ``needles`` (needle) in
     it, each pair once. Null and empty strings on either side have no pair. Runs go with a
     hash of their string; strings that share one by chance are told apart at the end."""
-    needles = needles.select("needle").where("needle <> ''").distinct()
-    hay = hay.select("hay").where("hay <> ''").distinct().withColumn("_h", F.xxhash64("hay"))
-    met = None
-    for size in (1, 2):
-        runs = hay.select("_h", F.explode(_runs("hay", size)).alias("needle"))
-        part = runs.join(needles.where(F.length("needle") == size), "needle", "left_semi").select("needle", "_h")
-        met = part if met is None else met.unionByName(part)
-    runs = hay.select("_h", F.explode(_runs("hay", RUN)).alias("_g"))
-    often = runs.groupBy("_g").agg(F.count("*").alias("_n"))
-    long = needles.where(F.length("needle") >= RUN)
-    asked = long.select("needle", F.explode(_runs("needle", RUN)).alias("_g")).join(often, "_g", "left")
-    # a run the hay does not have counts 0, and then its needle has no pair
-    rare = cut(asked.groupBy("needle").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_g").alias("g"))).alias("_r"))
-               .where("_r.n > 0").select("needle", F.col("_r.g").alias("_g")))
-    met = met.unionByName(runs.join(rare, "_g").select("needle", "_h")).distinct()
+    needles = cut(needles.select("needle").where("needle <> ''").distinct())
+    hay = cut(hay.select("hay").where("hay <> ''").distinct().withColumn("_h", F.xxhash64("hay")))
+    short = needles.where(F.length("needle") < RUN)
+    runs = hay.select("_h", F.explode(F.concat(*[_runs("hay", size) for size in range(1, RUN + 1)])).alias("_g"))
+    long_runs = hay.select("_h", F.explode(_runs("hay", RUN)).alias("_g"))
+    asked = needles.where(F.length("needle") >= RUN).select("needle", F.explode(_runs("needle", RUN)).alias("_g"))
+    # only runs that some needle has are counted; one that the hay does not have leaves its needle without a pair
+    often = long_runs.join(asked.select("_g").distinct(), "_g", "left_semi").groupBy("_g").agg(F.count("*").alias("_n"))
+    rare = asked.join(often, "_g", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_g").alias("g"))).alias("_r"))
+    keys = rare.where("_r.n > 0").select("needle", F.col("_r.g").alias("_g")).unionByName(short.select("needle", F.col("needle").alias("_g")))
+    met = runs.join(cut(keys), "_g").select("needle", "_h").distinct()
     return met.join(hay, "_h").where(F.contains("hay", "needle")).select("needle", "hay")
