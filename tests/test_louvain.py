@@ -1,5 +1,11 @@
 """Communities by modularity against brute force on small graphs."""
 
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
 from scriptorium.operators import louvain
 from scriptorium.plans import catalog
 
@@ -72,3 +78,44 @@ def test_queries_show_the_communities_of_the_operator(spark, tmp_path):
     assert all(f"community: {c}\n" in notes[i] for i, c in want.items())
     assert catalog.QUERIES["export_canvas"](spark, d).count() == len(set(want.values()))
     assert f"communities: {len(set(want.values()))}" in {r["line"] for r in catalog.QUERIES["report_summary"](spark, d).collect()}
+
+
+@pytest.mark.parametrize("heaviest", [1, 3])
+@pytest.mark.parametrize("sets", [2, 64])
+def test_sets_of_nodes_are_settled(heaviest, sets):
+    """At the end no more nodes gain by a move than the rule leaves, loops and weights counted."""
+    rng, n = random.Random(5), 1500
+    pairs = {tuple(sorted((rng.randrange(n), rng.randrange(n) if rng.random() < 0.3 else 0))) for _ in range(900)} | {tuple(sorted(rng.sample(range(k, k + 10), 2))) for k in range(0, n, 10) for _ in range(25)}
+    weight = {p: rng.randint(1, heaviest) * (2 if p[0] == p[1] else 1) for p in pairs}
+    ends = sorted({(*p, w) for p, w in weight.items()} | {(p[1], p[0], w) for p, w in weight.items()})
+    a, b, w = (np.array(x) for x in zip(*ends))
+    com, _ = louvain._settle_sets(a, b, w, n, random.Random(42), sets)
+    degree, whole = np.bincount(a, w, n), w.sum()
+    tot, moves = np.bincount(com, degree, n), 0
+    for i in range(n):
+        near = {}
+        for j, x in zip(b[a == i], w[a == i]):
+            near[com[j]] = near.get(com[j], 0) + (x if j != i else 0)
+        stay = whole * near.get(com[i], 0) - degree[i] * (tot[com[i]] - degree[i])
+        moves += any(whole * x - degree[i] * tot[c] > stay for c, x in near.items() if c != com[i])
+    assert moves <= 2 * louvain.REST * n
+    one = louvain._settle(a, b, w, n, random.Random(42))[0]
+    assert louvain._quality(a, b, w, com) > louvain._quality(a, b, w, one) - 0.02
+
+
+def test_one_task_codes_strings_by_their_order():
+    batches = [pa.RecordBatch.from_pydict({"a": ["é", "b"], "b": ["a", "é"]}), pa.RecordBatch.from_pydict({"a": ["z"], "b": ["a"]})]
+    for rows in (1, 10):
+        names, a, b, w = louvain.coded(iter(batches), rows)
+        assert names.to_pylist() == ["a", "b", "z", "é"] and (a.tolist(), b.tolist(), w) == ([3, 1, 2], [0, 3, 0], None)
+    assert [x.tolist() for x in louvain.paired(a, b, 4)] == [[0, 0, 1, 2, 3, 3], [2, 3, 3, 0, 0, 1]]
+
+
+def test_sets_and_single_moves_on_cliques(spark, monkeypatch):
+    ids = [f"{c}{k}" for c in "abcde" for k in range(8)]
+    pairs = [(x, y) for x in ids for y in ids if x < y and x[0] == y[0]] + [("a0", "b0"), ("b1", "c1")]
+    code = {i: k for k, i in enumerate(ids)}
+    a, b = louvain.paired(np.array([code[x] for x, _ in pairs]), np.array([code[y] for _, y in pairs]), len(ids))
+    monkeypatch.setattr(louvain, "LOOP_LINKS", 0)
+    com, _ = louvain.louvain(a, b, np.ones(len(a), np.int32), len(ids))
+    assert groups({i: com[code[i]] for i in ids}) == [[i for i in ids if i[0] == c] for c in "abcde"]
