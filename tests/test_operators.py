@@ -7,6 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from scriptorium import session
 from scriptorium.functions import convert, pages, paths
 from scriptorium.operators import analytics, compiling, concepts, exports, graph, ingest, louvain, retrieval, structure
 from scriptorium.sources import warehouse
@@ -220,3 +221,20 @@ def test_streams(spark, rows, tmp_path):
     table = spark.createDataFrame(data, jobs.UPLOADS)
     assert sorted(r["n"] for r in jobs.windowed(table, "uploaded_at", "original_filename", "1 hour").collect()) == [1, 1, 3]
     assert sorted(r["n"] for r in jobs.sessions(table, "original_filename", "uploaded_at").collect()) == [1, 1, 3]
+
+
+def test_ends_that_are_no_nodes_are_found_without_shuffling_edges(spark, monkeypatch):
+    n = spark.createDataFrame([(f"n{k}",) for k in range(9)], "id string")
+    e = [(f"n{k % 9}", f"n{k * 2 % 9}", "uses", k) for k in range(40)] + [("n1", "gone", "uses", 90), ("gone", "n2", "uses", 91), (None, "n2", "uses", 92), ("n1", None, "uses", 93)]
+    e = spark.createDataFrame(e * 2, "source string, target string, relation string, seq long")
+    want = {(f"n{k % 9}", f"n{k * 2 % 9}"): k for k in range(40)}
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 2)  # fewer than nodes, more than ends that are none
+    built = graph.build_edges(e, n)
+    plan = built._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert {(r["source"], r["target"]): r["seq"] for r in built.collect()} == want and built.count() == len(want)
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
+    built = graph.build_edges(e, n)
+    assert {(r["source"], r["target"]): r["seq"] for r in built.collect()} == want and built.count() == len(want)
+    ends = built.select("source", "target")
+    assert session.skew_lookup(ends, n.withColumnRenamed("id", "target"), "target", like=e).count() == len(want)
