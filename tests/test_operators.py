@@ -238,3 +238,11 @@ def test_ends_that_are_no_nodes_are_found_without_shuffling_edges(spark, monkeyp
     assert {(r["source"], r["target"]): r["seq"] for r in built.collect()} == want and built.count() == len(want)
     ends = built.select("source", "target")
     assert session.skew_lookup(ends, n.withColumnRenamed("id", "target"), "target", like=e).count() == len(want)
+
+
+def test_facts_of_both_ends_are_made_once(spark):
+    n, e = graph.build(*small(spark))
+    m = n.select("id", F.lit(0).alias("community"))
+    found = analytics._edge_facts(n, session.cut(e), m)
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()  # degrees are not counted again for each end
+    assert found.count() == e.count()
