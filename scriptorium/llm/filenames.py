@@ -120,6 +120,24 @@ def keys(form: str) -> Iterator[int]:
                         yield _key(rest + x + y, 2)
 
 
+def splits(form: str, key: int) -> list[int]:
+    """What forms that share a key with whole words left out, and are the same, share too: a hash
+    of one of the words left out. [0] for keys of other kinds, which few forms share."""
+    words = form.split(" ")
+    long = [] if _ZH.match(form) else [w for w in words if _slips(w)]
+    if len(long) < 3:
+        return [0]
+    whole, out = sum(map(_HASH.__getitem__, words)), []
+    for a in range(len(long)):
+        if _key(whole - _HASH[long[a]], 1) == key:
+            out += _near(long[a])
+        if len(long) > 3:
+            for b in range(a + 1, len(long)):
+                if _key(whole - _HASH[long[a]] - _HASH[long[b]], 2) == key:
+                    out += _near(long[a]) + _near(long[b])
+    return [n - (1 << 64) if n >> 63 else n for n in dict.fromkeys(out)] or [0]
+
+
 def _near(word: str) -> list[int]:
     """Hashes two words share if they are one slip apart: of the word with one letter left
     out, or, of a long word, of its beginning and its end (one of which a slip spares)."""

@@ -7,6 +7,8 @@ known are looked up, in those parts only, what they hit is verified, and the bat
 the store: its rows as a new run, its bits in the filters of its parts. Runs are merged
 by tiers, so a lookup reads few of them and history is never processed again. A store
 is reopened by its path; what a batch that broke off has left behind is overwritten.
+Batches that wait together are absorbed in one turn: a document repeated in any of them
+is linked as if they came one by one, and what is known is read once for all of them.
 
 Fingerprints that are looked up are the hash (its first 16 digits), the whole normal form
 of the name, and the form with words left out (see ``filenames.keys``). What they hit is
@@ -22,10 +24,11 @@ import json
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import BooleanType, StringType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType
 
 from scriptorium.llm import filenames
 from scriptorium.llm.components import connected_components
@@ -37,6 +40,8 @@ HASHES = 5
 PART_ROWS = 150_000
 #: Forms under one fingerprint that are compared in one task.
 CHUNK = 2_000
+#: Forms under one fingerprint before they are told apart by the words left out.
+SPLIT = 32
 #: Runs of one size before they are merged into one.
 TIER = 32
 # the tables of a store
@@ -77,8 +82,8 @@ def fingerprints(uploads: DataFrame, key: str = "upload_id", sha: str = "sha256"
     many = firsts.where("_n > 1").select("_k", F.col("id").alias("a"))
     stars = skew_lookup(whole.select("_k", "_b", F.col("id").alias("b")), many, "_k").where("a <> b").select("a", "b", "_b").distinct()
     exact = firsts.select("fp", F.lit(None).cast("string").alias("form"), F.lit(True).alias("exact"), "id", "_b")
-    keyed = firsts.where("form is not null").select(F.posexplode(name_keys("form")).alias("k", "fp"), "form", F.lit(False).alias("exact"), "id", "_b")
-    near = keyed.where("k > 0").drop("k")
+    keyed = cut(firsts.where("form is not null").select(name_keys("form").alias("keys"), "form", "id", "_b"))  # made once, read for the parts and for the rows
+    near = keyed.select(F.explode(F.slice("keys", F.lit(2), F.size("keys"))).alias("fp"), "form", F.lit(False).alias("exact"), "id", "_b")
     return exact.unionByName(near), stars
 
 
@@ -90,6 +95,11 @@ def _bits(fps: np.ndarray, size: int) -> np.ndarray:
     return (a[:, None] + np.arange(HASHES, dtype=np.uint64) * b[:, None]) % np.uint64(size)
 
 
+@pandas_udf(ArrayType(LongType()))
+def _splits(forms: pd.Series, fps: pd.Series) -> pd.Series:
+    return pd.Series([[0] if x is None else filenames.splits(x, k) for x, k in zip(forms, fps)], dtype=object)
+
+
 @pandas_udf(BooleanType())
 def _verified(a: pd.Series, b: pd.Series) -> pd.Series:
     """Whether two forms share enough coverage and name the same document."""
@@ -145,26 +155,28 @@ class FingerprintStore:
         ``n``, how many of them have it; and the filters of their parts with the batch added."""
         size = self.part_bits
         out = "what string, fp long, form string, exact boolean, id long, known boolean, n int, bits binary, part int"
+        types = [pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.int32()]
+        schema = pa.schema(list(zip([x.split()[0] for x in out.split(", ")], types)))
 
-        def test(new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-            bits = np.zeros(size // 8, np.uint8)
-            for x in old["bits"]:
+        def test(new: pa.Table, old: pa.Table) -> pa.Table:
+            bits, rows, part = np.zeros(size // 8, np.uint8), new.num_rows, new["part"][0].as_py()
+            for x in old["bits"].to_pylist():
                 bits |= np.frombuffer(x, np.uint8)
-            fps, of, n = np.unique(new["fp"].to_numpy(np.int64), return_inverse=True, return_counts=True)
+            fps, of, n = np.unique(new["fp"].to_numpy(), return_inverse=True, return_counts=True)
             at = _bits(fps, size)
             known = ((bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
             np.bitwise_or.at(bits, (at >> np.uint64(3)).ravel().astype(np.int64), (np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)).ravel())
-            rows = new.assign(what="row", known=known[of], n=n[of].astype(np.int32), bits=None)
-            last = {"what": "bits", "fp": None, "form": None, "exact": None, "id": None, "known": None, "n": int(new["part"].iloc[0]), "bits": bits.tobytes(), "part": int(new["part"].iloc[0])}
-            names = [x.split()[0] for x in out.split(", ")]
-            return pd.concat([rows[names].astype(object), pd.DataFrame([last], dtype=object)[names]], ignore_index=True)
+            made = {"what": pa.repeat("row", rows), "known": pa.array(known[of]), "n": pa.array(n[of].astype(np.int32)), "bits": pa.nulls(rows, pa.binary())}
+            table = pa.table([(made[f.name] if f.name in made else new[f.name]).cast(f.type) for f in schema], schema=schema)
+            last = pa.Table.from_pylist([{"what": "bits", "n": part, "bits": bits.tobytes(), "part": part}], schema=schema)
+            return pa.concat_tables([table, last])
 
         held = [f"{self.path}/turns/run={self.filters[p]}/what=bits/part={p}" for p in touched if p in self.filters]
         old = self.spark.createDataFrame([], "part int, bits binary")
         if held:
             old = self.spark.read.schema("n int, bits binary").parquet(*held).select(F.col("n").alias("part"), "bits")
         # parts without new rows have no old rows either, so each group has new ones
-        return batch.groupBy("part").cogroup(old.groupBy("part")).applyInPandas(test, out)
+        return batch.groupBy("part").cogroup(old.groupBy("part")).applyInArrow(test, out)
 
     def absorb(self, rows: DataFrame, stars: DataFrame | None = None, touched: list[int] | None = None) -> DataFrame:
         """Check a batch (see ``fingerprints``) against all before and itself, then add it;
@@ -200,6 +212,7 @@ class FingerprintStore:
     def _pairs(self, new: DataFrame, hits: int, parts: list[int]) -> DataFrame:
         """(a, b): uploads of the batch and of all before that share a fingerprint and pass."""
         columns = ["fp", "form", "exact", "id"]
+        new = new.where("n > 1 or known")  # others are alone under their fingerprint
         pool = new.select(*columns, F.lit(False).alias("old"))
         if hits:
             asked = new.where("known").select("fp")
@@ -209,16 +222,24 @@ class FingerprintStore:
         left = new.select("fp", "exact", F.col("form").alias("fb"), F.col("id").alias("b"))
         right = pool.select("fp", "exact", F.col("form").alias("fa"), F.col("id").alias("a"), "old")
         by = ["fp", "exact"]
-        if self.most > self.chunk:  # some fingerprint may have many forms: they are compared in chunks
+        split = min(SPLIT, self.chunk)
+        if self.most > split:  # some fingerprint may have many forms: they meet by the words left out of them
+            right = cut(right)
+            hot = cut(right.where("fa is not null").groupBy("fp").agg(F.count("*").alias("_n")).where(F.col("_n") > split).select("fp"))
+            hint = F.broadcast if hot.count() <= BROADCAST_ROWS else (lambda x: x)
+            parted = lambda df, form: df.join(hint(hot), "fp", "left_anti").withColumn("_s", F.lit(0).cast("long")).unionByName(
+                df.join(hint(hot), "fp", "left_semi").withColumn("_s", F.explode(_splits(form, "fp"))))
+            left, right, by = parted(left, "fb"), parted(right, "fa"), [*by, "_s"]
+        if self.most > self.chunk:  # and where they still are many, they are compared in chunks
             right = cut(right)
-            hot = right.groupBy("fp").agg(F.count("*").alias("_n")).where(F.col("_n") > self.chunk)
-            hot = cut(hot.select("fp", F.ceil(F.col("_n") / self.chunk).cast("int").alias("_of")))
+            hot = right.groupBy("fp", "_s").agg(F.count("*").alias("_n")).where(F.col("_n") > self.chunk)
+            hot = cut(hot.select("fp", "_s", F.ceil(F.col("_n") / self.chunk).cast("int").alias("_of")))
             hint = F.broadcast if hot.count() <= BROADCAST_ROWS else (lambda x: x)
-            left = left.join(hint(hot), "fp", "left").withColumn("_c", F.explode(F.sequence(F.lit(0), F.coalesce("_of", F.lit(1)) - 1))).drop("_of")
-            right = right.join(hint(hot), "fp", "left").withColumn("_c", F.pmod(F.xxhash64("a"), F.coalesce("_of", F.lit(1))).cast("int")).drop("_of")
+            left = left.join(hint(hot), ["fp", "_s"], "left").withColumn("_c", F.explode(F.sequence(F.lit(0), F.coalesce("_of", F.lit(1)) - 1))).drop("_of")
+            right = right.join(hint(hot), ["fp", "_s"], "left").withColumn("_c", F.pmod(F.xxhash64("a"), F.coalesce("_of", F.lit(1))).cast("int")).drop("_of")
             by = [*by, "_c"]
         met = left.join(right, by).where("a <> b and (old or a < b or exact) and (exact or fa <> fb)")
-        return met.select("a", "b", "fa", "fb").distinct().where(_verified("fa", "fb")).select("a", "b").distinct()
+        return met.select("a", "b", "fa", "fb").where(_verified("fa", "fb")).select("a", "b").distinct()
 
     def _merge(self) -> list[str]:
         """Runs of one tier become one of the next, one row a fingerprint and form; the runs
@@ -247,15 +268,14 @@ class FingerprintStore:
 
 
 def check_batches(uploads: DataFrame, path: str | None = None, batch: str = "batch_id", parts: int | None = None) -> FingerprintStore:
-    """Absorb the batches one after the other; a null batch counts as history (0)."""
+    """Absorb the first batch, the history, and then all that wait after it in one turn; a null
+    batch counts as 0. A store that is there already absorbs both as what is new to it."""
     spark = uploads.sparkSession
     path = path or scratch(spark, "store")
-    made = scratch(spark, "prepared")
-    rows, stars = fingerprints(uploads, batch=batch)
-    rows.write.partitionBy("_b").parquet(f"{made}/rows")
-    stars.write.partitionBy("_b").parquet(f"{made}/stars")
-    rows = spark.read.schema("fp long, form string, exact boolean, id long, _b long").parquet(f"{made}/rows")
-    stars = spark.read.schema("a long, b long, _b long").parquet(f"{made}/stars")
+    number = F.coalesce(F.col(batch).cast("long"), F.lit(0))
+    first = uploads.agg(F.min(number)).first()[0]
+    rows, stars = fingerprints(uploads.withColumn(batch, (number > F.lit(first)).cast("long")), batch=batch)
+    stars = cut(stars)
     store = FingerprintStore(spark, path, expected=2 * rows.where("_b = 0").count(), parts=parts)
     part = F.pmod("fp", F.lit(store.parts)).cast("int")
     touched = {r["_b"]: sorted(r["parts"]) for r in rows.groupBy("_b").agg(F.collect_set(part).alias("parts")).collect()}  # a batch and part each

@@ -1,6 +1,7 @@
 import itertools
 
 import pytest
+from pyspark.sql import functions as F
 
 from scriptorium.llm import filenames, history, neardup
 from scriptorium.llm.lookalike import Looks
@@ -119,6 +120,38 @@ def test_a_hot_fingerprint_is_compared_in_chunks(spark, rows, tmp_path):
     assert found[0] == found[1] and len(found[0]) == 25 * 24 // 2
 
 
+def test_batches_that_wait_are_absorbed_in_one_turn(spark, rows):
+    store = history.check_batches(uploads(spark))
+    assert store.turn == 2 and rows(store.repeats()) == sorted(WANT)
+
+
+def test_forms_under_a_hot_fingerprint_meet_by_the_words_left_out(spark, rows, tmp_path, monkeypatch):
+    words = ["".join(x) for x in zip("bdfgklmnprst" * 5, "aeiou" * 12, "kmtzvrb" * 9, "oeuia" * 12, "dnslgpf" * 9, "eioau" * 12)]
+    names = [f"{a} {b}xolum Payroll Review Plan 2015.pdf" for a, b in zip(words, words[7:] + words[:7])]
+    names.append(names[3].replace("xolum", "xolm").replace(words[3], words[3][1:]))  # a slip in each of two words
+    data = spark.createDataFrame([(k, n, None) for k, n in enumerate(names)], "upload_id long, original_filename string, sha256 string")
+    both = history.fingerprints(data)
+    found = rows(history.FingerprintStore(spark, str(tmp_path / "s")).absorb(*both))
+    assert (3, len(words)) in found
+    monkeypatch.setattr(history, "_verified", lambda a, b: F.lit(True))  # all pairs that meet
+    met = rows(history.FingerprintStore(spark, str(tmp_path / "t")).absorb(*both))
+    assert set(found) <= set(met) and len(met) < len(words) * (len(words) - 1) / 2 / 3
+
+
+def test_same_forms_share_a_split_under_a_shared_key():
+    base = ["monani", "toyage", "payroll", "review", "plan", "2015"]
+    slips = lambda w: [w[1:], w[:-2] + w[-1], w[1] + w[0] + w[2:], "z" + w, w[:2] + "q" + w[3:]]
+    for x in range(5):
+        for y in range(x, 5):
+            for p, q in zip(slips(base[x]), reversed(slips(base[y]))):
+                other = list(base)
+                other[x], other[y] = (p, p) if x == y else (p, q)
+                a, b = " ".join(sorted(base)), " ".join(sorted(other))
+                if filenames.same(a, b):
+                    shared = set(filenames.keys(a)) & set(filenames.keys(b))
+                    assert any(set(filenames.splits(a, k)) & set(filenames.splits(b, k)) for k in shared)
+
+
 def test_empty_history(spark, rows):
     assert rows(history.check_batches(uploads(spark).limit(0)).repeats()) == []
 
