@@ -246,3 +246,15 @@ def test_facts_of_both_ends_are_made_once(spark):
     found = analytics._edge_facts(n, session.cut(e), m)
     assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()  # degrees are not counted again for each end
     assert found.count() == e.count()
+
+
+def test_full_report_makes_what_its_parts_share_once(spark, rows, monkeypatch):
+    n, e = graph.build(*small(spark))
+    e, m = session.cut(e), session.cut(n.select("id", F.pmod(F.xxhash64("id"), F.lit(2)).cast("int").alias("community")))
+    summary, asked, made = rows(exports.summary_lines(n, e, m)), rows(analytics.questions(n, e, m)), []
+    for name in ("cohesion", "name_communities", "surprising"):
+        for module in (exports, analytics):
+            monkeypatch.setattr(module, name, lambda *a, f=getattr(analytics, name), name=name, **k: made.append(name) or f(*a, **k))
+    lines = exports.full_lines(n, e, m)
+    assert rows(lines.where("ord <= 7")) == summary and lines.where("ord = 13").count() == len([x for x in asked if x[2]])
+    assert sorted(made) == ["cohesion", "name_communities", "surprising"]
