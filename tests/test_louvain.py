@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from scriptorium.operators import louvain
+from scriptorium.operators import graph, louvain
 from scriptorium.plans import catalog
 
 
@@ -119,3 +119,28 @@ def test_sets_and_single_moves_on_cliques(spark, monkeypatch):
     monkeypatch.setattr(louvain, "LOOP_LINKS", 0)
     com, _ = louvain.louvain(a, b, np.ones(len(a), np.int32), len(ids))
     assert groups({i: com[code[i]] for i in ids}) == [[i for i in ids if i[0] == c] for c in "abcde"]
+
+
+def test_levels_by_sets_set_out_from_an_outline(monkeypatch):
+    """A graph linked throughout, with a hub: few visits of nodes, and communities as good as those of single moves."""
+    rng, n, seen = np.random.default_rng(3), 12_000, []
+    a, b = rng.integers(0, n, 7 * n), (n * rng.random(7 * n) ** 2.2).astype(np.int64)
+    a, b = louvain.paired(a, np.where(rng.random(7 * n) < 0.1, 0, rng.permutation(n)[b]), n)
+    w = np.where(a == b, 2, 1).astype(np.int32)
+    one, _ = louvain.louvain(a, b, w, n)
+    links_of = louvain.links_of
+    monkeypatch.setattr(louvain, "links_of", lambda start, v: seen.append(len(v)) or links_of(start, v))
+    monkeypatch.setattr(louvain, "LOOP_LINKS", 0)
+    com, _ = louvain.louvain(a, b, w, n)
+    assert sum(seen) < 20 * n and louvain._quality(a, b, w, com) > louvain._quality(a, b, w, one)
+
+
+def test_edges_of_no_other_column_are_the_same_pairs(spark, tmp_path):
+    pairs = [("v00", "v01"), ("v00", "v01"), ("v01", "v00"), ("v02", "v02"), ("v03", "gone"), (None, "v01"), ("v04", "v05")]
+    d = tables(spark, tmp_path, [f"v{k:02}" for k in range(7)], pairs)
+    n, e = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("nodes", "edges"))
+    ends = [sorted(map(tuple, graph.build(n, x)[1].select("source", "target").collect())) for x in (e, e.select("source", "target"))]
+    assert ends[0] == ends[1] == [("v00", "v01"), ("v01", "v00"), ("v02", "v02"), ("v04", "v05")]
+    sizes = {r["community"]: r["cards"] for r in catalog.QUERIES["export_canvas_cards"](spark, d).collect()}
+    want = [r["community"] for r in catalog.QUERIES["graph_communities"](spark, d).collect()]
+    assert sizes == {c: want.count(c) for c in want}
